@@ -15,6 +15,8 @@ WHITESPACE = "".join(chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace
 
 #: Line ends recognised when numbering lines.
 LINE_END = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
+_LINE_END_BUT_LF = "[\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
+_LINE_ENDS = "\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029"
 
 _DECIMALS = [chr(c) for c in range(128, sys.maxunicode + 1)
              if unicodedata.category(chr(c)) == "Nd"]
@@ -36,10 +38,15 @@ def decode_utf8(col: Column) -> Column:
 
 
 def split_lines(col: Column) -> Column:
-    """All lines of a text; a final line end opens no further line."""
-    parts = F.split(col, LINE_END, -1)
-    last_is_empty = F.element_at(parts, -1) == ""
-    return F.slice(parts, 1, F.size(parts) - F.when(last_is_empty, 1).otherwise(0))
+    """All lines of a text; a final line end opens no further line.
+
+    Texts that use LF only, nearly all, take the plain split.
+    """
+    body = (F.when(col.endswith("\r\n"), F.substring(col, F.lit(1), F.length(col) - 2))
+            .when(F.substring(col, -1, 1).isin(*_LINE_ENDS), F.substring(col, F.lit(1), F.length(col) - 1))
+            .otherwise(col))
+    lines = F.when(col.rlike(_LINE_END_BUT_LF), F.split(body, LINE_END, -1)).otherwise(F.split(body, "\n", -1))
+    return F.when(col == "", F.array().cast("array<string>")).otherwise(lines)
 
 
 def extract_field(block: Column, name: str) -> Column:

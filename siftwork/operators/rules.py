@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import fixed
 from ..functions import labels
 from ..schema import STAGE_CALL, SUB_BITS, stage_base
+from .static_rows import static_rows
 
 
 def _on_module(module: str, *names: str) -> Column:
@@ -56,39 +57,53 @@ def _description(rule: str, template: str) -> Column:
     return F.concat(F.lit(before), F.col("func_name"), F.lit(after)) if found else F.lit(template)
 
 
-def call_match(rules=RULES) -> Column:
-    """The finding a call site gives, as a struct, or null.
+def rule_index(rules=RULES) -> Column:
+    """Index of the rule a call site trips, or null.
 
     No two rules share a condition, so one CASE decides and no row is copied.
     """
-    conditions, match = _conditions(), None
+    conditions, index = _conditions(), None
     for rule in rules:
-        condition, confidence = conditions[rule]
-        severity, kind, template, impact, fix = fixed.CALL_MESSAGES[rule]
-        finding = F.struct(
-            F.lit(RULES.index(rule)).alias("rule_idx"),
-            F.lit(severity).alias("severity"),
-            F.lit(kind).alias("type"),
-            _description(rule, template).alias("description"),
-            F.lit(impact).alias("impact"),
-            F.lit(fix).alias("fix"),
-            (confidence / F.lit(100.0)).alias("confidence"),
-        )
-        match = (F if match is None else match).when(condition, finding)
-    return match
+        index = (F if index is None else index).when(conditions[rule][0], RULES.index(rule))
+    return index
+
+
+RULE_TYPES = tuple(fixed.CALL_MESSAGES[rule][1] for rule in RULES)
+
+
+def _per_rule(index: Column, value_of) -> Column:
+    chosen = None
+    for i, rule in enumerate(RULES):
+        chosen = (F if chosen is None else chosen).when(index == i, value_of(rule))
+    return chosen
+
+
+def call_message() -> dict[str, Column]:
+    """Label and text columns of a narrow row (rule_idx, func_name, arg0_kind)."""
+    conditions = _conditions()
+
+    def fixed_text(position):
+        return _per_rule(F.col("rule_idx"), lambda rule: F.lit(fixed.CALL_MESSAGES[rule][position]))
+    return {
+        "severity": fixed_text(0),
+        "type": fixed_text(1),
+        "description": _per_rule(F.col("rule_idx"), lambda rule: _description(rule, fixed.CALL_MESSAGES[rule][2])),
+        "impact": fixed_text(3),
+        "fix": fixed_text(4),
+        "confidence": _per_rule(F.col("rule_idx"), lambda rule: conditions[rule][1]) / F.lit(100.0),
+    }
+
+
+def call_hits(sites: DataFrame, *keys: str, rules=RULES) -> DataFrame:
+    """Call sites that trip one of the rules, as narrow rows."""
+    return (sites.where("call_seq >= 0").withColumn("rule_idx", rule_index(rules)).where("rule_idx is not null")
+            .select(*keys, call_ordinal().alias("ordinal"), "line_number", "rule_idx", "func_name", "arg0_kind"))
+
+
+def call_ordinal() -> Column:
+    return F.lit(stage_base(STAGE_CALL)) + F.shiftleft("call_seq", SUB_BITS) + F.col("rule_idx")
 
 
 def call_findings(sites: DataFrame, *keys: str, rules=RULES) -> DataFrame:
     """Findings of the chosen rules, before de-duplication."""
-    hit = (sites.where("call_seq >= 0").select(*keys, "call_seq", "line_number", call_match(rules).alias("m"))
-           .where("m is not null"))
-    return hit.select(
-        *keys,
-        (F.lit(stage_base(STAGE_CALL)) + F.shiftleft("call_seq", SUB_BITS) + F.col("m.rule_idx")).alias("ordinal"),
-        "m.severity",
-        labels.severity_score(F.col("m.severity")).alias("severity_score"),
-        "m.type", "m.description", "m.impact", "m.fix", "line_number",
-        labels.infer_owasp(F.col("m.type")).alias("owasp"),
-        "m.confidence",
-        F.lit("static").alias("source"),
-    )
+    return static_rows(call_hits(sites, *keys, rules=rules), call_message(), *keys)

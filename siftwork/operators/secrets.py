@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -12,26 +13,48 @@ from .. import fixed
 from ..functions import labels
 from ..functions.text import split_lines
 from ..schema import MAX_PATTERNS, STAGE_SECRET, SUB_BITS, stage_base
-from .skew import first_wins
+from .static_rows import static_rows
 
 
 @dataclass(frozen=True)
 class SecretPattern:
-    """A regular expression (Java syntax) searched in every line."""
+    """A regular expression (Java syntax) searched in every line.
+
+    `needs` are cheaper tests, first one cheapest, that every text with a hit
+    passes: plain words or regular expressions.  Left out, the pattern itself is
+    tried on the whole text where that is safe.
+    """
 
     pattern: str
     type: str
     severity: str
+    needs: tuple[str, ...] | None = None
+
 
+_SPACE = r"[\s\x1C-\x1F]"
+# Letters that also fold to the given ASCII letter.
+_FOLDS = {"s": "ſ", "k": "K", "i": "İı"}
+# Every keyword of the assignment patterns ends in d, y or n.
+_ASSIGNED_TEXT = rf"""(?U)[dDyYnN]{_SPACE}*={_SPACE}*["']"""
 
-def _builtin(pattern: str) -> str:
-    # Case folding and white space follow Unicode, and white space includes the
-    # ASCII separators, as in the dialect the fixed patterns are written in.
-    return "(?U)" + pattern.replace(r"\s", r"[\s\x1C-\x1F]")
+
+def _builtin(pattern: str, kind: str, severity: str) -> SecretPattern:
+    """A fixed pattern in Java syntax, with its cheap tests.
+
+    Case folding and white space follow Unicode, and white space includes the
+    ASCII separators, as in the dialect the fixed patterns are written in.
+    """
+    java = "(?U)" + pattern.replace(r"\s", _SPACE)
+    if pattern.startswith("(?i)"):
+        # Letter classes run several times faster than case-insensitive matching.
+        keywords = pattern[len("(?i)"):pattern.index(r"\s*=")]
+        classes = re.sub("[a-z]", lambda m: f"[{m[0]}{m[0].upper()}{_FOLDS.get(m[0], '')}]", keywords)
+        return SecretPattern(java, kind, severity, (_ASSIGNED_TEXT, f"(?U){classes}{_SPACE}*="))
+    literal = re.match(r"[-\w ]+", pattern)[0]
+    return SecretPattern(java, kind, severity, (literal, java))
 
 
-BUILTIN_PATTERNS = tuple(
-    SecretPattern(_builtin(p), t, s) for p, t, s in fixed.SECRET_PATTERNS)
+BUILTIN_PATTERNS = tuple(_builtin(*fixed_pattern) for fixed_pattern in fixed.SECRET_PATTERNS)
 
 _POSITION_SENSITIVE = re.compile(r"\^|\$|\\[bBAZzGQ]|\(\?[=!<>]|[+*?}]\+|\\[Rr]")
 
@@ -53,25 +76,52 @@ def _check(patterns) -> list[SecretPattern]:
     return patterns
 
 
-def text_may_hit(text: Column, patterns=BUILTIN_PATTERNS) -> Column | None:
-    """A test on the whole text that no text with a hit fails, or None."""
-    patterns = _check(patterns)
-    if not all(_may_prefilter(p.pattern) for p in patterns):
-        return None
-    return reduce(lambda a, b: a | b, [text.rlike(p.pattern) for p in patterns])
+def _needs(pattern: SecretPattern) -> tuple[str, ...]:
+    if pattern.needs is not None:
+        return pattern.needs
+    return (pattern.pattern,) if _may_prefilter(pattern.pattern) else ()
 
 
-def _line_hits(line: Column, patterns: list[SecretPattern]) -> Column:
-    """Indexes of the patterns found in a line, one literal regex per pattern."""
-    return F.array_compact(F.array(*[
-        F.when(line.rlike(p.pattern), F.lit(i)) for i, p in enumerate(patterns)]))
+def _passes(text: Column, need: str) -> Column:
+    return F.contains(text, F.lit(need)) if re.fullmatch(r"[-\w ]+", need) else text.rlike(need)
+
+
+def text_may_hit(text: Column, patterns=BUILTIN_PATTERNS) -> Column | None:
+    """A test on the whole text that no text with a hit fails, or None.
+
+    Patterns that share their cheapest test share its evaluation.
+    """
+    by_first: dict[str, list] = {}
+    for needs in map(_needs, _check(patterns)):
+        if not needs:
+            return None
+        by_first.setdefault(needs[0], []).append(needs[1:])
+    groups = []
+    for first, rests in by_first.items():
+        test = _passes(text, first)
+        if all(rests):
+            test = test & reduce(or_, [reduce(and_, [_passes(text, n) for n in rest]) for rest in rests])
+        groups.append(test)
+    return reduce(or_, groups)
+
+
+def _line_hits(line: Column, patterns: list[SecretPattern], first_of_type: bool = False) -> Column:
+    """Indexes of the patterns found in a line, one literal regex per pattern.
+
+    With `first_of_type`, of patterns that share a type only the first counts.
+    """
+    def hit(i: int) -> Column:
+        found = line.rlike(patterns[i].pattern)
+        earlier = [line.rlike(p.pattern) for p in patterns[:i] if p.type == patterns[i].type] if first_of_type else []
+        return F.when(reduce(lambda a, b: a & ~b, earlier, found), F.lit(i))
+    return F.array_compact(F.array(*map(hit, range(len(patterns)))))
 
 
 def hit_codes(text: Column, patterns=BUILTIN_PATTERNS) -> Column:
-    """Array of `line_number << 12 | pattern index` for every hit in a text."""
+    """Array of `line_number << 12 | pattern index` of a text, once per line and type."""
     patterns = _check(patterns)
     lines = F.transform(split_lines(text), lambda line, i: F.transform(
-        _line_hits(line, patterns),
+        _line_hits(line, patterns, first_of_type=True),
         lambda p: F.shiftleft((i + 1).cast("bigint"), SUB_BITS).bitwiseOR(p.cast("bigint"))))
     codes = F.flatten(lines)
     guard = text_may_hit(text, patterns)
@@ -86,7 +136,8 @@ def explode_lines(files: DataFrame, *keys: str, text: str = "text") -> DataFrame
             .select(*keys, (F.col("_pos") + 1).cast("bigint").alias("line_number"), "line"))
 
 
-def secret_hits(files: DataFrame, *keys: str, patterns=BUILTIN_PATTERNS, text: str = "text") -> DataFrame:
+def secret_hits(files: DataFrame, *keys: str, patterns=BUILTIN_PATTERNS, text: str = "text",
+                first_of_type: bool = False) -> DataFrame:
     """One row per (text, line, pattern) hit.
 
     Texts that cannot hit are dropped before lines are exploded, and patterns
@@ -96,38 +147,36 @@ def secret_hits(files: DataFrame, *keys: str, patterns=BUILTIN_PATTERNS, text: s
     guard = text_may_hit(F.col(text), patterns)
     scoped = files if guard is None else files.where(guard)
     return (explode_lines(scoped, *keys, text=text)
-            .select(*keys, "line_number", F.explode(_line_hits(F.col("line"), patterns)).alias("pattern_idx")))
+            .select(*keys, "line_number", F.explode(_line_hits(F.col("line"), patterns, first_of_type))
+                    .alias("pattern_idx")))
 
 
-def describe_hits(hits: DataFrame, *keys: str, patterns=BUILTIN_PATTERNS) -> DataFrame:
-    """Attach ordinal, labels and message text to (line_number, pattern_idx) rows."""
-    patterns = _check(patterns)
-    types = F.array(*[F.lit(p.type) for p in patterns])
-    severities = F.array(*[F.lit(p.severity) for p in patterns])
+def secret_message(patterns=BUILTIN_PATTERNS) -> dict[str, Column]:
+    """Label and text columns of a narrow row (pattern_idx)."""
     at = F.col("pattern_idx") + 1
-    return hits.select(
-        *keys,
-        (F.lit(stage_base(STAGE_SECRET)) + F.shiftleft("line_number", SUB_BITS) + F.col("pattern_idx"))
-        .alias("ordinal"),
-        F.element_at(severities, at).alias("severity"),
-        F.element_at(types, at).alias("type"),
-        "line_number",
-    ).select(
-        *keys, "ordinal", "severity",
-        labels.severity_score(F.col("severity")).alias("severity_score"),
-        "type",
-        F.concat(F.lit(fixed.SECRET_DESCRIPTION_BEFORE_TYPE), F.col("type"),
-                 F.lit(fixed.SECRET_DESCRIPTION_AFTER_TYPE)).alias("description"),
-        F.lit(fixed.SECRET_IMPACT).alias("impact"),
-        F.lit(fixed.SECRET_FIX).alias("fix"),
-        "line_number",
-        labels.infer_owasp(F.col("type")).alias("owasp"),
-        labels.hundredths(fixed.SECRET_CONFIDENCE).alias("confidence"),
-        F.lit("static").alias("source"),
-    )
+    kind = F.element_at(F.array(*[F.lit(p.type) for p in patterns]), at)
+    return {
+        "severity": F.element_at(F.array(*[F.lit(p.severity) for p in patterns]), at),
+        "type": kind,
+        "description": F.concat(F.lit(fixed.SECRET_DESCRIPTION_BEFORE_TYPE), kind,
+                                F.lit(fixed.SECRET_DESCRIPTION_AFTER_TYPE)),
+        "impact": F.lit(fixed.SECRET_IMPACT),
+        "fix": F.lit(fixed.SECRET_FIX),
+        "confidence": labels.hundredths(fixed.SECRET_CONFIDENCE),
+    }
+
+
+def describe_hits(hits: DataFrame, *keys: str, patterns=BUILTIN_PATTERNS) -> DataFrame:
+    """Findings of (line_number, pattern_idx) rows."""
+    ordinal = F.lit(stage_base(STAGE_SECRET)) + F.shiftleft("line_number", SUB_BITS) + F.col("pattern_idx")
+    return static_rows(hits.withColumn("ordinal", ordinal), secret_message(_check(patterns)), *keys)
 
 
 def secret_findings(files: DataFrame, *keys: str, patterns=BUILTIN_PATTERNS, text: str = "text") -> DataFrame:
-    """Secret findings of any text, one per (key, type, line)."""
-    found = describe_hits(secret_hits(files, *keys, patterns=patterns, text=text), *keys, patterns=patterns)
-    return first_wins(found, [*keys, "type", "line_number"], "ordinal")
+    """Secret findings of any text, one per (key, type, line).
+
+    Keys are unique per text, so first-wins is decided inside a line and the
+    whole job is a scan without a shuffle.
+    """
+    return describe_hits(secret_hits(files, *keys, patterns=patterns, text=text, first_of_type=True),
+                         *keys, patterns=patterns)

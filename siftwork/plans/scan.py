@@ -11,12 +11,13 @@ from ..operators.callsites import SECRET_ROW, call_sites_with_hits
 from ..operators.merge import at_least, merge_findings
 from ..operators.replies import reply_findings
 from ..operators.rollups import distinct_contents, file_rollup_by_hash, run_rollup
-from ..operators.rules import WATCHED_NAMES, call_findings
-from ..operators.secrets import BUILTIN_PATTERNS, describe_hits, hit_codes, secret_findings
+from ..operators.rules import RULE_TYPES, WATCHED_NAMES, call_message, call_ordinal, rule_index
+from ..operators.secrets import BUILTIN_PATTERNS, describe_hits, hit_codes, secret_findings, secret_message
 from ..operators.skew import first_wins, spread_join
-from ..schema import FINDING_COLUMNS, SUB_BITS, finding_rows
+from ..operators.static_rows import static_rows
+from ..schema import FINDING_COLUMNS, STAGE_SECRET, SUB_BITS, finding_rows, stage_base
 from ..session import materialise
-from ..sources.cache import CacheTables, cache_lookup
+from ..sources.cache import CacheTables, FindingCache, cache_lookup
 from ..sources.inputs import with_identity
 
 
@@ -31,12 +32,30 @@ def static_sites(texts: DataFrame, *keys: str, patterns=BUILTIN_PATTERNS) -> Dat
 
 
 def findings_of_sites(sites: DataFrame, *keys: str, patterns=BUILTIN_PATTERNS) -> DataFrame:
-    hits = sites.where(F.col("call_seq") == SECRET_ROW).select(
-        *keys,
-        F.shiftright("code", SUB_BITS).alias("line_number"),
-        F.col("code").bitwiseAND(F.lit((1 << SUB_BITS) - 1)).cast("int").alias("pattern_idx"))
-    found = call_findings(sites, *keys).unionByName(describe_hits(hits, *keys, patterns=patterns))
-    return first_wins(found, [*keys, "type", "line_number"], "ordinal")
+    """Findings of parsed rows, one per (key, type, line), first in source order.
+
+    Calls and secrets stay in one stream of narrow rows, so the parser runs once
+    and only hits, without their message text, are shuffled to be de-duplicated.
+    """
+    is_secret = F.col("call_seq") == SECRET_ROW
+    pattern_idx = F.col("code").bitwiseAND(F.lit((1 << SUB_BITS) - 1)).cast("int")
+    types = F.array(*[F.lit(t) for t in (*RULE_TYPES, *(p.type for p in patterns))])
+    narrow = (sites.where(is_secret | (F.col("call_seq") >= 0))
+              .withColumn("rule_idx", F.when(~is_secret, rule_index()))
+              .withColumn("pattern_idx", F.when(is_secret, pattern_idx))
+              .where("rule_idx is not null or pattern_idx is not null")
+              .select(*keys,
+                      F.when(is_secret, F.lit(stage_base(STAGE_SECRET)) + F.col("code"))
+                      .otherwise(call_ordinal()).alias("ordinal"),
+                      F.coalesce(F.shiftright("code", SUB_BITS), "line_number").alias("line_number"),
+                      F.element_at(types, 1 + F.coalesce("rule_idx", F.lit(len(RULE_TYPES)) + F.col("pattern_idx")))
+                      .alias("_type"),
+                      "rule_idx", "pattern_idx", "func_name", "arg0_kind"))
+    first = first_wins(narrow, [*keys, "_type", "line_number"], "ordinal")
+    of_call, of_secret = call_message(), secret_message(patterns)
+    message = {name: F.when(F.col("rule_idx").isNotNull(), of_call[name]).otherwise(of_secret[name])
+               for name in of_call}
+    return static_rows(first, message, *keys)
 
 
 def static_findings(texts: DataFrame, *keys: str, gate: str = "python", patterns=BUILTIN_PATTERNS) -> DataFrame:
@@ -44,12 +63,10 @@ def static_findings(texts: DataFrame, *keys: str, gate: str = "python", patterns
 
     `gate="python"`: risky calls and secrets of texts that parse as Python.
     `gate="none"`: secrets of any text.
-    Parsed rows are written once, because calls and secrets both read them.
     """
     if gate == "none":
         return secret_findings(texts, *keys, patterns=patterns)
-    sites = materialise(static_sites(texts, *keys, patterns=patterns), "sites")
-    return findings_of_sites(sites, *keys, patterns=patterns)
+    return findings_of_sites(static_sites(texts, *keys, patterns=patterns), *keys, patterns=patterns)
 
 
 @dataclass
@@ -82,7 +99,7 @@ def fan_back(manifest: DataFrame, by_hash: DataFrame) -> DataFrame:
         "file_path", "file_hash", *FINDING_COLUMNS)
 
 
-def scan(files: DataFrame, replies: DataFrame | None = None, cache: CacheTables | None = None, *,
+def scan(files: DataFrame, replies: DataFrame | None = None, cache: CacheTables | FindingCache | None = None, *,
          use_static: bool = True, min_severity: str = "LOW", gate: str = "python",
          patterns=BUILTIN_PATTERNS) -> ScanResult:
     """Scan `files` (file_path, text, optional error).
@@ -97,6 +114,8 @@ def scan(files: DataFrame, replies: DataFrame | None = None, cache: CacheTables
         with_identity(files).select("file_path", "file_hash", "language", "error"), "manifest")
 
     contents = distinct_contents(manifest.where("file_hash <> ''"))
+    if isinstance(cache, FindingCache):
+        cache = cache.read(only=contents)
     contents = (cache_lookup(contents, cache.entries) if cache
                 else contents.withColumn("from_cache", F.lit(False)))
     contents = materialise(contents.withColumn("language", detect_language(F.col("file_path"))), "contents")

@@ -109,23 +109,41 @@ class FindingCache:
         live = self._commits().where(F.col("version") >= base).select("version")
         return data.where(F.col("version") >= base).join(live, "version", "left_semi")
 
-    def read(self) -> CacheTables:
-        """Current entries and findings: per hash, those of its latest version."""
-        entries = first_wins(self._read("entries", ENTRY_SCHEMA), ["file_hash"], F.col("version").desc())
+    def read(self, only: DataFrame | None = None) -> CacheTables:
+        """Current entries and findings: per hash, those of its latest version.
+
+        With `only` (a table with `file_hash`) just these hashes are looked at,
+        so a small batch does not sort or shuffle the whole cache.
+        """
+        stored = self._read("entries", ENTRY_SCHEMA)
+        if only is not None:
+            stored = stored.join(only.select("file_hash").distinct(), "file_hash", "left_semi")
+        entries = first_wins(stored, ["file_hash"], F.col("version").desc())
         findings = self._read("findings", FINDING_SCHEMA).join(
             entries.select("file_hash", "version"), ["file_hash", "version"], "left_semi")
         return CacheTables(entries.drop("version"), findings.drop("version"))
 
+    def _write(self, version: int, entries: DataFrame, findings: DataFrame) -> None:
+        entries.select("file_hash", "file_path", "language", "scanned_at").write.parquet(
+            f"{self.root}/entries/version={version}")
+        finding_rows(findings, "file_hash").write.parquet(f"{self.root}/findings/version={version}")
+
     def put(self, entries: DataFrame, findings: DataFrame, tag: str | None = None) -> int:
         """Append results of newly scanned contents; one row per hash in `entries`."""
         head, base = self._head()
         version = max(time.time_ns(), head + 1)
-        keep = ENTRY_SCHEMA.replace(",", "").split()[::2]
-        entries.select(*keep).write.parquet(f"{self.root}/entries/version={version}")
-        finding_rows(findings, "file_hash").write.parquet(f"{self.root}/findings/version={version}")
+        self._write(version, entries, findings)
         self._commit(version, base, tag)
         return version
 
+    def compact(self) -> int:
+        """Write the current state as one version that replaces all earlier ones."""
+        now = self.read()
+        version = max(time.time_ns(), self._head()[0] + 1)
+        self._write(version, now.entries, now.findings)
+        self._commit(version, version, None)
+        return version
+
     def clear(self) -> int:
         """Forget everything; returns the number of contents forgotten.  Files stay."""
         count = self.read().entries.count()

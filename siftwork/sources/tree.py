@@ -2,8 +2,10 @@
 
 `source_tree` is a Spark data source that lists files; it exists because Spark's
 file index silently hides names starting with `_` or `.`.  The driver only cuts
-the tree into directory units, executors list them, and contents are read in a
-second, evenly spread stage.  As a stream it emits files by change time.
+the tree into directory units; executors list names; files are then spread
+evenly over tasks that check and read them, so one directory holding most files
+costs one task no more than reading its names.  As a stream, files are taken by
+change time.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from ..session import materialise
 # Executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-LISTING_SCHEMA = "file_path string, relative_path string, size bigint, changed_ns bigint, error string"
+#: `since_ns` and `until_ns` bound the change time of files taken from a stream.
+LISTING_SCHEMA = "file_path string, relative_path string, explicit boolean, since_ns bigint, until_ns bigint"
 CONTENT_SCHEMA = "file_path string, relative_path string, content binary, error string"
 FLUSH_BYTES = 16 << 20
 
@@ -68,18 +71,8 @@ def _suffix(name):
     return name[dot:].lower() if 0 < dot < len(name) - 1 else ""
 
 
-def _listing_row(shown, relative, path):
-    try:
-        info = os.stat(path)
-    except OSError as problem:
-        return shown, relative, None, None, str(problem)
-    if not stat_module.S_ISREG(info.st_mode):
-        return None
-    return shown, relative, info.st_size, info.st_ctime_ns, None
-
-
 def _walk(unit, suffixes, skip):
-    """Listing rows below one unit; scope rules are applied before any file is opened."""
+    """Names below one unit; scope rules are applied before any file is touched."""
     todo = [unit.directory]
     while todo:
         for entry in _scan(todo.pop()):
@@ -88,16 +81,9 @@ def _walk(unit, suffixes, skip):
             if entry.is_dir(follow_symlinks=False):
                 if unit.deep:
                     todo.append(entry.path)
-                continue
-            if suffixes and _suffix(entry.name) not in suffixes:
-                continue
-            relative = os.path.relpath(entry.path, unit.root)
-            row = _listing_row(str(PurePosixPath(unit.root) / relative), relative, entry.path)
-            if row and unit.until is not None:
-                if row[3] is None or not unit.since < row[3] <= unit.until:
-                    continue
-            if row:
-                yield row
+            elif not suffixes or _suffix(entry.name) in suffixes:
+                relative = os.path.relpath(entry.path, unit.root)
+                yield str(PurePosixPath(unit.root) / relative), relative, False, unit.since, unit.until
 
 
 class _TreeOptions:
@@ -171,47 +157,59 @@ def _options(roots, suffixes, skip_dirs, units, settle_seconds=2.0):
     }
 
 
+def _read_one(path, explicit, since, until, max_bytes):
+    """(content, error) of a file, or None where it is not part of the listing after all."""
+    try:
+        info = os.stat(path)
+        if not stat_module.S_ISREG(info.st_mode):
+            return (None, "not a regular file") if explicit else None
+        if until is not None and not since < info.st_ctime_ns <= until:
+            return None
+        if info.st_size > max_bytes:
+            return None, f"file has {info.st_size} bytes, more than one row can hold"
+        with open(path, "rb") as handle:
+            return handle.read(), None
+    except OSError as failure:
+        return None, str(failure)
+
+
 def _read_contents(max_bytes):
+    columns = ["file_path", "relative_path", "content", "error"]
+
     def run(batches):
         out, held = [], 0
         for batch in batches:
-            for path, relative, size, problem in zip(
-                    batch["file_path"], batch["relative_path"], batch["size"], batch["error"]):
-                content = None
-                if problem is None and size > max_bytes:
-                    problem = f"file has {int(size)} bytes, more than one row can hold"
-                if problem is None:
-                    try:
-                        with open(path, "rb") as handle:
-                            content = handle.read()
-                    except OSError as failure:
-                        problem = str(failure)
-                out.append((path, relative, content, problem))
-                held += len(content or b"")
+            windows = zip(batch["since_ns"].astype("Int64"), batch["until_ns"].astype("Int64"))
+            for path, relative, explicit, (since, until) in zip(
+                    batch["file_path"], batch["relative_path"], batch["explicit"], windows):
+                bounded = until is not pd.NA
+                found = _read_one(path, explicit, since if bounded else None, until if bounded else None, max_bytes)
+                if found is None:
+                    continue
+                out.append((path, relative, *found))
+                held += len(found[0] or b"")
                 if held >= FLUSH_BYTES:
-                    yield pd.DataFrame(out, columns=["file_path", "relative_path", "content", "error"])
+                    yield pd.DataFrame(out, columns=columns)
                     out, held = [], 0
         if out:
-            yield pd.DataFrame(out, columns=["file_path", "relative_path", "content", "error"])
+            yield pd.DataFrame(out, columns=columns)
     return run
 
 
 def load_contents(listing: DataFrame, max_file_bytes: int = 1 << 30) -> DataFrame:
-    """Read the bytes of listed files; a file that cannot be read becomes an error row."""
-    return (listing.select("file_path", "relative_path", "size", "error")
-            .mapInPandas(_read_contents(max_file_bytes), CONTENT_SCHEMA))
+    """Read listed files; one that cannot be read becomes an error row."""
+    return listing.mapInPandas(_read_contents(max_file_bytes), CONTENT_SCHEMA)
 
 
-def spread_listing(listing: DataFrame, bytes_per_task: int = 128 << 20, files_per_task: int = 20_000) -> DataFrame:
-    """Spread a listing evenly over tasks sized by bytes and by file count.
+def spread_listing(listing: DataFrame, files_per_task: int = 2_000) -> DataFrame:
+    """Spread a written listing evenly over tasks.
 
     Only paths are shuffled.  The number of tasks is fixed, because adaptive
     execution would otherwise merge these small rows into a handful of tasks.
     """
-    size = listing.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()
-    floor = min(size["n"], listing.sparkSession.sparkContext.defaultParallelism)
-    tasks = max(1, floor, size["b"] // bytes_per_task + 1, size["n"] // files_per_task + 1)
-    return listing.repartition(int(tasks), "file_path")
+    count = listing.count()
+    cores = listing.sparkSession.sparkContext.defaultParallelism
+    return listing.repartition(max(1, min(count, cores), -(-count // files_per_task)), "file_path")
 
 
 def list_tree(spark: SparkSession, roots, suffixes=tuple(fixed.SUFFIX_LANGUAGES),
@@ -221,39 +219,47 @@ def list_tree(spark: SparkSession, roots, suffixes=tuple(fixed.SUFFIX_LANGUAGES)
             .options(**_options(roots, suffixes, skip_dirs, units)).load())
 
 
-def _stat_batches(batches):
-    for batch in batches:
-        rows = (_listing_row(str(PurePosixPath(p)), str(PurePosixPath(p)), p) for p in batch["file_path"])
-        yield pd.DataFrame([r for r in rows if r],
-                           columns=["file_path", "relative_path", "size", "changed_ns", "error"])
-
-
 def list_files(spark: SparkSession, paths) -> DataFrame:
     """Explicit paths, as a list or as a table with `file_path`: no suffix or
     directory rule applies to them."""
     named = paths if isinstance(paths, DataFrame) else spark.createDataFrame(
-        [(str(p),) for p in paths], "file_path string")
-    return named.select("file_path").distinct().mapInPandas(_stat_batches, LISTING_SCHEMA)
+        [(str(PurePosixPath(p)),) for p in paths], "file_path string")
+    no_bound = F.lit(None).cast("bigint")
+    return named.select("file_path").distinct().select(
+        "file_path", F.col("file_path").alias("relative_path"), F.lit(True).alias("explicit"),
+        no_bound.alias("since_ns"), no_bound.alias("until_ns"))
+
+
+def _once(listing: DataFrame) -> DataFrame:
+    """Each path once; a path that is also named explicitly counts as explicit."""
+    return listing.groupBy("file_path").agg(
+        F.min("relative_path").alias("relative_path"), F.bool_or("explicit").alias("explicit"),
+        F.min("since_ns").alias("since_ns"), F.max("until_ns").alias("until_ns"))
+
+
+def _read(listing: DataFrame) -> DataFrame:
+    return load_contents(spread_listing(materialise(listing, "listing")))
 
 
 def read_source_tree(spark: SparkSession, roots, suffixes=tuple(fixed.SUFFIX_LANGUAGES),
                      skip_dirs=fixed.SKIP_DIRS) -> DataFrame:
     """Contents of all scannable files below the roots."""
-    listing = materialise(list_tree(spark, roots, suffixes, skip_dirs), "listing")
-    return load_contents(spread_listing(listing))
+    return _read(_once(list_tree(spark, roots, suffixes, skip_dirs)))
 
 
 def read_source_files(spark: SparkSession, paths) -> DataFrame:
     """Contents of explicitly named files; missing ones become error rows."""
-    listing = materialise(list_files(spark, paths), "listing")
-    return load_contents(spread_listing(listing.dropDuplicates(["file_path"])))
+    return _read(list_files(spark, paths))
 
 
 def read_sources(spark: SparkSession, roots=(), paths=()) -> DataFrame:
     """Directories and explicit files together, each path once."""
-    listing = list_tree(spark, roots).unionByName(list_files(spark, paths))
-    once = materialise(listing.dropDuplicates(["file_path"]), "listing")
-    return load_contents(spread_listing(once))
+    return _read(_once(list_tree(spark, roots).unionByName(list_files(spark, paths))))
+
+
+def read_listing(listing: DataFrame) -> DataFrame:
+    """Contents of a micro-batch of listed files, each path once."""
+    return _read(_once(listing))
 
 
 def stream_listing(spark: SparkSession, roots, suffixes=tuple(fixed.SUFFIX_LANGUAGES),

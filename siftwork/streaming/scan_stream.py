@@ -11,7 +11,7 @@ from ..schema import FINDING_COLUMNS
 from ..session import materialise
 from ..sources.cache import FindingCache
 from ..sources.inputs import decode_text
-from ..sources.tree import load_contents, spread_listing, stream_listing
+from ..sources.tree import read_listing, stream_listing
 
 
 def start_scan_stream(spark: SparkSession, roots, out: str, checkpoint: str, *,
@@ -26,11 +26,10 @@ def start_scan_stream(spark: SparkSession, roots, out: str, checkpoint: str, *,
     and batch id, so a retry does not add them twice.
     """
     def run(listing: DataFrame, batch_id: int) -> None:
-        listed = materialise(listing.dropDuplicates(["file_path"]), "batch-listing")
-        if listed.isEmpty():
+        files = materialise(decode_text(read_listing(listing)), "batch")
+        if files.isEmpty():
             return
-        files = decode_text(load_contents(spread_listing(listed)))
-        result = scan(files, replies, cache.read() if cache else None, use_static=use_static,
+        result = scan(files, replies, cache, use_static=use_static,
                       min_severity=min_severity, gate=gate, patterns=patterns)
         # Results are written before the cache changes: a retry that finds its
         # own contents cached reports the same findings.
