@@ -33,7 +33,7 @@ class SecretPattern:
 
 _SPACE = r"[\s\x1C-\x1F]"
 # Letters that also fold to the given ASCII letter.
-_FOLDS = {"s": "ſ", "k": "K", "i": "İı"}
+_FOLDS = {"s": "\u017f", "k": "\u212a", "i": "\u0130\u0131"}
 # Every keyword of the assignment patterns ends in d, y or n.
 _ASSIGNED_TEXT = rf"""(?U)[dDyYnN]{_SPACE}*={_SPACE}*["']"""
 
