@@ -172,6 +172,20 @@ def describe_hits(hits: DataFrame, *keys: str, patterns=BUILTIN_PATTERNS) -> Dat
     return static_rows(hits.withColumn("ordinal", ordinal), secret_message(_check(patterns)), *keys)
 
 
+def line_of(code: Column) -> Column:
+    return F.shiftright(code, SUB_BITS)
+
+
+def pattern_of(code: Column) -> Column:
+    return code.bitwiseAND(F.lit(MAX_PATTERNS - 1)).cast("int")
+
+
+def describe_codes(hits: DataFrame, *keys: str, patterns=BUILTIN_PATTERNS) -> DataFrame:
+    """Findings of rows holding one hit code each."""
+    narrow = hits.select(*keys, line_of(F.col("code")).alias("line_number"), pattern_of(F.col("code")).alias("pattern_idx"))
+    return describe_hits(narrow, *keys, patterns=patterns)
+
+
 def secret_findings(files: DataFrame, *keys: str, patterns=BUILTIN_PATTERNS, text: str = "text") -> DataFrame:
     """Secret findings of any text, one per (key, type, line).
 

@@ -12,10 +12,10 @@ from ..operators.merge import at_least, merge_findings
 from ..operators.replies import reply_findings
 from ..operators.rollups import distinct_contents, file_rollup_by_hash, run_rollup
 from ..operators.rules import RULE_TYPES, WATCHED_NAMES, call_message, call_ordinal, rule_index
-from ..operators.secrets import BUILTIN_PATTERNS, describe_hits, hit_codes, secret_findings, secret_message
+from ..operators.secrets import BUILTIN_PATTERNS, describe_codes, hit_codes, line_of, pattern_of, secret_findings, secret_message
 from ..operators.skew import first_wins, spread_join
 from ..operators.static_rows import static_rows
-from ..schema import FINDING_COLUMNS, STAGE_SECRET, SUB_BITS, finding_rows, stage_base
+from ..schema import FINDING_COLUMNS, STAGE_SECRET, finding_rows, stage_base
 from ..session import materialise
 from ..sources.cache import CacheTables, FindingCache, cache_lookup
 from ..sources.inputs import with_identity
@@ -38,16 +38,15 @@ def findings_of_sites(sites: DataFrame, *keys: str, patterns=BUILTIN_PATTERNS) -
     and only hits, without their message text, are shuffled to be de-duplicated.
     """
     is_secret = F.col("call_seq") == SECRET_ROW
-    pattern_idx = F.col("code").bitwiseAND(F.lit((1 << SUB_BITS) - 1)).cast("int")
     types = F.array(*[F.lit(t) for t in (*RULE_TYPES, *(p.type for p in patterns))])
     narrow = (sites.where(is_secret | (F.col("call_seq") >= 0))
               .withColumn("rule_idx", F.when(~is_secret, rule_index()))
-              .withColumn("pattern_idx", F.when(is_secret, pattern_idx))
+              .withColumn("pattern_idx", F.when(is_secret, pattern_of(F.col("code"))))
               .where("rule_idx is not null or pattern_idx is not null")
               .select(*keys,
                       F.when(is_secret, F.lit(stage_base(STAGE_SECRET)) + F.col("code"))
                       .otherwise(call_ordinal()).alias("ordinal"),
-                      F.coalesce(F.shiftright("code", SUB_BITS), "line_number").alias("line_number"),
+                      F.coalesce(line_of(F.col("code")), "line_number").alias("line_number"),
                       F.element_at(types, 1 + F.coalesce("rule_idx", F.lit(len(RULE_TYPES)) + F.col("pattern_idx")))
                       .alias("_type"),
                       "rule_idx", "pattern_idx", "func_name", "arg0_kind"))
@@ -105,13 +104,18 @@ def scan(files: DataFrame, replies: DataFrame | None = None, cache: CacheTables
     """Scan `files` (file_path, text, optional error).
 
     Each distinct content is analysed once, under the language of its smallest
-    path, and only if the cache does not know it.  Texts are read twice: once to
-    hash them, once for the representatives that still need analysis.
+    path, and only if the cache does not know it.  With the parse gate, texts are
+    read twice: once to hash them, once for the representatives that still need
+    analysis.  Without it, line patterns run in the hashing pass, because they
+    cost less than a second read and a shuffle of texts.
     """
     if "error" not in files.columns:
         files = files.withColumn("error", F.lit(None).cast("string"))
-    manifest = materialise(
-        with_identity(files).select("file_path", "file_hash", "language", "error"), "manifest")
+    in_one_pass = use_static and gate == "none"
+    codes = [hit_codes(F.col("text"), patterns).alias("codes")] if in_one_pass else []
+    hashed = materialise(
+        with_identity(files).select("file_path", "file_hash", "language", "error", *codes), "manifest")
+    manifest = hashed.drop("codes")
 
     contents = distinct_contents(manifest.where("file_hash <> ''"))
     if isinstance(cache, FindingCache):
@@ -122,10 +126,14 @@ def scan(files: DataFrame, replies: DataFrame | None = None, cache: CacheTables
     misses = contents.where("not from_cache").select("file_hash", "file_path", "language")
 
     fresh = None
-    if use_static:
-        wanted = misses if gate == "none" else misses.where("language = 'Python'")
-        texts = files.select("file_path", "text").join(wanted.select("file_path", "file_hash"), "file_path")
-        fresh = static_findings(texts, "file_hash", gate=gate, patterns=patterns)
+    if in_one_pass:
+        hit = hashed.where("size(codes) > 0").select("file_path", F.explode("codes").alias("code"))
+        fresh = describe_codes(hit.join(misses.select("file_path", "file_hash"), "file_path"),
+                               "file_hash", patterns=patterns)
+    elif use_static:
+        wanted = misses.where("language = 'Python'").select("file_path", "file_hash")
+        texts = files.select("file_path", "text").join(wanted, "file_path")
+        fresh = static_findings(texts, "file_hash", patterns=patterns)
     failed_replies = None
     if replies is not None:
         wanted_replies = replies.join(misses.select("file_hash"), "file_hash", "left_semi")
@@ -134,8 +142,7 @@ def scan(files: DataFrame, replies: DataFrame | None = None, cache: CacheTables
         fresh = found if fresh is None else merge_findings(
             materialise(fresh, "static"), materialise(found, "replies"), "file_hash")
     if fresh is None:
-        fresh = describe_hits(misses.limit(0).select(
-            "file_hash", F.lit(0).cast("bigint").alias("line_number"), F.lit(0).alias("pattern_idx")), "file_hash")
+        fresh = describe_codes(misses.limit(0).select("file_hash", F.lit(0).cast("bigint").alias("code")), "file_hash")
     fresh = materialise(finding_rows(fresh, "file_hash"), "fresh")
 
     entries = misses.withColumn("scanned_at", F.current_timestamp())

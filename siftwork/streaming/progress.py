@@ -25,59 +25,81 @@ def parse_events(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.select(F.from_json(F.col(column), EVENT_SCHEMA).alias("e")).select("e.*")
 
 
-def file_progress(events: DataFrame) -> DataFrame:
-    """Latest status per (scan, file): scanning, clean, done or skip.
+def _fold(events: DataFrame) -> DataFrame:
+    """Newest start, result and skip per (scan, file), and the scan's completion.
+
+    Completion carries no file and forms a group of its own.
+    """
+    kind, seq = F.col("type"), F.col("seq")
+
+    def newest(name, *columns):
+        return F.max(F.when(kind == name, F.struct(seq, *columns)))
+    return (events.where(kind.isin("file_start", "file_done", "file_skip", "complete"))
+            .groupBy("scan_id", F.when(kind != "complete", F.col("file")).alias("file")).agg(
+                F.min(F.when(kind == "file_start", seq)).alias("first_start"),
+                newest("file_start", "language", "index", "total").alias("start"),
+                newest("file_done", "findings", "severity").alias("done"),
+                F.max(F.when(kind == "file_skip", seq)).alias("skip"),
+                newest("complete", "total_files").alias("complete")))
+
+
+def _state(folded: DataFrame) -> DataFrame:
+    """Latest status of folded files: scanning, clean, done or skip.
 
     Results and skips before the first start of a file are ignored; a new start
     resets what was known.
     """
-    kind, seq = F.col("type"), F.col("seq")
-    folded = (
-        events.where(kind.isin("file_start", "file_done", "file_skip"))
-        .groupBy("scan_id", "file").agg(
-            F.min(F.when(kind == "file_start", seq)).alias("first_start"),
-            F.max(F.when(kind == "file_start", F.struct(seq, F.col("language")))).alias("start"),
-            F.max(F.when(kind == "file_done", F.struct(seq, F.col("findings"), F.col("severity")))).alias("done"),
-            F.max(F.when(kind == "file_skip", seq)).alias("skip")))
     fresh_done = F.coalesce(F.col("done.seq") > F.col("start.seq"), F.lit(False))
     skipped = F.coalesce((F.col("skip") > F.col("start.seq"))
                          & (F.col("skip") > F.coalesce(F.col("done.seq"), F.lit(-1))), F.lit(False))
     found = F.when(fresh_done, F.col("done.findings")).otherwise(0)
-    return folded.where("first_start is not null").select(
+    return folded.select(
         "scan_id", "file",
         F.col("start.language").alias("language"),
-        F.when(skipped, "skip").when(~fresh_done, "scanning").when(found > 0, "done").otherwise("clean")
-        .alias("status"),
+        F.when(F.col("first_start").isNull(), None).when(skipped, "skip").when(~fresh_done, "scanning")
+        .when(found > 0, "done").otherwise("clean").alias("status"),
         found.cast("bigint").alias("findings"),
         F.when(fresh_done, F.col("done.severity")).alias("severity"),
-        F.greatest(F.col("start.seq"), F.col("done.seq"), F.col("skip")).alias("last_seq"))
+        F.greatest(F.col("start.seq"), F.col("done.seq"), F.col("skip")).alias("last_seq"),
+        # Where the progress bar stood at this file's start, or at completion.
+        F.when(F.col("complete").isNotNull(), F.struct(
+            F.col("complete.seq").alias("seq"), F.col("complete.total_files").alias("done"),
+            F.col("complete.total_files").alias("total")))
+        .when(F.col("start").isNotNull(), F.struct(
+            F.col("start.seq").alias("seq"), F.col("start.index").alias("done"), F.col("start.total").alias("total")))
+        .alias("bar"))
+
 
+def file_states(events: DataFrame) -> DataFrame:
+    """State per (scan, file) with the bar position; what a stream stores."""
+    return _state(_fold(events)).where("bar is not null")
 
-def bar_position(events: DataFrame) -> DataFrame:
-    """Per scan, the latest position of the progress bar; completion fills it."""
-    done = F.when(F.col("type") == "complete", F.col("total_files")).otherwise(F.col("index"))
-    total = F.when(F.col("type") == "complete", F.col("total_files")).otherwise(F.col("total"))
-    moved = events.where(F.col("type").isin("file_start", "complete")).groupBy("scan_id").agg(
-        F.max(F.struct("seq", done.alias("done"), total.alias("total"))).alias("bar"))
-    return moved.select("scan_id", progress_pct(F.col("bar.done"), F.col("bar.total")).alias("pct"))
+
+def file_progress(events: DataFrame) -> DataFrame:
+    """Latest status per (scan, file)."""
+    return file_states(events).where("status is not null").drop("bar")
 
 
-def scan_totals(progress: DataFrame) -> DataFrame:
-    """Per scan, counts over the latest file states; files listed include skipped ones."""
-    return progress.groupBy("scan_id").agg(
-        F.count(F.lit(1)).alias("files_listed"),
-        F.count_if(F.col("status") != "skip").alias("files_reported"),
-        F.count_if(F.col("status").isin("clean", "done", "skip")).alias("files_finished"),
-        F.coalesce(F.sum(F.when(F.col("status") != "skip", F.col("findings"))), F.lit(0).cast("bigint"))
-        .alias("findings_so_far"))
+def scan_totals(states: DataFrame) -> DataFrame:
+    """Per scan, the latest bar percentage and counts over the latest file states.
+
+    Files listed include skipped ones, files reported do not.
+    """
+    status = F.col("status")
+    return states.groupBy("scan_id").agg(
+        F.max("bar").alias("bar"),
+        F.count(status).alias("files_listed"),
+        F.count_if(status != "skip").alias("files_reported"),
+        F.count_if(status.isin("clean", "done", "skip")).alias("files_finished"),
+        F.coalesce(F.sum(F.when(status != "skip", F.col("findings"))), F.lit(0).cast("bigint"))
+        .alias("findings_so_far"),
+    ).select("scan_id", progress_pct(F.col("bar.done"), F.col("bar.total")).alias("pct"),
+             "files_listed", "files_reported", "files_finished", "findings_so_far")
 
 
 def scan_progress(events: DataFrame) -> DataFrame:
-    """Batch form: totals of every scan that moved its bar, with the bar's percentage."""
-    return bar_position(events).join(scan_totals(file_progress(events)), "scan_id", "left").select(
-        "scan_id", "pct",
-        *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
-          for c in ("files_listed", "files_reported", "files_finished", "findings_so_far")])
+    """Totals of every scan that moved its bar; two aggregations over one read of the events."""
+    return scan_totals(file_states(events))
 
 
 def completion_counts(events: DataFrame) -> DataFrame:
@@ -112,13 +134,20 @@ def start_file_progress(events: DataFrame, out: str, checkpoint: str, **trigger)
     def store(changed: DataFrame, batch_id: int) -> None:
         changed.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    return (file_progress(events).writeStream.outputMode("update")
+    return (file_states(events).writeStream.outputMode("update")
             .option("checkpointLocation", checkpoint).foreachBatch(store).trigger(**trigger).start())
 
 
-def current_file_progress(spark: SparkSession, out: str) -> DataFrame:
-    """Latest state per (scan, file) from the folder of `start_file_progress`."""
+def current_file_states(spark: SparkSession, out: str) -> DataFrame:
+    """Latest state per (scan, file) from the folder of `start_file_progress`.
+
+    `scan_totals` of it gives the scans' progress.
+    """
     states = spark.read.parquet(out)
     columns = [c for c in states.columns if c not in ("scan_id", "file", "batch")]
     newest = states.groupBy("scan_id", "file").agg(F.max_by(F.struct(*columns), "batch").alias("s"))
     return newest.select("scan_id", "file", "s.*")
+
+
+def current_file_progress(spark: SparkSession, out: str) -> DataFrame:
+    return current_file_states(spark, out).where("status is not null").drop("bar")

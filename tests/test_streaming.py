@@ -55,6 +55,9 @@ def expected(log):
 COLUMNS = ("scan_id", "file", "language", "status", "findings", "severity")
 
 
+TOTALS = ("scan_id", "pct", "files_listed", "files_reported", "files_finished", "findings_so_far")
+
+
 def lines(spark, rows):
     return spark.createDataFrame([(json.dumps(e),) for e in rows], "value string")
 
@@ -71,8 +74,10 @@ def test_file_progress_batch_and_stream(spark, log, tmp_path):
     current = progress.current_file_progress(spark, str(tmp_path / "out"))
     assert values(current, *COLUMNS) == expected(log)
     # The scan totals follow from the stored states alone.
-    assert values(progress.scan_totals(current), "scan_id", "files_listed", "findings_so_far") == values(
-        progress.scan_totals(batch), "scan_id", "files_listed", "findings_so_far")
+    totals = values(progress.scan_totals(progress.current_file_states(spark, str(tmp_path / "out"))), *TOTALS)
+    assert totals == values(progress.scan_progress(progress.parse_events(lines(spark, log))), *TOTALS)
+    states = expected(log)
+    assert [t[2] for t in totals] == [sum(s[0] == i for s in states) for i in range(6)]
 
 
 def test_progress_bar_and_completion(spark):
