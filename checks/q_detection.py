@@ -14,7 +14,7 @@ from siftwork.sources.cache import CacheTables
 from . import registry as r
 from .q_functions import BLOCKS
 from .registry import query
-from .views import corpus, py_corpus, view
+from .views import corpus, load_tables, py_corpus, view
 
 #: A user-supplied pattern: the corpus holds such tokens, the built-in patterns rarely hit it.
 TOKEN = SecretPattern('(?i)token\\s*=\\s*"[0-9a-f]{40}"', "Hardcoded Token", "HIGH")
@@ -143,9 +143,8 @@ FROM documents)"""
 
 
 def _planted(spark, d):
-    view(spark, d, "corpus")
-    from .views import spread_texts
-    return spread_texts(spark.sql(f"WITH {PLANTED} SELECT * FROM planted"), "file_id")
+    load_tables(spark, d)
+    return spark.sql(f"WITH {PLANTED} SELECT * FROM planted")
 
 
 def _secret_rule(name, index):
@@ -261,7 +260,7 @@ merged AS (SELECT * FROM static_fresh UNION ALL
 by_hash AS (SELECT *, {r.score('severity')} AS severity_score FROM merged WHERE {r.score('severity')} >= 1)"""
 
 
-def _scan(spark, d):
+def _scan(spark, d, use_cache=True, **options):
     files = py_corpus(spark, d).select("file_id", "file_path", "text")
     hashed = files.select("file_id", "file_path", F.sha2("text", 256).alias("file_hash"))
     # A reply belongs to the smallest path of its content.
@@ -274,7 +273,8 @@ def _scan(spark, d):
         F.lit("i").alias("impact"), F.lit("f").alias("fix"), F.lit(7).cast("bigint").alias("line_number"),
         secrets.labels.infer_owasp(F.lit("Path Traversal")).alias("owasp"), F.lit(0.5).alias("confidence"),
         F.lit("llm").alias("source"))
-    return scan(files.select("file_path", "text"), replies, CacheTables(known, remembered))
+    cache = CacheTables(known, remembered) if use_cache else None
+    return scan(files.select("file_path", "text"), replies, cache, **options)
 
 
 @query("r15_scan_findings", f"""WITH {_SCAN}
@@ -283,6 +283,18 @@ def r15_findings(spark, d):
     return _scan(spark, d).findings
 
 
+@query("p4_toggles", f"""WITH
+py_files AS (SELECT file_id, file_path, sha256(text) AS file_hash FROM py_corpus), {REPLY_FINDINGS},
+reps AS (SELECT file_hash, arg_min(file_id, file_path) AS resp_id FROM py_files GROUP BY file_hash)
+SELECT f.file_path, f.file_hash, {_FIELDS}
+FROM (SELECT *, {r.score('severity')} AS severity_score
+      FROM (SELECT * FROM reply_findings UNION ALL SELECT * FROM reply_errors) u) x
+JOIN reps USING (resp_id) JOIN py_files f USING (file_hash) WHERE severity_score >= 3""")
+def p4(spark, d):
+    """A scan without static pass and cache, at a raised threshold."""
+    return _scan(spark, d, use_cache=False, use_static=False, min_severity="HIGH").findings
+
+
 _R15_FILES = f"""{_SCAN},
 rolled AS (
 SELECT f.file_path, f.file_hash, f.language, f.file_hash IN (SELECT file_hash FROM cached) AS from_cache,

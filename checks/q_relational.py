@@ -10,7 +10,7 @@ from siftwork.sources import cache as cache_ops, inputs
 
 from . import registry as r
 from .registry import query
-from .views import corpus, view
+from .views import corpus, load_tables, view
 
 
 def typed(spark, d):
@@ -140,7 +140,7 @@ def a7(spark, d):
 SELECT CAST(count(*) AS BIGINT) AS cached_files, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS oldest,
        strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS newest FROM events WHERE event_type = 'view'""")
 def a8(spark, d):
-    view(spark, d, "findings")
+    load_tables(spark, d)
     entries = spark.table("events").where("event_type = 'view'").select(F.col("ts").alias("scanned_at"))
     stats = cache_ops.cache_stats(entries)
     return stats.select("cached_files", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("oldest", "newest")])

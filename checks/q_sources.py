@@ -5,9 +5,8 @@ import os
 import pandas as pd
 from pyspark.sql import functions as F
 
-from siftwork import fixed
 from siftwork.functions.paths import detect_language
-from siftwork.operators import merge, rollups
+from siftwork.operators import rollups
 from siftwork.operators.skew import spread_join
 from siftwork.plans import reports
 from siftwork.session import fresh_path
@@ -245,10 +244,3 @@ def snk2(spark, d):
     return reports.sarif_document_lines(good, "run").agg(
         F.count_if(F.col("section") == 1).alias("rules"), F.count_if(F.col("section") == 3).alias("results"),
         F.count_distinct("section").alias("sections"))
-
-
-@query("p4_toggles", f"""
-WITH {r.TYPED} SELECT {FINDING_COLS} FROM typed WHERE source = 'llm' AND severity_score >= {fixed.SEVERITY_SCORES['LOW']}""")
-def p4(spark, d):
-    """With the static pass switched off only reply findings remain, none of them covered."""
-    return merge.at_least(typed(spark, d).where("source = 'llm'"), "LOW").select(*OUT)

@@ -12,7 +12,7 @@ from . import registry as r
 from .q_detection import PATTERNS, _secrets_cte
 from .q_sources import export_tree
 from .registry import query
-from .views import corpus, view
+from .views import corpus, load_tables, view
 
 
 def event_lines(spark, d):
@@ -89,7 +89,7 @@ FROM (SELECT *, CASE WHEN event_type = 'error' AND event_id % 9 = 0 THEN 'error'
                      WHEN event_type = 'signup' AND event_id % 9 = 1 THEN 'complete' END AS kind FROM events) e
 GROUP BY user_id""")
 def t6(spark, d):
-    view(spark, d, "scan_events")
+    load_tables(spark, d)
     raw = spark.table("events").select(
         F.col("user_id").alias("scan_id"), F.col("event_id").alias("seq"),
         F.when((F.col("event_type") == "error") & (F.col("event_id") % 9 == 0), "error")

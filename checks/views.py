@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ("documents", "events", "pages")
+TABLES = {"documents": "doc_id", "events": "event_id", "pages": "page_id"}
 
 VIEWS = {
     "corpus": """
@@ -140,31 +140,34 @@ NEEDS = {
 }
 
 
-def spread_texts(df: DataFrame, key: str) -> DataFrame:
-    """Texts of a table that sits in fewer splits than there are cores.
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a table that sits in fewer splits than there are cores.
 
-    A single small parquet row group would keep text work on one core; larger
+    A single small parquet row group would keep all work on one core; larger
     tables already have more splits than cores and are left as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
+def load_tables(spark: SparkSession, sf_dir: str) -> None:
+    for table, key in TABLES.items():
+        spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"), key).createOrReplaceTempView(table)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    for table in TABLES:
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+    load_tables(spark, sf_dir)
     for needed in NEEDS.get(name, ()):
         spark.sql(VIEWS[needed]).createOrReplaceTempView(needed)
     return spark.sql(VIEWS[name].replace("@SHA256(file_path)", "sha2(file_path, 256)"))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = view(spark, sf_dir, "corpus").withColumnRenamed("content", "text")
-    return spread_texts(files, "file_id")
+    return view(spark, sf_dir, "corpus").withColumnRenamed("content", "text")
 
 
 def py_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread_texts(view(spark, sf_dir, "py_corpus"), "file_id")
+    return view(spark, sf_dir, "py_corpus")
 
 
 def duck_views() -> str:

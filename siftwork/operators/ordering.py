@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-CHUNK_BITS = 16
+CHUNK_BITS = 22
 
 
 def worst_first() -> list[Column]:
@@ -22,12 +22,11 @@ def rank_in_file(findings: DataFrame, *keys: str) -> DataFrame:
     """Adds `rank_in_file`, the 1-based position of a finding within its key.
 
     A plain window over the key would put a whole file in one task.  Here rows
-    are numbered inside cells (key, score, confidence, block of 2^16 ordinals),
-    which are bounded because ordinals are unique per file, and each cell gets
-    the number of rows in front of it from running sums over cell counts.
+    are numbered inside cells (key, score, confidence, block of 2^22 ordinals),
+    which are bounded because ordinals are unique per file; only the cells'
+    counts meet per file, to give each cell the number of rows in front of it.
     """
-    level = [*keys, "_score", "_conf"]
-    cell = [*level, "_chunk"]
+    cell = [*keys, "_score", "_conf", "_chunk"]
     celled = findings.select(
         "*",
         F.coalesce("severity_score", F.lit(-1)).alias("_score"),
@@ -35,17 +34,10 @@ def rank_in_file(findings: DataFrame, *keys: str) -> DataFrame:
         F.shiftright("ordinal", CHUNK_BITS).alias("_chunk"),
     )
     within = F.row_number().over(Window.partitionBy(*cell).orderBy("ordinal"))
-
-    cells = celled.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
-    levels = cells.groupBy(*level).agg(F.sum("_n").alias("_level_n"))
-    before_level = (F.sum("_level_n").over(
-        Window.partitionBy(*keys).orderBy(F.desc("_score"), F.desc("_conf"))) - F.col("_level_n"))
-    before_cell = F.sum("_n").over(Window.partitionBy(*level).orderBy("_chunk")) - F.col("_n")
-    offsets = (cells.select(*cell, before_cell.alias("_in_level"))
-               .join(levels.select(*level, before_level.alias("_levels")), level)
-               .select(*cell, (F.col("_levels") + F.col("_in_level")).alias("_before")))
-
+    in_front = Window.partitionBy(*keys).orderBy(F.desc("_score"), F.desc("_conf"), "_chunk")
+    offsets = celled.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")).select(
+        *cell, (F.sum("_n").over(in_front) - F.col("_n")).alias("_before"))
     return (celled.withColumn("_within", within)
             .join(offsets, cell)
-            .withColumn("rank_in_file", (F.col("_before") + F.col("_within")).cast("bigint"))
+            .withColumn("rank_in_file", F.col("_before") + F.col("_within"))
             .drop("_score", "_conf", "_chunk", "_within", "_before"))

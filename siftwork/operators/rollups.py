@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed
 from ..functions import labels
-from .skew import spread_join
 
 SEVERITY_COLUMNS = [s.lower() for s in fixed.SEVERITY_SCORES]
 
@@ -43,15 +42,6 @@ def file_rollup(files: DataFrame, findings: DataFrame) -> DataFrame:
     return dense(files.join(finding_rollup(findings, "file_path"), "file_path", "left"))
 
 
-def file_rollup_by_hash(files: DataFrame, findings: DataFrame) -> DataFrame:
-    """One row per file from findings kept once per content.
-
-    Findings are rolled up per content first; copies of one content then share
-    that single row, spread over tasks when there are very many.
-    """
-    return dense(spread_join(files, finding_rollup(findings, "file_hash"), ["file_hash"], "left", ["file_path"]))
-
-
 def run_severity_counts(findings: DataFrame) -> DataFrame:
     return findings.agg(*severity_count_columns())
 

@@ -10,7 +10,7 @@ from ..functions.paths import detect_language
 from ..operators.callsites import SECRET_ROW, call_sites_with_hits
 from ..operators.merge import at_least, merge_findings
 from ..operators.replies import reply_findings
-from ..operators.rollups import distinct_contents, file_rollup_by_hash, run_rollup
+from ..operators.rollups import dense, distinct_contents, finding_rollup, run_rollup
 from ..operators.rules import RULE_TYPES, WATCHED_NAMES, call_message, call_ordinal, rule_index
 from ..operators.secrets import BUILTIN_PATTERNS, describe_codes, hit_codes, line_of, pattern_of, secret_findings, secret_message
 from ..operators.skew import first_wins, spread_join
@@ -117,12 +117,15 @@ def scan(files: DataFrame, replies: DataFrame | None = None, cache: CacheTables
         with_identity(files).select("file_path", "file_hash", "language", "error", *codes), "manifest")
     manifest = hashed.drop("codes")
 
-    contents = distinct_contents(manifest.where("file_hash <> ''"))
-    if isinstance(cache, FindingCache):
-        cache = cache.read(only=contents)
-    contents = (cache_lookup(contents, cache.entries) if cache
-                else contents.withColumn("from_cache", F.lit(False)))
-    contents = materialise(contents.withColumn("language", detect_language(F.col("file_path"))), "contents")
+    contents = distinct_contents(manifest.where("file_hash <> ''")).withColumn(
+        "language", detect_language(F.col("file_path")))
+    if cache is None:
+        contents = materialise(contents.withColumn("from_cache", F.lit(False)), "contents")
+    else:
+        distinct = materialise(contents, "distinct")
+        if isinstance(cache, FindingCache):
+            cache = cache.read(only=distinct)
+        contents = materialise(cache_lookup(distinct, cache.entries), "contents")
     misses = contents.where("not from_cache").select("file_hash", "file_path", "language")
 
     fresh = None
@@ -131,16 +134,21 @@ def scan(files: DataFrame, replies: DataFrame | None = None, cache: CacheTables
         fresh = describe_codes(hit.join(misses.select("file_path", "file_hash"), "file_path"),
                                "file_hash", patterns=patterns)
     elif use_static:
+        # The language filter on the text side drops other texts before any shuffle.
         wanted = misses.where("language = 'Python'").select("file_path", "file_hash")
-        texts = files.select("file_path", "text").join(wanted, "file_path")
+        python_files = files.where(detect_language(F.col("file_path")) == "Python")
+        texts = python_files.select("file_path", "text").join(wanted, "file_path")
         fresh = static_findings(texts, "file_hash", patterns=patterns)
     failed_replies = None
     if replies is not None:
         wanted_replies = replies.join(misses.select("file_hash"), "file_hash", "left_semi")
         failed_replies = wanted_replies.where("error is not null or response_text is null").select("file_hash")
         found = reply_findings(wanted_replies, "file_hash")
-        fresh = found if fresh is None else merge_findings(
-            materialise(fresh, "static"), materialise(found, "replies"), "file_hash")
+        if fresh is not None:
+            # Both passes run in one job and are written before the merge reads them repeatedly.
+            both = materialise(fresh.unionByName(found), "analysed")
+            found = merge_findings(both.where("source = 'static'"), both.where("source <> 'static'"), "file_hash")
+        fresh = found
     if fresh is None:
         fresh = describe_codes(misses.limit(0).select("file_hash", F.lit(0).cast("bigint").alias("code")), "file_hash")
     fresh = materialise(finding_rows(fresh, "file_hash"), "fresh")
@@ -159,9 +167,11 @@ def scan(files: DataFrame, replies: DataFrame | None = None, cache: CacheTables
             finding_rows(cache.findings.join(hits, "file_hash", "left_semi"), "file_hash"))
     by_hash = at_least(by_hash, min_severity)
 
-    flags = contents.select("file_hash", "from_cache")
-    flagged = spread_join(manifest, flags, ["file_hash"], "left", ["file_path"]).withColumn(
-        "from_cache", F.coalesce("from_cache", F.lit(False)))
+    # Everything known per content first, so that copies are joined only once.
+    per_content = contents.select("file_hash", "from_cache").join(
+        finding_rollup(by_hash, "file_hash"), "file_hash", "left")
+    rolled = dense(spread_join(manifest, per_content, ["file_hash"], "left", ["file_path"]).withColumn(
+        "from_cache", F.coalesce("from_cache", F.lit(False))))
     return ScanResult(
-        files=file_rollup_by_hash(flagged, by_hash), by_hash=by_hash, manifest=manifest,
+        files=rolled, by_hash=by_hash, manifest=manifest,
         fresh_entries=entries, fresh_findings=storable)

@@ -38,6 +38,19 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def size_shuffles(spark: SparkSession, input_bytes: int, per_partition: int = 256 << 20, most: int = 60_000) -> int:
+    """Start shuffles wide enough for an input of the given size.
+
+    Adaptive execution merges small partitions but cannot split evenly large
+    ones, so the starting number has to fit the data: about 256 MB each, never
+    below the session's own setting.
+    """
+    current = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = max(current, min(most, -(-input_bytes // per_partition)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(wanted))
+    return wanted
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster.
 
