@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +34,7 @@ def query(name: str, oracle: str | None = None):
 def with_ctes(statement: str) -> str:
     """A statement that opens with its own WITH continues the view list."""
     body = statement.strip()
-    return "," + body[5:] if body.upper().startswith("WITH ") else body
+    return "," + body[4:] if re.match(r"WITH\s", body) else body
 
 
 # --- SQL snippets of the oracle side ----------------------------------------

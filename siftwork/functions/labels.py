@@ -10,7 +10,8 @@ from .. import fixed
 from .text import strip_ws
 
 
-def _choose(col: Column, table: dict) -> Column:
+def choose(col: Column, table: dict) -> Column:
+    """Value of a small fixed table by key, null for other keys."""
     picked = None
     for key, value in table.items():
         picked = F.when(col == key, value) if picked is None else picked.when(col == key, value)
@@ -18,11 +19,11 @@ def _choose(col: Column, table: dict) -> Column:
 
 
 def severity_score(severity: Column) -> Column:
-    return _choose(severity, fixed.SEVERITY_SCORES)
+    return choose(severity, fixed.SEVERITY_SCORES)
 
 
 def severity_of(score: Column) -> Column:
-    return _choose(score, {v: k for k, v in fixed.SEVERITY_SCORES.items()})
+    return choose(score, {v: k for k, v in fixed.SEVERITY_SCORES.items()})
 
 
 def type_key(finding_type: Column) -> Column:
@@ -57,11 +58,11 @@ def rule_name(finding_type: Column) -> Column:
 
 
 def sarif_level(severity: Column) -> Column:
-    return _choose(severity, fixed.SARIF_LEVELS)
+    return choose(severity, fixed.SARIF_LEVELS)
 
 
 def security_severity(severity: Column) -> Column:
-    return _choose(severity, fixed.SARIF_SECURITY_SEVERITY)
+    return choose(severity, fixed.SARIF_SECURITY_SEVERITY)
 
 
 def precision(confidence: Column) -> Column:

@@ -10,35 +10,25 @@ from ..schema import STAGE_CALL, SUB_BITS, stage_base
 from .static_rows import static_rows
 
 
-def _on_module(module: str, *names: str) -> Column:
+def _on_module(module: str, *names: str) -> str:
     # Names are taken as written; import aliases are not resolved.
-    return (F.col("func_kind") == "attribute") & (F.col("base_name") == module) & F.col("func_name").isin(*names)
+    among = ", ".join(f"'{n}'" for n in names)
+    return f"func_kind = 'attribute' AND base_name = '{module}' AND func_name IN ({among})"
 
 
-def _conditions() -> dict[str, tuple[Column, Column]]:
-    """Rule name -> (condition, confidence in hundredths)."""
-    sql_confidence = None
-    for kind, (_, value) in fixed.SQL_DESCRIPTIONS.items():
-        sql_confidence = (F if sql_confidence is None else sql_confidence).when(F.col("arg0_kind") == kind, value)
-    return {
-        "code_injection": (
-            (F.col("func_kind") == "name") & F.col("func_name").isin("eval", "exec"), F.lit(97)),
-        "command_injection": (
-            _on_module("os", "system", "popen"), F.when(F.col("arg0_kind") == "fstring", 98).otherwise(80)),
-        "shell_true": (
-            _on_module("subprocess", "run", "call", "Popen", "check_output")
-            & F.array_contains("kw_true", "shell"), F.lit(92)),
-        "sql_injection": (
-            (F.col("func_kind") == "attribute") & (F.col("func_name") == "execute") & F.col("arg0_kind").isin(*fixed.SQL_DESCRIPTIONS),
-            sql_confidence),
-        "weak_hash": (_on_module("hashlib", "md5", "sha1"), F.lit(88)),
-        "pickle_loads": (_on_module("pickle", "loads"), F.lit(92)),
-        "yaml_load": (
-            _on_module("yaml", "load") & ~F.array_contains("kw_names", "Loader"), F.lit(95)),
-    }
-
+#: Rule -> condition on a call site.  No two rules share a call.
+CONDITIONS = {
+    "code_injection": "func_kind = 'name' AND func_name IN ('eval', 'exec')",
+    "command_injection": _on_module("os", "system", "popen"),
+    "shell_true": _on_module("subprocess", "run", "call", "Popen", "check_output") + " AND array_contains(kw_true, 'shell')",
+    "sql_injection": "func_kind = 'attribute' AND func_name = 'execute' AND arg0_kind IN ('fstring', 'mod', 'format_call')",
+    "weak_hash": _on_module("hashlib", "md5", "sha1"),
+    "pickle_loads": _on_module("pickle", "loads"),
+    "yaml_load": _on_module("yaml", "load") + " AND NOT array_contains(kw_names, 'Loader')",
+}
 
-RULES = tuple(fixed.CALL_MESSAGES)
+#: Rule -> confidence in hundredths, where it does not depend on the call.
+CONFIDENCES = {"code_injection": 97, "shell_true": 92, "weak_hash": 88, "pickle_loads": 92, "yaml_load": 95}
 
 #: Called names any rule looks at; other calls need not leave the parser.
 WATCHED_NAMES = frozenset({
@@ -46,51 +36,38 @@ WATCHED_NAMES = frozenset({
     "execute", "md5", "sha1", "loads", "load",
 })
 
-
-def _description(rule: str, template: str) -> Column:
-    if rule == "sql_injection":
-        text = None
-        for kind, (words, _) in fixed.SQL_DESCRIPTIONS.items():
-            text = (F if text is None else text).when(F.col("arg0_kind") == kind, words)
-        return text
-    before, found, after = template.partition("{name}")
-    return F.concat(F.lit(before), F.col("func_name"), F.lit(after)) if found else F.lit(template)
+RULES = tuple(CONDITIONS)
+RULE_TYPES = tuple(fixed.CALL_MESSAGES[rule][1] for rule in RULES)
 
 
 def rule_index(rules=RULES) -> Column:
-    """Index of the rule a call site trips, or null.
+    """Index of the rule a call site trips, or null; one CASE, so no row is copied."""
+    arms = " ".join(f"WHEN {CONDITIONS[rule]} THEN {RULES.index(rule)}" for rule in rules)
+    return F.expr(f"CASE {arms} END")
 
-    No two rules share a condition, so one CASE decides and no row is copied.
-    """
-    conditions, index = _conditions(), None
-    for rule in rules:
-        index = (F if index is None else index).when(conditions[rule][0], RULES.index(rule))
-    return index
 
-
-RULE_TYPES = tuple(fixed.CALL_MESSAGES[rule][1] for rule in RULES)
-
-
-def _per_rule(index: Column, value_of) -> Column:
-    chosen = None
-    for i, rule in enumerate(RULES):
-        chosen = (F if chosen is None else chosen).when(index == i, value_of(rule))
-    return chosen
+def _per_rule(values) -> Column:
+    """The value of the row's rule, from one literal array."""
+    return F.element_at(F.array(*map(F.lit, values)), F.col("rule_idx") + 1)
 
 
 def call_message() -> dict[str, Column]:
     """Label and text columns of a narrow row (rule_idx, func_name, arg0_kind)."""
-    conditions = _conditions()
-
-    def fixed_text(position):
-        return _per_rule(F.col("rule_idx"), lambda rule: F.lit(fixed.CALL_MESSAGES[rule][position]))
+    severities, types, descriptions, impacts, fixes = zip(*[fixed.CALL_MESSAGES[rule] for rule in RULES])
+    sql_text, sql_confidence = ({kind: pair[i] for kind, pair in fixed.SQL_DESCRIPTIONS.items()} for i in (0, 1))
+    how, rule = F.col("arg0_kind"), F.col("rule_idx")
+    is_sql, is_command = rule == RULES.index("sql_injection"), rule == RULES.index("command_injection")
+    hundredths = (F.when(is_sql, labels.choose(how, sql_confidence))
+                  .when(is_command, F.when(how == "fstring", 98).otherwise(80))
+                  .otherwise(_per_rule([CONFIDENCES.get(r) for r in RULES])))
     return {
-        "severity": fixed_text(0),
-        "type": fixed_text(1),
-        "description": _per_rule(F.col("rule_idx"), lambda rule: _description(rule, fixed.CALL_MESSAGES[rule][2])),
-        "impact": fixed_text(3),
-        "fix": fixed_text(4),
-        "confidence": _per_rule(F.col("rule_idx"), lambda rule: conditions[rule][1]) / F.lit(100.0),
+        "severity": _per_rule(severities),
+        "type": _per_rule(types),
+        "description": F.when(is_sql, labels.choose(how, sql_text)).otherwise(
+            F.replace(_per_rule(descriptions), F.lit("{name}"), F.coalesce("func_name", F.lit("")))),
+        "impact": _per_rule(impacts),
+        "fix": _per_rule(fixes),
+        "confidence": hundredths / F.lit(100.0),
     }
 
 
