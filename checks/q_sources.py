@@ -1,8 +1,10 @@
 """Sources, sinks, cache and change listings."""
 
 import os
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from siftwork.functions.paths import detect_language
@@ -19,6 +21,9 @@ from .registry import query
 from .views import corpus, view
 
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def _write_files(root):
     def run(batches):
         for batch in batches:

@@ -118,16 +118,23 @@ def _line_hits(line: Column, patterns: list[SecretPattern], first_of_type: bool
 
 
 def hit_codes(text: Column, patterns=BUILTIN_PATTERNS) -> Column:
-    """Array of `line_number << 12 | pattern index` of a text, once per line and type."""
+    """Array of `line_number << 12 | pattern index` of a text, once per line and type.
+
+    The cheap test runs on the text and again on each of its lines, so the
+    patterns themselves see few lines.
+    """
     patterns = _check(patterns)
-    lines = F.transform(split_lines(text), lambda line, i: F.transform(
-        _line_hits(line, patterns, first_of_type=True),
-        lambda p: F.shiftleft((i + 1).cast("bigint"), SUB_BITS).bitwiseOR(p.cast("bigint"))))
-    codes = F.flatten(lines)
-    guard = text_may_hit(text, patterns)
-    if guard is None:
-        return codes
-    return F.when(guard, codes).otherwise(F.array().cast("array<bigint>"))
+    nothing = F.array().cast("array<bigint>")
+
+    def if_may_hit(part: Column, codes: Column) -> Column:
+        guard = text_may_hit(part, patterns)
+        return codes if guard is None else F.when(guard, codes).otherwise(nothing)
+
+    def codes_of(line: Column, i: Column) -> Column:
+        at = F.shiftleft((i + 1).cast("bigint"), SUB_BITS)
+        return if_may_hit(line, F.transform(
+            _line_hits(line, patterns, first_of_type=True), lambda p: at.bitwiseOR(p.cast("bigint"))))
+    return if_may_hit(text, F.flatten(F.transform(split_lines(text), codes_of)))
 
 
 def explode_lines(files: DataFrame, *keys: str, text: str = "text") -> DataFrame:
@@ -140,13 +147,17 @@ def secret_hits(files: DataFrame, *keys: str, patterns=BUILTIN_PATTERNS, text: s
                 first_of_type: bool = False) -> DataFrame:
     """One row per (text, line, pattern) hit.
 
-    Texts that cannot hit are dropped before lines are exploded, and patterns
-    are unrolled into literal predicates rather than joined to the lines.
+    Texts that cannot hit are dropped before lines are exploded, and lines before
+    patterns are tried; patterns are unrolled into literal predicates rather
+    than joined to the lines.
     """
     patterns = _check(patterns)
-    guard = text_may_hit(F.col(text), patterns)
-    scoped = files if guard is None else files.where(guard)
-    return (explode_lines(scoped, *keys, text=text)
+
+    def that_may_hit(df: DataFrame, column: str) -> DataFrame:
+        guard = text_may_hit(F.col(column), patterns)
+        return df if guard is None else df.where(guard)
+    return (explode_lines(that_may_hit(files, text), *keys, text=text)
+            .transform(that_may_hit, "line")
             .select(*keys, "line_number", F.explode(_line_hits(F.col("line"), patterns, first_of_type))
                     .alias("pattern_idx")))
 

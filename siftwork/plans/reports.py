@@ -44,17 +44,20 @@ def _counts_struct() -> Column:
 
 
 def json_report(files: DataFrame, findings: DataFrame, per_part: int = FINDINGS_PER_PART) -> DataFrame:
-    """One nested JSON text per file (per part, for very large files), clean files included."""
+    """One nested JSON text per file (per part, for very large files), clean files included.
+
+    `files` is a file rollup: its finding counts tell the clean files apart, so
+    only files with findings are joined, from the side that may hold many parts.
+    """
     arrays = findings_list(findings, "file_path", per_part=per_part)
     empty = F.array().cast(arrays.schema["vulnerabilities"].dataType)
-    joined = files.join(arrays, "file_path", "left")
-    return joined.select(
-        "file_path",
-        F.coalesce("part", F.lit(0).cast("bigint")).alias("part"),
+    clean = files.where("findings = 0").select("*", F.lit(0).cast("bigint").alias("part"), empty.alias("vulnerabilities"))
+    found = spread_join(arrays, files, ["file_path"], "inner", ["part"])
+    return found.unionByName(clean).select(
+        "file_path", "part",
         F.to_json(F.struct(
             "file_path", "language", hash_prefix(F.col("file_hash")).alias("file_hash"), "from_cache",
-            "risk_score", _counts_struct().alias("severity_counts"), "error",
-            F.coalesce("vulnerabilities", empty).alias("vulnerabilities"),
+            "risk_score", _counts_struct().alias("severity_counts"), "error", "vulnerabilities",
         ), KEEP_NULLS).alias("document"))
 
 

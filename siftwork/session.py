@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Runtime SQL options the jobs are designed around; all can be set on a live
 #: session.  A skewed join may be split even when that costs one more shuffle,
 #: and Arrow batches are bounded by bytes because a row holds a whole text.
+#: Streaming state lives in RocksDB, outside the heap.
 RUNTIME_OPTIONS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -18,6 +19,8 @@ RUNTIME_OPTIONS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": "33554432",
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
