@@ -1,0 +1 @@
+"""Security findings over source corpora, as Spark jobs."""

@@ -76,6 +76,16 @@ def _check(patterns) -> list[SecretPattern]:
     return patterns
 
 
+def patterns_from_table(table: DataFrame) -> list[SecretPattern]:
+    """Patterns of a small table (pattern_idx, pattern, type, severity), in index order.
+
+    Patterns become literal predicates, so the table is a parameter: one with
+    more rows than a scan supports is refused, never cut.
+    """
+    rows = table.select("pattern_idx", "pattern", "type", "severity").orderBy("pattern_idx").limit(MAX_PATTERNS + 1)
+    return _check(SecretPattern(row["pattern"], row["type"], row["severity"]) for row in rows.collect())
+
+
 def _needs(pattern: SecretPattern) -> tuple[str, ...]:
     if pattern.needs is not None:
         return pattern.needs

@@ -15,7 +15,7 @@ from .. import fixed
 from ..functions import labels
 from ..functions.text import hash_prefix
 from ..operators.ordering import rank_in_file
-from ..operators.rollups import SEVERITY_COLUMNS, run_rollup
+from ..operators.rollups import run_rollup
 from ..operators.skew import first_wins, spread_join
 from ..schema import FINDING_FIELDS
 
@@ -233,9 +233,3 @@ def write_findings(findings: DataFrame, path: str) -> None:
     """Append to a findings table laid out by language and severity."""
     findings.write.mode("append").partitionBy("language", "severity").parquet(path)
 
-
-__all__ = [
-    "SEVERITY_COLUMNS", "findings_list", "json_report", "json_summary", "json_document_lines", "reportable",
-    "results_with_rules", "sarif_document_lines", "sarif_results", "sarif_rules", "write_findings",
-    "write_json_document", "write_json_report", "write_sarif",
-]

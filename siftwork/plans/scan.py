@@ -107,7 +107,10 @@ def scan(files: DataFrame, replies: DataFrame | None = None, cache: CacheTables
     path, and only if the cache does not know it.  With the parse gate, texts are
     read twice: once to hash them, once for the representatives that still need
     analysis.  Without it, line patterns run in the hashing pass, because they
-    cost less than a second read and a shuffle of texts.
+    cost less than a second read and a shuffle of texts.  Files that may change
+    meanwhile should be materialised first, so that both reads see one content.
+
+    `replies` holds at most one row per content hash.
     """
     if "error" not in files.columns:
         files = files.withColumn("error", F.lit(None).cast("string"))

@@ -10,7 +10,8 @@ from helpers import texts, values
 from siftwork import fixed
 from siftwork.operators.callsites import call_sites
 from siftwork.operators.replies import parse_replies, reply_errors, reply_findings
-from siftwork.operators.secrets import BUILTIN_PATTERNS, SecretPattern, _may_prefilter, secret_findings, text_may_hit
+from siftwork.operators.secrets import (
+    BUILTIN_PATTERNS, SecretPattern, _may_prefilter, patterns_from_table, secret_findings, text_may_hit)
 from siftwork.plans.scan import static_findings
 
 # source -> findings as (type, line, confidence)
@@ -133,6 +134,14 @@ def test_user_patterns_with_anchors_are_not_prefiltered(spark):
     assert values(found, "file_path", "type", "line_number", "severity") == [("a", "Token Line", 2, "LOW")]
 
 
+def test_patterns_from_a_table(spark):
+    table = spark.createDataFrame([(1, "b+", "B", "LOW"), (0, "a+", "A", "HIGH")],
+                                  "pattern_idx int, pattern string, type string, severity string")
+    assert [p.type for p in patterns_from_table(table)] == ["A", "B"]
+    with pytest.raises(ValueError):
+        patterns_from_table(spark.range(5000).selectExpr("id as pattern_idx", "'x' as pattern", "'T' as type", "'LOW' as severity"))
+
+
 def test_patterns_sharing_a_type_give_one_finding_per_line(spark):
     both = [SecretPattern("aa", "T", "LOW"), SecretPattern("ab", "T", "HIGH"), BUILTIN_PATTERNS[0]]
     for gate in ("none", "python"):

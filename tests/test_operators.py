@@ -106,7 +106,7 @@ def test_rollups_are_dense_and_ties_go_to_the_smallest_path(spark):
 
 
 def test_riskiest_file_exists_without_findings_but_not_without_files(spark):
-    none = findings(spark, []) if False else findings(spark, [("x", 1, "LOW", "T", 1, 0.9, "llm")]).limit(0)
+    none = findings(spark, [("x", 1, "LOW", "T", 1, 0.9, "llm")]).limit(0)
     clean = rollups.file_rollup(files(spark, [("b", "Go", "1", False, None), ("a", "Go", "2", False, None)]), none)
     assert rollups.run_rollup(clean).first()["riskiest_file"] == "a"
     empty = rollups.run_rollup(clean.limit(0)).first()

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import findings, values
-from siftwork.session import shared_folder
+from siftwork.session import shared_folder, size_shuffles
 from siftwork.sources import inputs, tree
 from siftwork.sources.cache import FindingCache, findings_from_json, findings_to_json, upsert_cache
 
@@ -160,3 +160,13 @@ def test_shared_folder_follows_the_session(spark):
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         assert shared_folder(spark) == named.rstrip("/")
+
+
+def test_shuffles_start_as_wide_as_the_input_needs(spark):
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    try:
+        assert size_shuffles(spark, 1) == 4
+        assert size_shuffles(spark, 10 << 30) == 40 and spark.conf.get(key) == "40"
+        assert size_shuffles(spark, 100 << 40) == 60_000
+    finally:
+        spark.conf.unset(key)
