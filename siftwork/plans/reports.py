@@ -46,18 +46,21 @@ def _counts_struct() -> Column:
 def json_report(files: DataFrame, findings: DataFrame, per_part: int = FINDINGS_PER_PART) -> DataFrame:
     """One nested JSON text per file (per part, for very large files), clean files included.
 
-    `files` is a file rollup: its finding counts tell the clean files apart, so
-    only files with findings are joined, from the side that may hold many parts.
+    A file is first copied to the parts it needs, so that the join is one to one
+    and no file, however many parts it has, meets in one task.
     """
     arrays = findings_list(findings, "file_path", per_part=per_part)
     empty = F.array().cast(arrays.schema["vulnerabilities"].dataType)
-    clean = files.where("findings = 0").select("*", F.lit(0).cast("bigint").alias("part"), empty.alias("vulnerabilities"))
-    found = spread_join(arrays, files, ["file_path"], "inner", ["part"])
-    return found.unionByName(clean).select(
+    counts = findings.groupBy("file_path").agg(F.count(F.lit(1)).alias("_n"))
+    last_part = F.greatest(F.expr(f"(_n - 1) div {per_part}"), F.lit(0).cast("bigint"))
+    parts = files.join(counts, "file_path", "left").withColumn(
+        "part", F.explode(F.sequence(F.lit(0).cast("bigint"), last_part)))
+    return parts.join(arrays, ["file_path", "part"], "left").select(
         "file_path", "part",
         F.to_json(F.struct(
             "file_path", "language", hash_prefix(F.col("file_hash")).alias("file_hash"), "from_cache",
-            "risk_score", _counts_struct().alias("severity_counts"), "error", "vulnerabilities",
+            "risk_score", _counts_struct().alias("severity_counts"), "error",
+            F.coalesce("vulnerabilities", empty).alias("vulnerabilities"),
         ), KEEP_NULLS).alias("document"))
 
 
