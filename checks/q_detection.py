@@ -6,6 +6,7 @@ from siftwork import fixed
 from siftwork.operators import callsites, replies as reply_ops, rollups, rules, secrets
 from siftwork.operators.secrets import BUILTIN_PATTERNS, SecretPattern
 from siftwork.plans import prompts
+from siftwork.plans.changes import scan_changes
 from siftwork.plans.scan import scan, static_findings
 from siftwork.schema import STAGE_REPLY, STAGE_SECRET, SUB_BITS, stage_base
 from siftwork.sources import inputs
@@ -336,3 +337,21 @@ def flagship(spark, d):
     result = scan(in_scope.select("file_path", "text"), gate="none", patterns=PATTERNS)
     return result.files.select("file_path", "file_hash", "language", "error", "from_cache",
                                *rollups.SEVERITY_COLUMNS, "risk_score", "findings", "worst_severity")
+
+
+_CHANGED = f"{r.scannable('file_path')} AND file_path IN (SELECT file_path FROM changed WHERE status IS DISTINCT FROM 'removed')"
+
+
+@query("r15_scan_changes", f"""WITH {_secrets_cte('corpus', 'file_path', 'content', where=_CHANGED + ' AND file_id % 7 <> 0')},
+scoped AS (SELECT file_path, file_id % 7 = 0 AS skipped FROM corpus WHERE {_CHANGED})
+SELECT c.file_path, c.skipped, CAST(count(s.ordinal) AS BIGINT) AS findings
+FROM scoped c LEFT JOIN secret_findings s USING (file_path) GROUP BY ALL""")
+def r15_changes(spark, d):
+    """A change set with base64 payloads, a seventh of them blank."""
+    files = corpus(spark, d)
+    payloads = files.select("file_path", F.lit("base64").alias("encoding"),
+                            F.base64(F.when(F.col("file_id") % 7 == 0, F.lit(" ")).otherwise(F.col("text")).cast("binary"))
+                            .alias("content"))
+    done = scan_changes(view(spark, d, "changed"), payloads, gate="none", patterns=PATTERNS)
+    return (done.result.files.select("file_path", F.lit(False).alias("skipped"), "findings")
+            .unionByName(done.skipped.select("file_path", F.lit(True).alias("skipped"), F.lit(0).cast("bigint").alias("findings"))))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siftwork.functions.paths import detect_language
 from siftwork.operators import rollups
 from siftwork.operators.skew import spread_join
-from siftwork.plans import reports
+from siftwork.plans import changes, reports
 from siftwork.session import fresh_path
 from siftwork.sources import cache as cache_ops, inputs, tree
 from siftwork.sources.cache import FindingCache
@@ -249,3 +249,11 @@ def snk2(spark, d):
     return reports.sarif_document_lines(good, "run").agg(
         F.count_if(F.col("section") == 1).alias("rules"), F.count_if(F.col("section") == 3).alias("results"),
         F.count_distinct("section").alias("sections"))
+
+
+@query("p7_listing_counts", f"""
+SELECT CAST(count(*) AS BIGINT) AS total_files,
+       CAST(count(*) FILTER (WHERE {r.scannable('file_path')} AND status IS DISTINCT FROM 'removed') AS BIGINT) AS scannable_files
+FROM changed""")
+def p7_counts(spark, d):
+    return changes.listing_counts(view(spark, d, "changed"))

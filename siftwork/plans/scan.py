@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.paths import detect_language
 from ..operators.callsites import SECRET_ROW, call_sites_with_hits
 from ..operators.merge import at_least, merge_findings
-from ..operators.replies import reply_findings
+from ..operators.replies import parse_replies, reply_findings
 from ..operators.rollups import dense, distinct_contents, finding_rollup, run_rollup
 from ..operators.rules import RULE_TYPES, WATCHED_NAMES, call_message, call_ordinal, rule_index
 from ..operators.secrets import BUILTIN_PATTERNS, describe_codes, hit_codes, line_of, pattern_of, secret_findings, secret_message
@@ -100,7 +100,7 @@ def fan_back(manifest: DataFrame, by_hash: DataFrame) -> DataFrame:
 
 def scan(files: DataFrame, replies: DataFrame | None = None, cache: CacheTables | FindingCache | None = None, *,
          use_static: bool = True, min_severity: str = "LOW", gate: str = "python",
-         patterns=BUILTIN_PATTERNS) -> ScanResult:
+         patterns=BUILTIN_PATTERNS, report_failed_replies: bool = True) -> ScanResult:
     """Scan `files` (file_path, text, optional error).
 
     Each distinct content is analysed once, under the language of its smallest
@@ -112,6 +112,8 @@ def scan(files: DataFrame, replies: DataFrame | None = None, cache: CacheTables
 
     `replies` holds at most one row per content hash.
     """
+    if gate not in ("python", "none"):
+        raise ValueError(f"unknown gate {gate!r}")
     if "error" not in files.columns:
         files = files.withColumn("error", F.lit(None).cast("string"))
     in_one_pass = use_static and gate == "none"
@@ -146,7 +148,7 @@ def scan(files: DataFrame, replies: DataFrame | None = None, cache: CacheTables
     if replies is not None:
         wanted_replies = replies.join(misses.select("file_hash"), "file_hash", "left_semi")
         failed_replies = wanted_replies.where("error is not null or response_text is null").select("file_hash")
-        found = reply_findings(wanted_replies, "file_hash")
+        found = (reply_findings if report_failed_replies else parse_replies)(wanted_replies, "file_hash")
         if fresh is not None:
             # Both passes run in one job and are written before the merge reads them repeatedly.
             both = materialise(fresh.unionByName(found), "analysed")

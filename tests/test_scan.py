@@ -1,10 +1,14 @@
 """The whole scan on small corpora."""
 
+import base64
+
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import findings, texts, values
 from siftwork.functions.text import fingerprint
 from siftwork.operators.ordering import sort_findings
+from siftwork.plans.changes import listing_counts, scan_changes
 from siftwork.plans.scan import scan
 from siftwork.sources.cache import CacheTables, FindingCache
 
@@ -163,3 +167,22 @@ def test_merge_happens_per_content(spark):
     found = scan(files, reply_for(files, ("a.py", reply, None))).findings
     assert values(found, "source") == [("static",)]
     assert findings(spark, [("a", 1, "LOW", "T", 1, 0.5, "llm")]).count() == 1
+
+
+def test_change_set(spark):
+    listing = spark.createDataFrame(
+        [("a.py", "added"), ("gone.py", "removed"), ("blank.py", "modified"), ("missing.py", None), ("n.md", "added")],
+        "file_path string, status string")
+    payloads = spark.createDataFrame(
+        [("a.py", "base64", base64.b64encode(b"eval(x)").decode()), ("blank.py", "base64", base64.b64encode(b" \n").decode()),
+         ("gone.py", "base64", base64.b64encode(b"eval(x)").decode())], "file_path string, encoding string, content string")
+    replies = reply_for(texts(spark, {"a.py": "eval(x)"}), ("a.py", None, "timeout"))
+    done = scan_changes(listing, payloads, replies, min_severity="INFO")
+    assert values(done.result.findings, "file_path", "type") == [("a.py", "Code Injection (eval/exec)")]
+    assert values(done.skipped, "file_path") == [("blank.py",), ("missing.py",)]
+    assert tuple(listing_counts(listing).first()) == (5, 3)
+
+
+def test_unknown_gate_is_refused(spark):
+    with pytest.raises(ValueError):
+        scan(texts(spark, {"a.py": ""}), gate="perl")
