@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftwork.session import tune
 
-from . import line_dedup
+from . import line_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query("op5_line_dedup", f"""
 WITH lines AS (
   SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS pos
@@ -44,3 +50,9 @@ FROM keys LEFT JOIN frequent f ON f.key = keys.key GROUP BY doc_id""")
 def op5(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.drop_frequent_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op6_token_counts")
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, tokenizer_path("byte_bpe_50k.json")).select("doc_id", *token_counts.OUTPUTS)
