@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftwork.session import tune
+from siftwork.session import fresh_path, tune
 
-from . import line_dedup, token_counts
+from . import line_dedup, packing, token_counts, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -56,3 +56,18 @@ def op5(spark, sf_dir):
 def op6(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, tokenizer_path("byte_bpe_50k.json")).select("doc_id", *token_counts.OUTPUTS)
+
+
+@query("op7_token_files")
+def op7(spark, sf_dir):
+    folder = fresh_path(spark, "tokens")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    token_files.write_tokens(docs, folder, tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return token_files.read_tokens(spark, folder).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op9_packing")
+def op9(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.piece_digests(packing.pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=2))
