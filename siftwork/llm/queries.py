@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftwork.session import fresh_path, tune
 
-from . import line_dedup, packing, token_counts, token_files
+from . import line_dedup, packing, token_counts, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,3 +71,10 @@ def op7(spark, sf_dir):
 def op9(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.piece_digests(packing.pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=2))
+
+
+@query("op10_warc")
+def op10(spark, sf_dir):
+    folder = fresh_path(spark, "warc")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.resolved(warc.read_archives(warc.write_archives(pages, folder)))
