@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftwork.session import fresh_path, tune
 
-from . import line_dedup, packing, token_counts, token_files, warc
+from . import line_dedup, packing, quality, token_counts, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,3 +78,55 @@ def op10(spark, sf_dir):
     folder = fresh_path(spark, "warc")
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return warc.resolved(warc.read_archives(warc.write_archives(pages, folder)))
+
+
+QUALITY_RULES = {r: f"CASE WHEN {d} > 0 THEN least({quality.GRID}, {quality.GRID} * {n} // {d}) ELSE 0 END"
+                 for r, (n, d) in quality.RULES.items()}
+
+
+@query("op2_quality_rules", f"""
+WITH words AS (
+  SELECT doc_id, lang, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: trim(l, {SQL_BLANKS}) <> '') AS l
+  FROM documents),
+windows AS (
+  SELECT doc_id, unnest(range(1, len(w) - 1)) AS p, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i+2])) AS g
+  FROM words WHERE len(w) >= 3),
+twice AS (SELECT doc_id, p FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+covered AS (SELECT doc_id, count(DISTINCT q) AS c FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM twice) GROUP BY doc_id),
+m AS (
+  SELECT doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         (length(t) - length(translate(t, '{quality.SYMBOLS}', '')))::BIGINT AS n_symbols,
+         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c, 0)::BIGINT AS n_repeat_words,
+         len(l)::BIGINT AS n_lines, (length(t) - length(translate(t, '{quality.CAPITALS}', '')))::BIGINT AS n_capitals,
+         (length(t) - length(translate(t, '{quality.MARKS}', '')))::BIGINT AS n_marks
+  FROM words LEFT JOIN covered USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+levels AS ({" UNION ALL ".join(f"SELECT doc_id, lang, base_failed, '{r}' AS rule, {x} AS level FROM b" for r, x in QUALITY_RULES.items())}),
+held AS (SELECT lang, rule, level, quality FROM levels JOIN labels USING (doc_id) WHERE NOT base_failed),
+cuts AS (
+  SELECT lang, rule, cut, count(*) FILTER (WHERE quality = 1) AS n,
+         count(*) FILTER (WHERE quality = 1 AND level >= cut) AS lost,
+         count(*) FILTER (WHERE quality = 0 AND level >= cut) AS caught,
+         (SELECT count(DISTINCT lang) FROM held) AS strata
+  FROM held, range(1, {quality.GRID + 1}) r(cut) GROUP BY lang, rule, cut),
+tested AS (
+  SELECT *, caught - {quality.LOSS_WEIGHT} * lost AS gain,
+         n > 0 AND lost <= n * a AND list_sum(list_transform(range(0, lost + 1), lambda i: exp(
+           lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(a) + (n - i) * ln(1 - a))))
+         <= {quality.DELTA} / ({len(quality.RULES)} * strata) AS sure
+  FROM (SELECT *, {quality.ALPHA}::DOUBLE / {len(quality.RULES)} AS a FROM cuts)),
+fails AS (SELECT lang, rule, coalesce(max(cut) FILTER (WHERE NOT sure), 0) AS f FROM tested GROUP BY lang, rule),
+chosen AS (
+  SELECT lang, rule, max(cut) AS cut FROM (
+    SELECT t.lang, t.rule, cut, gain, max(gain) OVER (PARTITION BY t.lang, t.rule) AS top
+    FROM tested t JOIN fails f ON t.lang = f.lang AND t.rule = f.rule WHERE cut > f AND gain > 0) WHERE gain = top
+  GROUP BY lang, rule),
+rejected AS (SELECT DISTINCT doc_id FROM levels JOIN chosen USING (lang, rule) WHERE level >= cut)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept FROM b""")
+def op2(spark, sf_dir):
+    verdicts = quality.quality_verdicts(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"),
+                                        table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
