@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftwork.session import fresh_path, tune
 
-from . import line_dedup, packing, quality, token_counts, token_files, warc
+from . import line_dedup, packing, quality, simhash, token_counts, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -130,3 +130,9 @@ def op2(spark, sf_dir):
     verdicts = quality.quality_verdicts(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"),
                                         table(spark, sf_dir, "labels").select("doc_id", "quality"))
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op1_simhash")
+def op1(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.fingerprint_hex("fingerprint").alias("fingerprint"), "component_id")
