@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftwork.session import fresh_path, tune
 
-from . import line_dedup, packing, quality, simhash, token_counts, token_files, warc
+from . import line_dedup, packing, quality, simhash, substring_dedup, token_counts, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -136,3 +136,23 @@ def op2(spark, sf_dir):
 def op1(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", simhash.fingerprint_hex("fingerprint").alias("fingerprint"), "component_id")
+
+
+@query("op8_substring_dedup", """
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS w FROM documents),
+windows AS (
+  SELECT doc_id, unnest(range(1, len(w) - 18)) AS p,
+         unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i+19], ' '))) AS g
+  FROM words WHERE len(w) >= 20),
+later AS (SELECT doc_id, p FROM windows QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, p) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS pos FROM later),
+flat AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM words),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS t FROM flat ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id),
+counts AS (SELECT doc_id, count(*) AS c FROM gone GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(c, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)""")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = substring_dedup.remove_repeats(docs, length=20, join_words=True)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
