@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftwork.session import fresh_path, tune
 
-from . import line_dedup, packing, quality, simhash, substring_dedup, token_counts, token_files, topk, warc
+from . import line_dedup, packing, quality, sentence_pieces, simhash, substring_dedup, token_counts, token_files, topk, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -169,3 +169,10 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
   FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) WHERE rank <= 10""")
 def op3(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query("op4_sentence_pieces")
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentence_pieces.round_trip(docs, tokenizer_path("piece_bpe_32k.model")).select(
+        "doc_id", "n_pieces", "ids_crc32", "round_trip")
