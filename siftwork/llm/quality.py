@@ -74,14 +74,17 @@ def measured(rows: DataFrame) -> DataFrame:
         F.lit(0).cast("long"), lambda total, x: total + x)
     lines = F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(BLANKS)) != "")
     rows = rows.withColumn("_lines", lines)
+    # A later filter on the measures must not be pushed below them, where each use
+    # would compute them again; Spark moves no filter past a row number.
     return rows.select(
-        *[c for c in rows.columns if c not in ("_at", "_lines", "n_words")], "n_words",
+        *[c for c in rows.columns if c not in ("_at", "_lines", "n_words")], "n_words", F.monotonically_increasing_id().alias("_once"),
         F.char_length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
         _count(text, SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("_lines").cast("long").alias("n_lines"),
-        _count(text, CAPITALS).cast("long").alias("n_capitals"), _count(text, MARKS).cast("long").alias("n_marks"))
+        _count(text, CAPITALS).cast("long").alias("n_capitals"), _count(text, MARKS).cast("long").alias("n_marks"),
+    ).where("_once >= 0").drop("_once")
 
 
 def base_failed() -> Column:

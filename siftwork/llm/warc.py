@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
+from siftwork.session import materialise
+
 from .common import AttemptFile, column, file_system, partitions
 
 CHUNK_BYTES = 1 << 20
@@ -208,10 +210,13 @@ def resolved(chunks: DataFrame) -> DataFrame:
     """One row per record: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     A revisit takes length and digest from the response it refers to; the digest
-    of every record must be the one its header states, else the job fails.
+    of every record must be the one its header states, else the job fails.  The
+    record table is written first: archives are read once, and Spark then joins by
+    its true size and not by that of the manifest.
     """
     number = lambda c: F.regexp_extract(c, r"urn:page:(-?\d+):", 1).try_cast("long")
-    ends = chunks.where("last").select("record", "type", "refers_to", "stated_digest", "payload_bytes", "payload_digest")
+    ends = materialise(chunks.where("last").select(
+        "record", "type", "refers_to", "stated_digest", "payload_bytes", "payload_digest"), "warc-records")
     responses = (ends.where("type = 'response'")
                  .select(F.col("record").alias("refers_to"), F.col("payload_bytes").alias("_b"), F.col("payload_digest").alias("_d")))
     rows = ends.join(responses, "refers_to", "left")
