@@ -27,7 +27,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def carried(docs: DataFrame, text_col: str, outputs: list[str]) -> list[Column]:
     """The input's columns again, from `_row` and `_text`; one named like an output gives way to it."""
     taken = {o.lower() for o in outputs}
-    return [(F.col("_text") if c == text_col else F.col("_row")["`" + c + "`" if "." in c else c]).alias(c)
+    return [(F.col("_text") if c == text_col else F.col("_row").getField(c)).alias(c)
             for c in docs.columns if c.lower() not in taken]
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from siftwork.session import materialise
 
-from .common import column, partitions
+from .common import carried, column, keyed, partitions
 from .components import connected_components
 
 BITS, SEED = 64, 42
@@ -379,9 +379,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 [pa.array([word_fingerprint(w) for w in words], pa.int64()),
                  pa.array([shingle_sketch(w, shingle) for w in words], pa.binary())], names=["fp", "sketch"])
 
-    keys = [F.coalesce(column(id_col).cast("long"), F.lit(0)).alias("_k"), column(id_col).isNull().alias("_null"),
-            F.xxhash64(column(text_col)).alias("_hash")]
-    rows = materialise(docs.select(*keys, described(column(text_col)).alias("d")).select("_k", "_null", "_hash", "d.*"), "near-prints")
+    names = ["_k", "_null", "_hash"]
+    own = keyed(docs, id_col, text_col).select(
+        "_text", "_row", F.coalesce(F.col("_id").cast("long"), F.lit(0)).alias("_k"), F.col("_id").isNull().alias("_null"),
+        F.xxhash64("_text").alias("_hash"))
+    rows = materialise(own.select(*names, described("_text").alias("d")).select(*names, "d.*"), "near-prints")
     nodes = materialise(rows.groupBy("fp", "sketch").agg(F.min(F.struct("_null", "_k", "_hash")).alias("least"))
                         .withColumn("key", F.xxhash64("fp", "sketch")), "near-nodes")
     total, together = bit_statistics(nodes)
@@ -391,5 +393,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     candidates = materialise(nodes.select("key", "fp", "sketch").join(some, "key", "left_semi"), "near-candidates")
     edges = links(candidates, plan, tau, similarity)
     kept = _node_components(nodes, edges, "least").select("component.*").distinct()
-    names = ["_k", "_null", "_hash"]
-    return docs.select("*", *keys).join(kept, names, "left_semi").dropDuplicates(names).drop(*names)
+    return own.join(kept, names, "left_semi").dropDuplicates(names).select(*carried(docs, text_col, []))

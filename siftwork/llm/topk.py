@@ -70,7 +70,8 @@ class BallTree:
         """Upper bounds of all queries and nodes, rounding errors allowed for."""
         size = np.sqrt((queries ** 2).sum(axis=1))[:, None]
         reach = np.sqrt((self.centres ** 2).sum(axis=1)) + self.radii
-        return queries @ self.centres.T + size * self.radii + 1e-9 * size * reach + 1.0
+        bounds = queries @ self.centres.T + size * self.radii + 1e-9 * size * reach + 1.0
+        return np.maximum(bounds, float(INT64.min))  # where scores stop
 
     def scores(self, a: int, b: int, query: np.ndarray, floats: np.ndarray, small: bool) -> np.ndarray:
         """Exact inner products; beyond the range of long they stop at its ends."""
@@ -84,7 +85,7 @@ class Best:
     """The k best (score, smaller id first) of one query, and the score that a candidate must reach."""
 
     def __init__(self, k: int, floor: int | None):
-        self.k, self.floor = k, INT64.min if floor is None else floor
+        self.k, self.floor = k, float("-inf") if floor is None else floor
         self.scores, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def offer(self, scores: np.ndarray, ids: np.ndarray) -> None:
@@ -161,7 +162,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     rows = (vectors.select(column(id_col).cast("long").alias("vec_id"), quantised(column(vector_col)).alias("vector"))
             .where("vec_id is not null and vector is not null").distinct())
     rows = materialise(rows.withColumn("dim", F.size("vector")), "topk-vectors")
-    count, queries = rows.count(), rows.where(is_query)
+    # Written as well, so that the two sides of a cell are different tables.
+    count, queries = rows.count(), materialise(rows.where(is_query), "topk-queries")
     asked = queries.count()
     groups = max(1, -(-count // (SHARD_ROWS * SHARDS_PER_GROUP)))
     blocks = max(1, -(-asked // QUERY_ROWS))
