@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from siftwork import fixed
 from siftwork.operators import callsites, replies as reply_ops, rollups, rules, secrets
+from siftwork.functions.paths import in_skip_dir
 from siftwork.operators.secrets import BUILTIN_PATTERNS, SecretPattern
 from siftwork.plans import prompts
 from siftwork.plans.changes import scan_changes
@@ -333,7 +334,7 @@ FROM scoped c LEFT JOIN secret_findings s USING (file_path) GROUP BY ALL"""
 def flagship(spark, d):
     """Secret findings per severity for every file of a corpus, clean files included."""
     in_scope = corpus(spark, d).where(
-        inputs.is_scannable(F.col("file_path")) & ~F.contains(F.col("file_path"), F.lit("/node_modules/")))
+        inputs.is_scannable(F.col("file_path")) & ~in_skip_dir(F.col("file_path")))
     result = scan(in_scope.select("file_path", "text"), gate="none", patterns=PATTERNS)
     return result.files.select("file_path", "file_hash", "language", "error", "from_cache",
                                *rollups.SEVERITY_COLUMNS, "risk_score", "findings", "worst_severity")

@@ -184,7 +184,7 @@ def f19(spark, d):
 
 
 @query("f20_strip_ws", f"""
-SELECT file_id, {r.strip("chr(9) || ' ' || substring(content, 1, 30) || chr(10) || chr(31)")} AS stripped FROM corpus""")
+SELECT file_id, {r.strip("chr(9) || ' ' || content || chr(10) || chr(31)")} AS stripped FROM corpus""")
 def f20(spark, d):
-    padded = F.concat(F.lit("\t "), F.substring("text", 1, 30), F.lit("\n\x1f"))
+    padded = F.concat(F.lit("\t "), F.col("text"), F.lit("\n\x1f"))
     return corpus(spark, d).select("file_id", tx.strip_ws(padded).alias("stripped"))

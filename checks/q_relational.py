@@ -138,10 +138,10 @@ def a7(spark, d):
 
 @query("a8_cache_stats", """
 SELECT CAST(count(*) AS BIGINT) AS cached_files, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS oldest,
-       strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS newest FROM events WHERE event_type = 'view'""")
+       strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS newest FROM events""")
 def a8(spark, d):
     load_tables(spark, d)
-    entries = spark.table("events").where("event_type = 'view'").select(F.col("ts").alias("scanned_at"))
+    entries = spark.table("events").select(F.col("ts").alias("scanned_at"))
     stats = cache_ops.cache_stats(entries)
     return stats.select("cached_files", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("oldest", "newest")])
 
@@ -155,7 +155,7 @@ RULES = f"""rules AS (
          'security,' || source AS tags
   FROM (SELECT *, {r.rule_id('type')} AS rule_id FROM typed t
         WHERE file_path NOT IN (SELECT file_path FROM files WHERE coalesce(error, '') <> '')) x
-  QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY file_path, ordinal) = 1)"""
+  QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY file_path, severity_score DESC, confidence DESC, ordinal) = 1)"""
 RESULTS = f"""results AS (
   SELECT {r.rule_id('type')} AS rule_id, {r.sql_case('severity', fixed.SARIF_LEVELS)} AS level,
          description || ' — ' || impact AS message, file_path AS uri,

@@ -233,11 +233,11 @@ def src9(spark, d):
 
 
 @query("snk5_findings_table", f"""
-WITH {r.TYPED} SELECT {FINDING_COLS}, {r.language('file_path')} AS language FROM typed WHERE severity IN ('CRITICAL', 'LOW')""")
+WITH {r.TYPED} SELECT {FINDING_COLS}, {r.language('file_path')} AS language FROM typed""")
 def snk5(spark, d):
     path = fresh_path(spark, "findings")
     reports.write_findings(typed(spark, d).withColumn("language", detect_language(F.col("file_path"))), path)
-    return spark.read.parquet(path).where("severity in ('CRITICAL', 'LOW')").select(*OUT, "language")
+    return spark.read.parquet(path).select(*OUT, "language")
 
 
 @query("snk2_sarif_document", f"""

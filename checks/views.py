@@ -47,7 +47,7 @@ SELECT doc_id AS resp_id,
                                            ELSE 'Weak Crypto' END, chr(10),
                  'LINE: ', CASE doc_id % 6 WHEN 0 THEN 'N/A' WHEN 1 THEN '10-15' WHEN 2 THEN 'Line 12'
                                            WHEN 3 THEN '' WHEN 4 THEN '0' ELSE CAST(doc_id AS STRING) END, chr(10),
-                 'DESCRIPTION: ', substring(split_part(text, chr(10), 1), 1, 40), chr(10),
+                 'DESCRIPTION: ', replace(text, chr(10), ' '), chr(10),
                  'IMPACT: lost data', chr(10), 'FIX: first', chr(10), 'second', chr(10),
                  '---', chr(10), '---', chr(10),
                  'SEVERITY: LOW', chr(10), 'TYPE: Hardcoded Token', chr(10), 'LINE: 3', chr(10),

@@ -118,17 +118,21 @@ def text_may_hit(text: Column, patterns=BUILTIN_PATTERNS) -> Column | None:
 def _line_hits(line: Column, patterns: list[SecretPattern], first_of_type: bool = False) -> Column:
     """Indexes of the patterns found in a line, one literal regex per pattern.
 
-    With `first_of_type`, of patterns that share a type only the first counts.
+    With `first_of_type`, of patterns that share a type only the first counts; each
+    pattern still runs once, and the plan grows with the number of patterns.
     """
-    def hit(i: int) -> Column:
-        found = line.rlike(patterns[i].pattern)
-        earlier = [line.rlike(p.pattern) for p in patterns[:i] if p.type == patterns[i].type] if first_of_type else []
-        return F.when(reduce(lambda a, b: a & ~b, earlier, found), F.lit(i))
-    return F.array_compact(F.array(*map(hit, range(len(patterns)))))
+    hits = F.array_compact(F.array(*[F.when(line.rlike(p.pattern), F.lit(i)) for i, p in enumerate(patterns)]))
+    kinds = list(dict.fromkeys(p.type for p in patterns))
+    if not first_of_type or len(kinds) == len(patterns):
+        return hits
+    kind_of = F.array(*[F.lit(kinds.index(p.type)) for p in patterns])
+    kind = lambda i: F.get(kind_of, i)
+    return F.aggregate(hits, F.array().cast("array<int>"), lambda kept, i: F.when(
+        F.exists(kept, lambda k: kind(k) == kind(i)), kept).otherwise(F.array_append(kept, i)))
 
 
 def hit_codes(text: Column, patterns=BUILTIN_PATTERNS) -> Column:
-    """Array of `line_number << 12 | pattern index` of a text, once per line and type.
+    """Array of `line_number << SUB_BITS | pattern index` of a text, once per line and type.
 
     The cheap test runs on the text and again on each of its lines, so the
     patterns themselves see few lines.

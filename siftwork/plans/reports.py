@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import fixed
 from ..functions import labels
 from ..functions.text import hash_prefix
-from ..operators.ordering import rank_in_file
+from ..operators.ordering import rank_in_file, worst_first
 from ..operators.rollups import run_rollup
 from ..operators.skew import first_wins, spread_join
 from ..schema import FINDING_FIELDS
@@ -133,11 +133,11 @@ def reportable(findings: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def sarif_rules(findings: DataFrame) -> DataFrame:
-    """One rule per id; its metadata comes from the first finding by path and arrival."""
+    """One rule per id; its metadata comes from the first finding in reported order: path, then worst first."""
     keyed = findings.select(
         labels.rule_id(F.col("type")).alias("rule_id"), "file_path", "ordinal", "type", "description", "fix",
-        "severity", "confidence", "source")
-    first = first_wins(keyed, ["rule_id"], "file_path", "ordinal")
+        "severity", "severity_score", "confidence", "source")
+    first = first_wins(keyed, ["rule_id"], "file_path", *worst_first())
     return first.select(
         "rule_id",
         labels.rule_name(F.col("type")).alias("name"),

@@ -17,8 +17,8 @@ from ..operators.skew import first_wins, spread_join
 from ..operators.static_rows import static_rows
 from ..schema import FINDING_COLUMNS, STAGE_SECRET, finding_rows, stage_base
 from ..session import materialise
-from ..sources.cache import CacheTables, FindingCache, cache_lookup
-from ..sources.inputs import with_identity
+from ..sources.cache import REPLY_PASS, STATIC_PASS, CacheTables, FindingCache, cache_lookup
+from ..sources.inputs import one_reply_each, with_identity
 
 
 def static_sites(texts: DataFrame, *keys: str, patterns=BUILTIN_PATTERNS) -> DataFrame:
@@ -103,14 +103,16 @@ def scan(files: DataFrame, replies: DataFrame | None = None, cache: CacheTables
          patterns=BUILTIN_PATTERNS, report_failed_replies: bool = True) -> ScanResult:
     """Scan `files` (file_path, text, optional error).
 
-    Each distinct content is analysed once, under the language of its smallest
-    path, and only if the cache does not know it.  With the parse gate, texts are
-    read twice: once to hash them, once for the representatives that still need
-    analysis.  Without it, line patterns run in the hashing pass, because they
-    cost less than a second read and a shuffle of texts.  Files that may change
-    meanwhile should be materialised first, so that both reads see one content.
+    A content is known by its hash, never by a path, which many texts may share.
+    Its findings count under the language of its smallest path, and only if the
+    cache does not know it.  Texts are never shuffled: calls and line hits leave
+    the reading pass as narrow rows with the hash of the very text they were found
+    in, and are joined by it.  With the parse gate texts are read twice; a file that
+    changes in between belongs to no content of the run, so nothing false is stored.
 
-    `replies` holds at most one row per content hash.
+    The cache remembers which passes an entry stands for (`passes`); an entry that
+    lacks a pass of this run is a miss.  Of several `replies` for one hash the first
+    usable one counts.
     """
     if gate not in ("python", "none"):
         raise ValueError(f"unknown gate {gate!r}")
@@ -130,24 +132,26 @@ def scan(files: DataFrame, replies: DataFrame | None = None, cache: CacheTables
         distinct = materialise(contents, "distinct")
         if isinstance(cache, FindingCache):
             cache = cache.read(only=distinct)
-        contents = materialise(cache_lookup(distinct, cache.entries), "contents")
+        needed = [STATIC_PASS] * use_static + [REPLY_PASS] * (replies is not None)
+        contents = materialise(cache_lookup(distinct, cache.entries, needed), "contents")
     misses = contents.where("not from_cache").select("file_hash", "file_path", "language")
 
     fresh = None
     if in_one_pass:
-        hit = hashed.where("size(codes) > 0").select("file_path", F.explode("codes").alias("code"))
-        fresh = describe_codes(hit.join(misses.select("file_path", "file_hash"), "file_path"),
+        hit = hashed.where("size(codes) > 0").select("file_hash", F.explode("codes").alias("code")).distinct()
+        fresh = describe_codes(hit.join(misses.select("file_hash"), "file_hash", "left_semi"),
                                "file_hash", patterns=patterns)
     elif use_static:
-        # The language filter on the text side drops other texts before any shuffle.
-        wanted = misses.where("language = 'Python'").select("file_path", "file_hash")
-        python_files = files.where(detect_language(F.col("file_path")) == "Python")
-        texts = python_files.select("file_path", "text").join(wanted, "file_path")
-        fresh = static_findings(texts, "file_hash", patterns=patterns)
+        wanted = misses.where("language = 'Python'").select("file_hash")
+        python_files = with_identity(files.where(detect_language(F.col("file_path")) == "Python")).where("file_hash <> ''")
+        sites = static_sites(python_files.select("file_hash", "text"), "file_hash", patterns=patterns)
+        fresh = findings_of_sites(sites.join(wanted, "file_hash", "left_semi"), "file_hash", patterns=patterns)
     failed_replies = None
     if replies is not None:
-        wanted_replies = replies.join(misses.select("file_hash"), "file_hash", "left_semi")
+        wanted_replies = one_reply_each(replies.join(misses.select("file_hash"), "file_hash", "left_semi"))
         failed_replies = wanted_replies.where("error is not null or response_text is null").select("file_hash")
+        answered = wanted_replies.where("error is null and response_text is not null").select(
+            "file_hash", F.lit(True).alias("_answered"))
         found = (reply_findings if report_failed_replies else parse_replies)(wanted_replies, "file_hash")
         if fresh is not None:
             # Both passes run in one job and are written before the merge reads them repeatedly.
@@ -158,7 +162,15 @@ def scan(files: DataFrame, replies: DataFrame | None = None, cache: CacheTables
         fresh = describe_codes(misses.limit(0).select("file_hash", F.lit(0).cast("bigint").alias("code")), "file_hash")
     fresh = materialise(finding_rows(fresh, "file_hash"), "fresh")
 
+    passes = F.lit(STATIC_PASS if use_static else "")
     entries = misses.withColumn("scanned_at", F.current_timestamp())
+    if replies is None:
+        entries = entries.withColumn("passes", passes)
+    else:
+        # Without a reply only the static pass is remembered.
+        entries = entries.join(answered, "file_hash", "left").withColumn(
+            "passes", F.concat_ws("+", F.nullif(passes, F.lit("")), F.when(F.col("_answered"), F.lit(REPLY_PASS)))).drop("_answered")
+    entries = entries.where("passes <> ''")
     storable = fresh
     if failed_replies is not None:
         # A failed reply is reported but not remembered, so the next run tries again.

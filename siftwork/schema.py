@@ -27,7 +27,7 @@ FINDING_COLUMNS = [
 
 # An ordinal packs (stage, position, sub) so that arrival order survives an
 # unordered engine: risky calls, then secrets, then reply blocks.
-SUB_BITS = 12
+SUB_BITS = 20
 STAGE_BITS_AT = 56
 STAGE_CALL, STAGE_SECRET, STAGE_REPLY = 0, 1, 2
 MAX_PATTERNS = 1 << SUB_BITS

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -41,7 +42,7 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def size_shuffles(spark: SparkSession, input_bytes: int, per_partition: int = 256 << 20, most: int = 60_000) -> int:
+def size_shuffles(spark: SparkSession, input_bytes: int, per_partition: int = 256 << 20) -> int:
     """Start shuffles wide enough for an input of the given size.
 
     Adaptive execution merges small partitions but cannot split evenly large
@@ -49,7 +50,7 @@ def size_shuffles(spark: SparkSession, input_bytes: int, per_partition: int = 25
     below the session's own setting.
     """
     current = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = max(current, min(most, -(-input_bytes // per_partition)))
+    wanted = max(current, -(-input_bytes // per_partition))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(wanted))
     return wanted
 
@@ -57,12 +58,13 @@ def size_shuffles(spark: SparkSession, input_bytes: int, per_partition: int = 25
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster.
 
-    Only a local session without the setting gets a folder of its own.
+    Only a single-process local session without the setting, as in tests, gets a
+    folder of its own.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="siftwork-")
     spark.sparkContext.setCheckpointDir(folder)

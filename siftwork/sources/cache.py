@@ -18,7 +18,9 @@ from ..functions import labels
 from ..operators.skew import first_wins
 from ..schema import FINDING_FIELDS, FINDING_JSON, finding_rows
 
-ENTRY_SCHEMA = "file_hash string, file_path string, language string, scanned_at timestamp"
+ENTRY_SCHEMA = "file_hash string, file_path string, language string, scanned_at timestamp, passes string"
+#: The passes an entry may stand for, joined by "+" in `passes`; null stands for all.
+STATIC_PASS, REPLY_PASS = "static", "replies"
 FINDING_SCHEMA = (
     "file_hash string, ordinal bigint, severity string, severity_score int, type string, description string, "
     "impact string, fix string, line_number bigint, owasp string, confidence double, source string")
@@ -39,8 +41,14 @@ def upsert_cache(cache: DataFrame, new: DataFrame, *order) -> DataFrame:
     return cache.join(latest.select("file_hash"), "file_hash", "left_anti").unionByName(latest)
 
 
-def cache_lookup(hashes: DataFrame, entries: DataFrame) -> DataFrame:
-    """Distinct hashes with `from_cache`; both sides hold a hash once."""
+def cache_lookup(hashes: DataFrame, entries: DataFrame, needed: list[str] = ()) -> DataFrame:
+    """Distinct hashes with `from_cache`; both sides hold a hash once.
+
+    An entry that lacks one of the `needed` passes does not count.
+    """
+    if "passes" in entries.columns:
+        for name in needed:
+            entries = entries.where(F.col("passes").isNull() | F.array_contains(F.split("passes", "[+]"), name))
     known = entries.select("file_hash", F.lit(True).alias("_hit"))
     return (hashes.join(known, "file_hash", "left")
             .withColumn("from_cache", F.coalesce("_hit", F.lit(False))).drop("_hit"))
@@ -58,8 +66,11 @@ def findings_to_json(findings: DataFrame, *keys: str) -> DataFrame:
 
 
 def findings_from_json(rows: DataFrame, *keys: str, column: str = "vulnerabilities") -> DataFrame:
-    """Typed findings from a JSON array text per content, with defaults filled in."""
-    each = rows.select(*keys, F.posexplode(F.from_json(column, FINDINGS_TYPE)).alias("_pos", "v"))
+    """Typed findings from a JSON array text per content, with defaults filled in.
+
+    A text that is no such array fails the job: it must not pass for a clean content.
+    """
+    each = rows.select(*keys, F.posexplode(F.from_json(column, FINDINGS_TYPE, {"mode": "FAILFAST"})).alias("_pos", "v"))
     typed = each.select(*keys, F.col("_pos").cast("bigint").alias("ordinal"), "v.*")
     typed = (typed.withColumn("severity_score", labels.severity_score(F.col("severity")))
              .withColumn("owasp", labels.fill_owasp(F.col("owasp"), F.col("type")))
@@ -75,7 +86,9 @@ class FindingCache:
     def _commits(self) -> DataFrame | None:
         try:
             return self.spark.read.schema(_COMMIT_SCHEMA).json(f"{self.root}/commits")
-        except AnalysisException:
+        except AnalysisException as problem:
+            if problem.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
 
     def _head(self) -> tuple[int, int]:
@@ -124,7 +137,9 @@ class FindingCache:
         return CacheTables(entries.drop("version"), findings.drop("version"))
 
     def _write(self, version: int, entries: DataFrame, findings: DataFrame) -> None:
-        entries.select("file_hash", "file_path", "language", "scanned_at").write.parquet(
+        if "passes" not in entries.columns:
+            entries = entries.withColumn("passes", F.lit(None).cast("string"))
+        entries.select("file_hash", "file_path", "language", "scanned_at", "passes").write.parquet(
             f"{self.root}/entries/version={version}")
         finding_rows(findings, "file_hash").write.parquet(f"{self.root}/findings/version={version}")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.paths import detect_language, is_scannable
 from ..functions.text import decode_utf8, fingerprint, is_blank
+from ..operators.skew import first_wins
 
 REPLY_SCHEMA = "file_hash string, response_text string, error string"
 LISTING_SCHEMA = "filename string, status string"
@@ -50,10 +51,15 @@ def read_pr_listing(spark: SparkSession, path: str, lines: bool = False) -> Data
 
 
 def decode_payload(payloads: DataFrame) -> DataFrame:
-    """Base64 contents (`encoding`, `content`) to text; anything else gives an empty text."""
+    """Contents of changed files to text: base64 (`encoding`, `content`), else the raw `text` column.
+
+    Code hosts send large files with another encoding and no content; their raw
+    text, where the table has it, is taken as it is.  Nothing at all gives "".
+    """
+    raw = F.col("text") if "text" in payloads.columns else F.lit(None).cast("string")
     packed = F.regexp_replace("content", "[^A-Za-z0-9+/=]", "")
     content = F.when(F.col("encoding") == "base64", F.try_to_binary(packed, F.lit("base64")))
-    return (payloads.withColumn("text", F.coalesce(decode_utf8(content), F.lit("")))
+    return (payloads.withColumn("text", F.coalesce(decode_utf8(content), raw, F.lit("")))
             .drop("encoding", "content"))
 
 
@@ -66,6 +72,12 @@ def drop_blank(files: DataFrame) -> DataFrame:
     return files.where(~is_blank(F.col("text")))
 
 
+def one_reply_each(replies: DataFrame) -> DataFrame:
+    """One reply per content hash: usable ones before failed ones, then the smallest text."""
+    failed = F.col("error").isNotNull() | F.col("response_text").isNull()
+    return first_wins(replies, ["file_hash"], failed, "response_text", "error")
+
+
 def read_replies(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Saved model replies: at most one row per content hash."""
+    """Saved model replies; `one_reply_each` picks one where a content has several."""
     return spark.read.format(fmt).schema(REPLY_SCHEMA).load(path)

@@ -167,6 +167,6 @@ def test_shuffles_start_as_wide_as_the_input_needs(spark):
     try:
         assert size_shuffles(spark, 1) == 4
         assert size_shuffles(spark, 10 << 30) == 40 and spark.conf.get(key) == "40"
-        assert size_shuffles(spark, 100 << 40) == 60_000
+        assert size_shuffles(spark, 100 << 40) == 409_600
     finally:
         spark.conf.unset(key)
