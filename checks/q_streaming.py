@@ -20,7 +20,10 @@ def event_lines(spark, d):
     events = view(spark, d, "scan_events").select(
         "scan_id", "seq", "type", "file", F.col("idx").alias("index"), "total", "findings",
         F.lit("Python").alias("language"),
-        F.when(F.col("findings") > 0, "HIGH").alias("severity"))
+        F.when(F.col("findings") > 0, "HIGH").alias("severity"),
+        F.when(F.col("findings") > 0, F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("findings")), lambda i: F.struct(
+            F.lit("HIGH").alias("severity"), F.lit("SQL Injection").alias("type"), F.concat(F.lit("d"), i).alias("description"),
+            i.alias("line_number"), F.lit(0.9).alias("confidence")))).alias("vulns"))
     return events.select(F.to_json(F.struct("*")).alias("value"))
 
 
@@ -35,6 +38,15 @@ def t3(spark, d):
     return events(spark, d).select("scan_id", "seq", "type", "file", "index", "total", "findings")
 
 
+@query("t3_event_findings", """
+SELECT scan_id, file, seq, CAST(i - 1 AS BIGINT) AS ordinal, 'HIGH' AS severity, 'SQL Injection' AS type, 'd' || i AS description,
+       CAST(i AS BIGINT) AS line_number, 0.9::DOUBLE AS confidence, 'llm' AS source
+FROM (SELECT *, unnest(range(1, findings + 1)) AS i FROM scan_events WHERE type = 'file_done' AND findings > 0) e""")
+def t3_findings(spark, d):
+    found = progress.event_findings(events(spark, d))
+    return found.select("scan_id", "file", "seq", "ordinal", "severity", "type", "description", "line_number", "confidence", "source")
+
+
 # The oracle replays events in order with windows, unlike the order-free fold.
 _STATUS = """
 started AS (SELECT *, min(CASE WHEN type = 'file_start' THEN seq END) OVER (PARTITION BY scan_id, file) AS first_start

@@ -22,16 +22,26 @@ def first_wins(df: DataFrame, keys: list[str], *order: Column | str) -> DataFram
     return ranked.where("_rn = 1").drop("_rn")
 
 
+def _splits_by_itself(df: DataFrame) -> bool:
+    """Does the session split hot partitions of joins while they run?"""
+    conf = df.sparkSession.conf
+    return conf.get("spark.sql.adaptive.enabled") == "true" and conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"
+
+
 def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str,
                 spread_by: list[str], buckets: int = SPREAD_BUCKETS) -> DataFrame:
     """Join a left side with hot keys to a right side without them.
 
-    Left rows are split over (key, bucket of `spread_by`); right rows are copied
+    With adaptive execution this is a plain join: Spark splits the partitions of a
+    hot key by their measured size.  In sessions without it, such as streams with
+    stateful operators, the split is made here.  Left rows are split over (key, bucket of `spread_by`); right rows are copied
     only to the buckets in which their key really occurs.  A key held by a
     single left row is copied once, so ordinary keys cost nothing extra, and the
     copies never outnumber the left rows.  The (key, bucket) pairs are
     de-duplicated on the map side before they are shuffled.
     """
+    if _splits_by_itself(left):
+        return left.join(right.select(*on) if how in ("left_semi", "left_anti") else right, on, how)
     spread = left.withColumn("_spread", F.pmod(F.xxhash64(*spread_by), F.lit(buckets)).cast("int"))
     present = spread.select(*on, "_spread").distinct()
     if how in ("left_semi", "left_anti"):

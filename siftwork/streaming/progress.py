@@ -9,14 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import labels
 from ..functions.text import progress_pct
+from ..schema import FINDING_JSON, finding_rows
 
 EVENT_SCHEMA = (
     "scan_id bigint, seq bigint, type string, level string, text string, detail string, "
     "file string, language string, `index` bigint, total bigint, findings bigint, severity string, "
     "title string, repo string, pr_num bigint, branch string, author string, avatar string, pr_url string, "
     "total_files bigint, scannable_files bigint, sha string, total_findings bigint, "
-    "severity_counts map<string,bigint>"
+    "severity_counts map<string,bigint>, vulns array<" + FINDING_JSON.simpleString() + ">"
 )
 
 
@@ -25,6 +27,37 @@ def parse_events(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.select(F.from_json(F.col(column), EVENT_SCHEMA).alias("e")).select("e.*")
 
 
+def event_findings(events: DataFrame) -> DataFrame:
+    """Findings that results of files carry (`vulns` of file_done), one row each with the event's seq."""
+    each = events.where("type = 'file_done'").select(
+        "scan_id", "file", "seq", F.posexplode("vulns").alias("_pos", "v"))
+    typed = each.select("scan_id", "file", "seq", F.col("_pos").cast("bigint").alias("ordinal"), "v.*")
+    typed = (typed.withColumn("severity_score", labels.severity_score(F.col("severity")))
+             .withColumn("owasp", labels.fill_owasp(F.col("owasp"), F.col("type")))
+             .withColumn("confidence", F.coalesce("confidence", F.lit(1.0)))
+             .withColumn("source", F.coalesce("source", F.lit("llm"))))
+    return finding_rows(typed, "scan_id", "file", "seq")
+
+
+def scan_result_events(scan_id: int, files: DataFrame, findings: DataFrame) -> DataFrame:
+    """A finished scan as the events that the folds read: a start and a result per file.
+
+    `seq` needs no global numbering: a file's result follows its start, and files
+    go by a hash of their path.
+    """
+    place = F.pmod(F.xxhash64("file_path"), F.lit(1 << 40)) * 2
+    vulns = findings.groupBy("file_path").agg(F.array_sort(F.collect_list(
+        F.struct("ordinal", F.struct(*FINDING_JSON.fieldNames()).alias("v")))).alias("_v"))
+    done = files.join(vulns, "file_path", "left").select(
+        F.lit(scan_id).cast("bigint").alias("scan_id"), (place + 1).alias("seq"), F.lit("file_done").alias("type"),
+        F.col("file_path").alias("file"), "language", F.col("findings").cast("bigint").alias("findings"),
+        F.col("worst_severity").alias("severity"), F.transform("_v", lambda x: x["v"]).alias("vulns"))
+    start = files.select(
+        F.lit(scan_id).cast("bigint").alias("scan_id"), place.alias("seq"), F.lit("file_start").alias("type"),
+        F.col("file_path").alias("file"), "language")
+    return start.unionByName(done, allowMissingColumns=True)
+
+
 def _fold(events: DataFrame) -> DataFrame:
     """Newest start, result and skip per (scan, file), and the scan's completion.
 
