@@ -15,7 +15,10 @@ import os
 import stat as stat_module
 import sys
 import time
+from collections import deque
+from itertools import islice
 from pathlib import PurePosixPath
+from zlib import crc32
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -36,34 +39,40 @@ FLUSH_BYTES = 16 << 20
 
 
 class _Unit(InputPartition):
-    """A directory to list, either with everything below it or on its own."""
+    """A directory to list, either with everything below it or on its own; of a
+    directory with very many entries one slice of them, by a hash of their names."""
 
-    def __init__(self, root, directory, deep, since=None, until=None):
+    def __init__(self, root, directory, deep, since=None, until=None, part=0, parts=1):
         self.root, self.directory, self.deep = root, directory, deep
-        self.since, self.until = since, until
-
-
-def _scan(directory):
-    try:
-        with os.scandir(directory) as entries:
-            yield from entries
-    except OSError:
-        return
+        self.since, self.until, self.part, self.parts = since, until, part, parts
 
 
 def _subdirectories(directory, skip):
-    return [e.path for e in _scan(directory) if e.name not in skip and e.is_dir(follow_symlinks=False)]
+    with os.scandir(directory) as entries:
+        for e in entries:
+            if e.name not in skip and e.is_dir(follow_symlinks=False):
+                yield e.path
 
 
 def _units(root, skip, wanted, since=None, until=None):
-    """Cut a tree into about `wanted` directory units, widest level first."""
-    pending, shallow = [root], []
-    while pending and len(pending) + len(shallow) < wanted:
-        below = [d for parent in pending for d in _subdirectories(parent, skip)]
-        shallow += pending
-        pending = below
-    return ([_Unit(root, d, False, since, until) for d in shallow]
-            + [_Unit(root, d, True, since, until) for d in pending])
+    """Cut a tree into units, widest level first; at most three times `wanted`.
+
+    The driver looks at no more than `wanted` + 1 subdirectories of a directory: one
+    that has more is cut into slices, which the tasks tell apart themselves.
+    """
+    pending, done = deque([root]), []
+    while pending and len(pending) + len(done) < wanted:
+        directory = pending.popleft()
+        try:
+            below = list(islice(_subdirectories(directory, skip), wanted + 1))
+        except OSError:  # the task that lists it reports the error
+            below = []
+        if len(below) > wanted:
+            done += [_Unit(root, directory, True, since, until, i, wanted) for i in range(wanted)]
+        else:
+            done.append(_Unit(root, directory, False, since, until))
+            pending.extend(below)
+    return done + [_Unit(root, d, True, since, until) for d in pending]
 
 
 def _suffix(name):
@@ -71,19 +80,38 @@ def _suffix(name):
     return name[dot:].lower() if 0 < dot < len(name) - 1 else ""
 
 
+def _changed(entry, unit):
+    """Is a file in the window of a stream?  The reader of the file tests it again."""
+    try:
+        return unit.until is None or unit.since < entry.stat().st_ctime_ns <= unit.until
+    except OSError:
+        return True
+
+
 def _walk(unit, suffixes, skip):
-    """Names below one unit; scope rules are applied before any file is touched."""
+    """Names below one unit; scope rules are applied before any file is opened.
+
+    A directory that cannot be listed comes as an explicit name of its own, which
+    the reader turns into an error row.
+    """
     todo = [unit.directory]
     while todo:
-        for entry in _scan(todo.pop()):
-            if entry.name in skip:
-                continue
-            if entry.is_dir(follow_symlinks=False):
-                if unit.deep:
-                    todo.append(entry.path)
-            elif not suffixes or _suffix(entry.name) in suffixes:
-                relative = os.path.relpath(entry.path, unit.root)
-                yield str(PurePosixPath(unit.root) / relative), relative, False, unit.since, unit.until
+        directory = todo.pop()
+        parts = unit.parts if directory == unit.directory else 1
+        try:
+            with os.scandir(directory) as entries:
+                for entry in entries:
+                    if entry.name in skip or parts > 1 and crc32(os.fsencode(entry.name)) % parts != unit.part:
+                        continue
+                    if entry.is_dir(follow_symlinks=False):
+                        if unit.deep:
+                            todo.append(entry.path)
+                    elif (not suffixes or _suffix(entry.name) in suffixes) and _changed(entry, unit):
+                        relative = os.path.relpath(entry.path, unit.root)
+                        yield str(PurePosixPath(unit.root) / relative), relative, False, unit.since, unit.until
+        except OSError:
+            if unit.part == 0 or directory != unit.directory:
+                yield directory, os.path.relpath(directory, unit.root), True, None, None
 
 
 class _TreeOptions:
@@ -162,7 +190,10 @@ def _read_one(path, explicit, since, until, max_bytes):
     try:
         info = os.stat(path)
         if not stat_module.S_ISREG(info.st_mode):
-            return (None, "not a regular file") if explicit else None
+            if explicit:
+                os.listdir(path)  # says why a directory could not be listed
+                return None, "not a regular file"
+            return None
         if until is not None and not since < info.st_ctime_ns <= until:
             return None
         if info.st_size > max_bytes:
@@ -243,7 +274,7 @@ def _read(listing: DataFrame) -> DataFrame:
 
 def read_source_tree(spark: SparkSession, roots, suffixes=tuple(fixed.SUFFIX_LANGUAGES),
                      skip_dirs=fixed.SKIP_DIRS) -> DataFrame:
-    """Contents of all scannable files below the roots."""
+    """Contents of all scannable files below the roots; a root or directory that cannot be listed is an error row."""
     return _read(_once(list_tree(spark, roots, suffixes, skip_dirs)))
 
 

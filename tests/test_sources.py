@@ -170,3 +170,25 @@ def test_shuffles_start_as_wide_as_the_input_needs(spark):
         assert size_shuffles(spark, 100 << 40) == 409_600
     finally:
         spark.conf.unset(key)
+
+
+def test_roots_that_are_missing_are_error_rows(spark, tmp_path):
+    (tmp_path / "a.py").write_text("x")
+    rows = tree.read_source_tree(spark, [str(tmp_path), str(tmp_path / "nowhere")]).collect()
+    assert {(r.file_path, r.error is None) for r in rows} == {(str(tmp_path / "a.py"), True), (str(tmp_path / "nowhere"), False)}
+
+
+def test_wide_directories_are_cut_into_slices(tmp_path):
+    for i in range(60):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / "f.py").write_text("x")
+        (tmp_path / f"t{i}.py").write_text("x")
+    units = tree._units(str(tmp_path), frozenset(), 8)
+    found = [row[0] for u in units for row in tree._walk(u, frozenset([".py"]), frozenset())]
+    assert len(units) <= 24 and len(found) == len(set(found)) == 120
+
+
+def test_an_idle_window_lists_nothing(tmp_path):
+    (tmp_path / "a.py").write_text("x")
+    units = tree._units(str(tmp_path), frozenset(), 8, 0, 1)
+    assert [row for u in units for row in tree._walk(u, frozenset([".py"]), frozenset())] == []
