@@ -138,8 +138,10 @@ def test_patterns_from_a_table(spark):
     table = spark.createDataFrame([(1, "b+", "B", "LOW"), (0, "a+", "A", "HIGH")],
                                   "pattern_idx int, pattern string, type string, severity string")
     assert [p.type for p in patterns_from_table(table)] == ["A", "B"]
+    many = spark.range(5000).selectExpr("id as pattern_idx", "'x' as pattern", "'T' as type", "'LOW' as severity")
+    assert len(patterns_from_table(many)) == 5000
     with pytest.raises(ValueError):
-        patterns_from_table(spark.range(5000).selectExpr("id as pattern_idx", "'x' as pattern", "'T' as type", "'LOW' as severity"))
+        patterns_from_table(many.limit(0))
 
 
 def test_patterns_sharing_a_type_give_one_finding_per_line(spark):

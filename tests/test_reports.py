@@ -80,8 +80,8 @@ def test_sarif_document(case, tmp_path):
     rules = {rule["id"]: rule for rule in run["tool"]["driver"]["rules"]}
     assert sorted(rules) == ["SS-SQL-INJECTION", "SS-WEAK-CRYPTO"]  # the unreadable file's rule is absent
     sql = rules["SS-SQL-INJECTION"]
-    # Metadata comes from the first finding by path and arrival: b.py, ordinal 2.
-    assert sql["properties"] == {"tags": ["security", "llm"], "precision": "medium", "problem.severity": "error",
+    # Metadata comes from the first finding in reported order: b.py's worst, not the one that came first.
+    assert sql["properties"] == {"tags": ["security", "static"], "precision": "high", "problem.severity": "error",
                                  "security-severity": "9.5"}
     assert sql["help"] == {"text": 'Fix: mend "it"', "markdown": '**Fix:** `mend "it"`'}
     assert sql["name"] == "SQLInjection" and sql["defaultConfiguration"] == {"level": "error"}
