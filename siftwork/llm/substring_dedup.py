@@ -8,7 +8,8 @@ around them, these are hashed again (128 bits), and every window but the
 first of its kind, by (id, start), gives its words up.
 
 Anchors and windows travel as packed arrays, one row per batch of texts and
-bucket.  Each batch resolves for itself what it can: of a hash it sends one entry,
+bucket; windows are dealt by the least hash of the short runs inside them, which
+neighbouring windows mostly share.  Each batch resolves for itself what it can: of a hash it sends one entry,
 so a passage of every document is one entry per batch, never a row per document.
 """
 
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import carried, column, keyed, partitions
+from .common import carried, keyed, partitions
 
 #: Difference covers by period: every residue is a difference of two members.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
@@ -92,32 +93,32 @@ class Hasher:
             np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=sums[1:])
             self.tables.append((sums, _powers(pow(base, -1, 1 << 64), len(joined) + 1)))
 
-    def runs(self, first: np.ndarray, size: int) -> list[np.ndarray]:
-        """One array per family: hashes of the runs of `size` words that start at `first`."""
-        a, b, out = self.starts[first], self.ends[first + size - 1], []
-        for sums, inverse in self.tables:
-            x = (sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64)
-            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-                x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-            out.append(x ^ (x >> np.uint64(31)))
-        return out
+    def runs(self, first: np.ndarray, size: int, family: int = 0) -> np.ndarray:
+        """Hashes of the runs of `size` words that start at `first`."""
+        a, b = self.starts[first], self.ends[first + size - 1]
+        sums, inverse = self.tables[family]
+        x = (sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        return x ^ (x >> np.uint64(31))
 
 
 # --- packed rows --------------------------------------------------------------
 
-#: kind 0: entries of a bucket, packed; kind 1: positions of one document, known.
-ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("_null", pa.bool_()), ("_k", pa.int64()),
-                  ("_hash", pa.int64()), ("payload", pa.binary())])
-ROWS_DDL = "bucket int, kind byte, _null boolean, _k long, _hash long, payload binary"
-FOUND = pa.schema([("_null", pa.bool_()), ("_k", pa.int64()), ("_hash", pa.int64()), ("payload", pa.binary())])
-FOUND_DDL = "_null boolean, _k long, _hash long, payload binary"
+#: kind 0: entries of a bucket; kind 1: positions already known, for the home bucket of their documents.
+ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("payload", pa.binary())])
+ROWS_DDL = "bucket int, kind byte, payload binary"
+FOUND = pa.schema([("_null", pa.bool_()), ("_k", pa.int64()), ("_hash", pa.int32()), ("found", pa.binary())])
+FOUND_DDL = "_null boolean, _k long, _hash int, found binary"
+#: Bytes kept of an anchor's hash beside its bucket: a false match costs work, no word.
+ANCHOR_BYTES = 5
 
 
 class Keys:
     """The document keys of a batch as arrays."""
 
     def __init__(self, null, k, hashes):
-        self.null, self.k, self.hash = np.asarray(null, np.uint8), np.asarray(k, np.int64), np.asarray(hashes, np.int64)
+        self.null, self.k, self.hash = np.asarray(null, np.uint8), np.asarray(k, np.int64), np.asarray(hashes, np.int32)
 
     @classmethod
     def of(cls, batch: pa.RecordBatch) -> Keys:
@@ -127,19 +128,39 @@ class Keys:
         return Keys(self.null[index], self.k[index], self.hash[index])
 
 
-def packed(hashes: list[np.ndarray], number: np.ndarray, position: np.ndarray, flag: np.ndarray, keys: Keys) -> bytes:
-    """Entries with the keys of the documents they name."""
-    used, place = np.unique(number, return_inverse=True)
+def _planes(values: np.ndarray, width: int = 8) -> bytes:
+    """The low `width` bytes of whole numbers, all first bytes, then all second bytes, ...: high ones compress away."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _differences(values: np.ndarray) -> np.ndarray:
+    return np.diff(values.astype(np.int64), prepend=np.int64(0)).astype(np.uint64)
+
+
+def packed(hashes: list[np.ndarray], widths: list[int], number: np.ndarray, position: np.ndarray, flag: np.ndarray, keys: Keys) -> bytes:
+    """Entries in the order of text and position, with the keys of the texts they name.
+
+    Each column is written as differences in byte planes, which shuffle compression
+    makes small; the first hash repeats in runs and is written against the one before.
+    """
+    order = np.lexsort((position, number))
+    used, counts = np.unique(number, return_counts=True)
     own = keys.take(used)
+    columns = [h[order] for h in hashes]
+    if columns:
+        columns[0] = columns[0] ^ np.concatenate([np.zeros(1, np.uint64), columns[0][:-1]])
     head = struct.pack("<III", len(number), len(used), len(hashes))
-    return head + b"".join(x.tobytes() for x in (
-        *hashes, place.astype("<u4"), position.astype("<u4"), flag.astype(np.uint8), own.null, own.k, own.hash))
+    return head + bytes(widths) + b"".join((
+        *(_planes(h, w) for h, w in zip(columns, widths)),
+        _planes(counts, 4), _planes(_differences(position[order]), 5), flag[order].astype(np.uint8).tobytes(),
+        own.null.tobytes(), _planes(_differences(own.k)), own.hash.tobytes()))
 
 
 def unpacked(payload: bytes):
     """(hashes, text number, position, flag, keys) of a packed row."""
     entries, docs, families = struct.unpack_from("<III", payload)
-    at = 12
+    widths = payload[12:12 + families]
+    at = 12 + families
 
     def read(kind, count):
         nonlocal at
@@ -147,9 +168,19 @@ def unpacked(payload: bytes):
         at += out.nbytes
         return out
 
-    hashes = [read("<u8", entries) for _ in range(families)]
-    place, position, flag = read("<u4", entries), read("<u4", entries), read(np.uint8, entries)
-    return hashes, place, position, flag, Keys(read(np.uint8, docs), read("<i8", docs), read("<i8", docs))
+    def planes(count, width):
+        out = np.zeros((count, 8), np.uint8)
+        out[:, :width] = read(np.uint8, count * width).reshape(width, count).T
+        return out.view("<u8").reshape(count)
+
+    hashes = [planes(entries, w) for w in widths]
+    if hashes:
+        hashes[0] = np.bitwise_xor.accumulate(hashes[0])
+    place = np.repeat(np.arange(docs), planes(docs, 4).astype(np.int64))
+    # Differences are of 40 bits, negative ones where a text begins.
+    steps = (planes(entries, 5).astype(np.int64) << 24) >> 24
+    position, flag = np.cumsum(steps), read(np.uint8, entries)
+    return hashes, place, position, flag, Keys(read(np.uint8, docs), np.cumsum(planes(docs, 8).astype(np.int64)), read("<i4", docs))
 
 
 def gathered(payloads: list[bytes]):
@@ -165,14 +196,30 @@ def gathered(payloads: list[bytes]):
     return hashes, *(np.concatenate(c) for c in columns), keys
 
 
-def by_document(number: np.ndarray, position: np.ndarray, keys: Keys) -> Iterator[tuple[int, bytes]]:
-    """(text number, packed positions) of each text that has any."""
-    order = np.argsort(number, kind="stable")
+def by_bucket(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, index of its entries) of each bucket that has any."""
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        yield b, order[cuts[b]:cuts[b + 1]]
+
+
+def to_homes(number: np.ndarray, position: np.ndarray, keys: Keys, homes: int) -> Iterator[tuple[int, bytes]]:
+    """(home bucket, packed positions) of found positions; a document's home follows from its key."""
+    for home, some in by_bucket(keys.hash[number] % homes, homes):
+        yield home, packed([], [], number[some], position[some], np.zeros(len(some), bool), keys)
+
+
+def by_document(payloads: list[bytes]) -> list[tuple]:
+    """(key, packed positions) of each document of a home bucket."""
+    _, number, position, _, keys = gathered(payloads)
+    names, first, place = np.unique(np.rec.fromarrays([keys.null, keys.k, keys.hash]), return_index=True, return_inverse=True)
+    number = place[number]
+    order = np.lexsort((position, number))
     number, position = number[order], position[order].astype("<u4")
-    cuts = np.flatnonzero(np.diff(number)) + 1
-    for at, part in zip(np.concatenate([[0], cuts]), np.split(position, cuts)):
-        if len(part):
-            yield int(number[at]), part.tobytes()
+    cuts = np.searchsorted(number, np.arange(len(names) + 1)).tolist()
+    return [(bool(keys.null[i]), int(keys.k[i]), int(keys.hash[i]), position[cuts[n]:cuts[n + 1]].tobytes())
+            for n, i in enumerate(first.tolist())]
 
 
 def rows_of(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
@@ -180,22 +227,11 @@ def rows_of(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
                                       [pa.array([], f.type) for f in schema], schema=schema)
 
 
-def _key_row(keys: Keys, i: int) -> tuple:
-    return bool(keys.null[i]), int(keys.k[i]), int(keys.hash[i])
-
-
-def _sent(hashes, number, position, flag, keys, known, buckets: int) -> pa.RecordBatch:
-    """Rows for one block: entries by bucket, and the positions already known, by document."""
-    rows = []
-    bucket = (hashes[0] % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(cuts)).tolist():
-        some = order[cuts[b]:cuts[b + 1]]
-        rows.append((b, 0, None, None, None, packed([h[some] for h in hashes], number[some], position[some], flag[some], keys)))
-    for i, payload in by_document(*known, keys):
-        rows.append((int(keys.hash[i]) % buckets, 1, *_key_row(keys, i), payload))
-    return rows_of(ROWS, rows)
+def _sent(bucket, hashes, widths, number, position, flag, keys, known, buckets: int, homes: int) -> pa.RecordBatch:
+    """Rows for gathered entries, one per bucket, and for the positions already known, one per home."""
+    rows = [(b, 0, packed([h[some] for h in hashes], widths, number[some], position[some], flag[some], keys))
+            for b, some in by_bucket(bucket, buckets)]
+    return rows_of(ROWS, rows + [(home, 1, payload) for home, payload in to_homes(*known, keys, homes)])
 
 
 class Pending:
@@ -232,15 +268,15 @@ class Pending:
 # --- the four steps -----------------------------------------------------------
 
 
-def _send_all(batches: Iterator[pa.RecordBatch], entries_of, send, buckets: int) -> Iterator[pa.RecordBatch]:
+def _send_all(batches: Iterator[pa.RecordBatch], entries_of, send, buckets: int, homes: int) -> Iterator[pa.RecordBatch]:
     pending = Pending(buckets)
     for batch in batches:
         pending.batch(Keys.of(batch))
         for entries in entries_of(batch):
             if pending.add(*entries):
-                yield send(*pending.take(), buckets)
+                yield send(*pending.take(), buckets, homes)
     if pending.size:
-        yield send(*pending.take(), buckets)
+        yield send(*pending.take(), buckets, homes)
 
 
 def anchors_of(batch: pa.RecordBatch, length: int) -> Iterator[tuple]:
@@ -252,23 +288,26 @@ def anchors_of(batch: pa.RecordBatch, length: int) -> Iterator[tuple]:
     for words, number, position, left in blocks(_texts(batch), length):
         first = np.flatnonzero(member[position % period] & (left >= size))
         if len(first):
-            yield Hasher(words, 1).runs(first, size), number[first], position[first]
+            yield [Hasher(words, 1).runs(first, size)], number[first], position[first]
 
 
-def send_anchors(hashes, number, position, keys, buckets: int) -> pa.RecordBatch:
+def send_anchors(hashes, number, position, keys, buckets: int, homes: int) -> pa.RecordBatch:
     """Anchors seen twice here are known; of each hash one entry is sent, flagged if it was seen twice."""
     _, entry, place, count = np.unique(hashes[0], return_index=True, return_inverse=True, return_counts=True)
     twice = count[place] > 1
-    return _sent([hashes[0][entry]], number[entry], position[entry], count > 1, keys, (number[twice], position[twice]), buckets)
+    h = hashes[0][entry]
+    bucket = (h >> np.uint64(8 * ANCHOR_BYTES)) % np.uint64(buckets)
+    return _sent(bucket.astype(np.int64), [h & np.uint64((1 << 8 * ANCHOR_BYTES) - 1)], [ANCHOR_BYTES], number[entry], position[entry],
+                 count > 1, keys, (number[twice], position[twice]), buckets, homes)
 
 
-def repeated_anchors(payloads: list[bytes]) -> Iterator[tuple]:
-    """Positions whose anchor occurs in another row too, or is flagged there or here."""
+def repeated_anchors(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, Keys]:
+    """Positions whose anchor occurs in another row too."""
     (h,), number, position, flag, keys = gathered(payloads)
     _, place, count = np.unique(h, return_inverse=True, return_counts=True)
+    # Flagged entries were seen twice where they come from, and are known there.
     hit = (count[place] > 1) & (flag == 0)
-    for i, payload in by_document(number[hit], position[hit], keys):
-        yield *_key_row(keys, i), payload
+    return number[hit], position[hit], keys
 
 
 def _firsts(hashes, number, position, keys) -> tuple[np.ndarray, np.ndarray]:
@@ -290,9 +329,10 @@ def _firsts(hashes, number, position, keys) -> tuple[np.ndarray, np.ndarray]:
 
 
 def windows_of(batch: pa.RecordBatch, length: int) -> Iterator[tuple]:
-    """(hashes, text numbers, positions) of the windows around repeated anchors, by block."""
+    """([least short-run hash, window hash], text numbers, positions) of the windows around repeated anchors."""
     period, _ = cover_for(length)
-    anchors = [np.unique(np.frombuffer(b"".join(p), "<u4")).astype(np.int64) for p in batch.column("found").to_pylist()]
+    size = length - period + 1
+    anchors = [np.unique(np.frombuffer(p, "<u4")).astype(np.int64) for p in batch.column("found").to_pylist()]
     for words, number, position, left in blocks(_texts(batch), length):
         wanted = np.zeros(len(words), bool)
         begins = np.concatenate([[0], np.flatnonzero(np.diff(number)) + 1, [len(number)]]).tolist()
@@ -305,73 +345,101 @@ def windows_of(batch: pa.RecordBatch, length: int) -> Iterator[tuple]:
                 wanted[at + place[(place >= 0) & (place < count)]] = True
         first = np.flatnonzero(wanted & (left >= length))
         if len(first):
-            yield Hasher(words, 2).runs(first, length), number[first], position[first]
+            hasher = Hasher(words, 2)
+            short = hasher.runs(np.arange(len(words) - size + 1), size)
+            least = np.lib.stride_tricks.sliding_window_view(short, period)[first].min(axis=1)
+            yield [least, hasher.runs(first, length, 1)], number[first], position[first]
 
 
-def send_windows(hashes, number, position, keys, buckets: int) -> pa.RecordBatch:
+def send_windows(hashes, number, position, keys, buckets: int, homes: int) -> pa.RecordBatch:
     """Windows that are not the first of their kind here are known; the first ones are sent."""
     ours, later = _firsts(hashes, number, position, keys)
-    return _sent([h[ours] for h in hashes], number[ours], position[ours], np.zeros(len(ours), bool), keys,
-                 (number[later], position[later]), buckets)
+    bucket = (hashes[0][ours] % np.uint64(buckets)).astype(np.int64)
+    return _sent(bucket, [h[ours] for h in hashes], [8, 8], number[ours], position[ours], np.zeros(len(ours), bool), keys,
+                 (number[later], position[later]), buckets, homes)
 
 
-def later_windows(payloads: list[bytes]) -> Iterator[tuple]:
+def later_windows(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, Keys]:
+    """Positions of windows that are not the first of their kind."""
     hashes, number, position, _, keys = gathered(payloads)
     _, later = _firsts(hashes, number, position, keys)
-    for i, payload in by_document(number[later], position[later], keys):
-        yield *_key_row(keys, i), payload
+    return number[later], position[later], keys
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [t.encode() if t else b"" for t in batch.column("_text").to_pylist()]
 
 
-def _resolved(rows: DataFrame, resolve, buckets: int) -> DataFrame:
-    """Positions per document (several rows each): known ones, and what `resolve` finds per bucket."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held, out = None, [], []
+def _resolved(rows: DataFrame, resolve, homes: int) -> DataFrame:
+    """(KEY, found: packed positions) per document, from known positions and what `resolve` finds per bucket.
+
+    What a bucket finds goes to its documents in packed rows too, one per home
+    bucket, where the positions of each document come together.
+    """
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
+
+        def resolved():
+            return rows_of(ROWS, [(home, 1, payload) for home, payload in to_homes(*resolve(held), homes)])
+
+        for batch in batches:
+            known = []
+            for bucket, kind, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                if kind == 1:
+                    known.append((bucket, 1, payload))
+                    continue
+                if held and bucket != current:
+                    yield resolved()
+                    held = []
+                current = bucket
+                held.append(payload)
+            yield rows_of(ROWS, known)
+        if held:
+            yield resolved()
+
+    def bring_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["kind"] == 1:
-                    out.append((row["_null"], row["_k"], row["_hash"], row["payload"]))
-                else:
-                    if row["bucket"] != current:
-                        out += resolve(held) if held else []
-                        current, held = row["bucket"], []
-                    held.append(row["payload"])
-                if len(out) > 20_000:
-                    yield rows_of(FOUND, out)
-                    out = []
-        out += resolve(held) if held else []
-        for at in range(0, len(out), 20_000):
-            yield rows_of(FOUND, out[at:at + 20_000])
-
-    found = (rows.repartition(partitions(rows), "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(run, FOUND_DDL))
-    return found.groupBy(*KEY).agg(F.collect_list("payload").alias("found"))
+            for bucket, _, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and bucket != current:
+                    yield rows_of(FOUND, by_document(held))
+                    held = []
+                current = bucket
+                held.append(payload)
+        if held:
+            yield rows_of(FOUND, by_document(held))
+
+    tasks = partitions(rows)
+    found = rows.repartition(tasks, "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(find, ROWS_DDL)
+    return found.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(bring_home, FOUND_DDL)
 
 
 def _keys(id_col: str, text_col: str) -> list[Column]:
     """Null ids come last; rows of one id and text are one document."""
     return [F.col(id_col).isNull().alias("_null"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("_k"),
-            F.xxhash64(text_col).alias("_hash")]
+            F.hash(text_col).alias("_hash")]
 
 
 def repeated_starts(rows: DataFrame, length: int) -> DataFrame:
-    """(KEY, found: packed start positions of windows that occur earlier) from rows (KEY, _text)."""
-    buckets = 2 * partitions(rows)
+    """(KEY, found: packed start positions of windows that occur earlier) from rows (KEY, _text, ...).
+
+    The rows are joined as they are, further columns included: the join that ends
+    `remove_repeats` then uses the same shuffle of the texts a second time.
+    """
+    buckets = homes = 2 * partitions(rows)
     ask = rows.mapInArrow(
-        lambda batches: _send_all(batches, lambda b: anchors_of(b, length), send_anchors, buckets), ROWS_DDL)
-    anchors = _resolved(ask, repeated_anchors, buckets)
+        lambda batches: _send_all(batches, lambda b: anchors_of(b, length), send_anchors, buckets, homes), ROWS_DDL)
+    anchors = _resolved(ask, repeated_anchors, homes)
     around = rows.join(anchors, KEY).mapInArrow(
-        lambda batches: _send_all(batches, lambda b: windows_of(b, length), send_windows, buckets), ROWS_DDL)
-    return _resolved(around, later_windows, buckets)
+        lambda batches: _send_all(batches, lambda b: windows_of(b, length), send_windows, buckets, homes), ROWS_DDL)
+    return _resolved(around, later_windows, homes)
 
 
-def covered(size: int, packed_starts: list[bytes] | None, length: int) -> np.ndarray:
+def covered(size: int, packed_starts: bytes | None, length: int) -> np.ndarray:
     """Which of `size` words lie in a window that starts at a packed position."""
     steps = np.zeros(size + 1, np.int64)
     if packed_starts:
-        starts = np.unique(np.frombuffer(b"".join(packed_starts), "<u4")).astype(np.int64)
+        starts = np.unique(np.frombuffer(packed_starts, "<u4")).astype(np.int64)
         np.add.at(steps, starts, 1)
         np.add.at(steps, starts + length, -1)
     return np.cumsum(steps[:-1]) > 0
@@ -403,8 +471,8 @@ def remove_repeats(docs: DataFrame, length: int = 20, id_col: str = "doc_id", te
     rest keeps its layout.  Null ids come last, ties of one id go by text hash,
     and rows equal in id and text are one document with equal results.
     """
-    rows = keyed(docs, id_col, text_col).select("*", *_keys("_id", "_text"))
-    starts = repeated_starts(rows.select(*KEY, "_text"), length)
+    rows = keyed(docs, id_col, text_col).select("_text", "_row", *_keys("_id", "_text"))
+    starts = repeated_starts(rows, length)
 
     @F.arrow_udf("struct<text:string,n_words:bigint,n_removed:bigint>")
     def cut(pairs: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
