@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from siftwork import fixed
 from siftwork.operators import callsites, replies as reply_ops, rollups, rules, secrets
+from siftwork.functions import labels
 from siftwork.functions.paths import in_skip_dir
 from siftwork.operators.secrets import BUILTIN_PATTERNS, SecretPattern
 from siftwork.plans import prompts
@@ -106,9 +107,9 @@ hits AS ({hits}),
 secret_findings AS (
   SELECT {key}, CAST({stage_base(STAGE_SECRET)} + line_number * {1 << SUB_BITS} + pattern_idx AS BIGINT) AS ordinal,
          severity, type,
-         {r.sql_text(fixed.SECRET_DESCRIPTION_BEFORE_TYPE)} || type || {r.sql_text(fixed.SECRET_DESCRIPTION_AFTER_TYPE)} AS description,
+         replace({r.sql_text(fixed.SECRET_DESCRIPTION)}, '{{type}}', type) AS description,
          {r.sql_text(fixed.SECRET_IMPACT)} AS impact, {r.sql_text(fixed.SECRET_FIX)} AS fix, line_number,
-         {r.owasp('type')} AS owasp, 88 / 100.0::DOUBLE AS confidence, 'static' AS source
+         {r.owasp('type')} AS owasp, 0.88::DOUBLE AS confidence, 'static' AS source
   FROM hits JOIN patterns USING (pattern_idx)
   QUALIFY row_number() OVER (PARTITION BY {key}, type, line_number ORDER BY pattern_idx) = 1)"""
 
@@ -172,7 +173,7 @@ _CALLS = """calls AS (SELECT p.file_id, p.file_path, CAST(s.call_seq AS BIGINT)
   s.kw_names, s.kw_true, s.rule FROM py_corpus p JOIN snippet_calls s USING (t))"""
 
 _messages = []
-for _idx, (_rule, (_sev, _type, _desc, _impact, _fix)) in enumerate(fixed.CALL_MESSAGES.items()):
+for _idx, (_rule, (_sev, _type, _desc, _impact, _fix, _)) in enumerate(fixed.CALL_MESSAGES.items()):
     _messages.append(f"({r.sql_text(_rule)}, {_idx}, {r.sql_text(_sev)}, {r.sql_text(_type)}, {r.sql_text(_desc)}, "
                      f"{r.sql_text(_impact)}, {r.sql_text(_fix)})")
 _SQL_DESC = " ".join(f"WHEN arg0_kind = '{k}' THEN {r.sql_text(t)}" for k, (t, _) in fixed.SQL_DESCRIPTIONS.items())
@@ -184,9 +185,9 @@ call_findings AS (
          CASE WHEN rule = 'sql_injection' THEN CASE {_SQL_DESC} END
               ELSE replace(description, '{{name}}', func_name) END AS description,
          impact, fix, line_number, {r.owasp('type')} AS owasp,
-         CASE rule WHEN 'code_injection' THEN 97 WHEN 'command_injection' THEN CASE WHEN arg0_kind = 'fstring' THEN 98 ELSE 80 END
-              WHEN 'shell_true' THEN 92 WHEN 'sql_injection' THEN CASE {_SQL_CONF} END WHEN 'weak_hash' THEN 88
-              WHEN 'pickle_loads' THEN 92 ELSE 95 END / 100.0::DOUBLE AS confidence,
+         CAST(CASE rule WHEN 'code_injection' THEN 0.97 WHEN 'command_injection' THEN CASE WHEN arg0_kind = 'fstring' THEN 0.98 ELSE 0.80 END
+              WHEN 'shell_true' THEN 0.92 WHEN 'sql_injection' THEN CASE {_SQL_CONF} END WHEN 'weak_hash' THEN 0.88
+              WHEN 'pickle_loads' THEN 0.92 ELSE 0.95 END AS DOUBLE) AS confidence,
          'static' AS source, rule
   FROM calls JOIN messages USING (rule))"""
 
@@ -273,7 +274,7 @@ def _scan(spark, d, use_cache=True, **options):
         "file_hash", F.lit(0).cast("bigint").alias("ordinal"), F.lit("HIGH").alias("severity"),
         F.lit(3).alias("severity_score"), F.lit("Path Traversal").alias("type"), F.lit("remembered").alias("description"),
         F.lit("i").alias("impact"), F.lit("f").alias("fix"), F.lit(7).cast("bigint").alias("line_number"),
-        secrets.labels.infer_owasp(F.lit("Path Traversal")).alias("owasp"), F.lit(0.5).alias("confidence"),
+        labels.infer_owasp(F.lit("Path Traversal")).alias("owasp"), F.lit(0.5).alias("confidence"),
         F.lit("llm").alias("source"))
     cache = CacheTables(known, remembered) if use_cache else None
     return scan(files.select("file_path", "text"), replies, cache, **options)

@@ -68,7 +68,3 @@ def security_severity(severity: Column) -> Column:
 def precision(confidence: Column) -> Column:
     return F.when(confidence >= 0.90, "high").otherwise("medium")
 
-
-def hundredths(value: int) -> Column:
-    """A confidence literal, computed so that equal inputs give equal doubles."""
-    return F.lit(value / 100.0)

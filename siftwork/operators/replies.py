@@ -58,7 +58,7 @@ def reply_findings(replies: DataFrame, *keys: str) -> DataFrame:
         either(F.lit(fixed.REPLY_ERROR_IMPACT), F.col("_impact")).alias("impact"),
         either(F.lit(fixed.REPLY_ERROR_FIX), F.col("_fix")).alias("fix"),
         either(F.lit(None), parse_line(F.col("_line"))).alias("line_number"),
-        either(F.lit(1.0), labels.hundredths(fixed.REPLY_CONFIDENCE)).alias("confidence"))
+        either(F.lit(1.0), F.lit(fixed.REPLY_CONFIDENCE)).alias("confidence"))
     labelled = typed.select(
         "*",
         labels.severity_score(F.col("severity")).alias("severity_score"),

@@ -27,9 +27,6 @@ CONDITIONS = {
     "yaml_load": _on_module("yaml", "load") + " AND NOT array_contains(kw_names, 'Loader')",
 }
 
-#: Rule -> confidence in hundredths, where it does not depend on the call.
-CONFIDENCES = {"code_injection": 97, "shell_true": 92, "weak_hash": 88, "pickle_loads": 92, "yaml_load": 95}
-
 #: Called names any rule looks at; other calls need not leave the parser.
 WATCHED_NAMES = frozenset({
     "eval", "exec", "system", "popen", "run", "call", "Popen", "check_output",
@@ -53,13 +50,13 @@ def _per_rule(values) -> Column:
 
 def call_message() -> dict[str, Column]:
     """Label and text columns of a narrow row (rule_idx, func_name, arg0_kind)."""
-    severities, types, descriptions, impacts, fixes = zip(*[fixed.CALL_MESSAGES[rule] for rule in RULES])
+    severities, types, descriptions, impacts, fixes, confidences = zip(*[fixed.CALL_MESSAGES[rule] for rule in RULES])
     sql_text, sql_confidence = ({kind: pair[i] for kind, pair in fixed.SQL_DESCRIPTIONS.items()} for i in (0, 1))
     how, rule = F.col("arg0_kind"), F.col("rule_idx")
     is_sql, is_command = rule == RULES.index("sql_injection"), rule == RULES.index("command_injection")
-    hundredths = (F.when(is_sql, labels.choose(how, sql_confidence))
-                  .when(is_command, F.when(how == "fstring", 98).otherwise(80))
-                  .otherwise(_per_rule([CONFIDENCES.get(r) for r in RULES])))
+    confidence = (F.when(is_sql, labels.choose(how, sql_confidence))
+                  .when(is_command & (how == "fstring"), fixed.COMMAND_FSTRING_CONFIDENCE)
+                  .otherwise(_per_rule(confidences)))
     return {
         "severity": _per_rule(severities),
         "type": _per_rule(types),
@@ -67,7 +64,7 @@ def call_message() -> dict[str, Column]:
             F.replace(_per_rule(descriptions), F.lit("{name}"), F.coalesce("func_name", F.lit("")))),
         "impact": _per_rule(impacts),
         "fix": _per_rule(fixes),
-        "confidence": hundredths / F.lit(100.0),
+        "confidence": confidence,
     }
 
 

@@ -10,7 +10,6 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed
-from ..functions import labels
 from ..functions.text import split_lines
 from ..schema import MAX_PATTERNS, STAGE_SECRET, SUB_BITS, stage_base
 from .static_rows import static_rows
@@ -183,11 +182,10 @@ def secret_message(patterns=BUILTIN_PATTERNS) -> dict[str, Column]:
     return {
         "severity": F.element_at(F.array(*[F.lit(p.severity) for p in patterns]), at),
         "type": kind,
-        "description": F.concat(F.lit(fixed.SECRET_DESCRIPTION_BEFORE_TYPE), kind,
-                                F.lit(fixed.SECRET_DESCRIPTION_AFTER_TYPE)),
+        "description": F.replace(F.lit(fixed.SECRET_DESCRIPTION), F.lit("{type}"), kind),
         "impact": F.lit(fixed.SECRET_IMPACT),
         "fix": F.lit(fixed.SECRET_FIX),
-        "confidence": labels.hundredths(fixed.SECRET_CONFIDENCE),
+        "confidence": F.lit(fixed.SECRET_CONFIDENCE),
     }
 
 
