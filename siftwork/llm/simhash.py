@@ -32,7 +32,7 @@ from .components import connected_components
 
 BITS, SEED = 64, 42
 #: Most fingerprints of one block of a bucket; a cell compares two blocks.
-BLOCK = 1024
+BLOCK = 2048
 #: What a bucket row costs, in comparisons.
 ROW_COST = 600
 MOST_PARTS, MOST_RADIUS = 9, 3
@@ -387,10 +387,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = materialise(rows.groupBy("fp", "sketch").agg(F.min(F.struct("_null", "_k", "_hash")).alias("least"))
                         .withColumn("key", F.xxhash64("fp", "sketch")), "near-nodes")
     total, together = bit_statistics(nodes)
-    plan = allocate(together, total, tau)
-    near = links(nodes.select("key", "fp"), plan, tau)
+    near = links(nodes.select("key", "fp"), allocate(together, total, tau), tau)
     some = near.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     candidates = materialise(nodes.select("key", "fp", "sketch").join(some, "key", "left_semi"), "near-candidates")
-    edges = links(candidates, plan, tau, similarity)
+    # The candidates are fewer and more alike: they get parts and thresholds of their own.
+    total, together = bit_statistics(candidates)
+    edges = links(candidates, allocate(together, total, tau), tau, similarity)
     kept = _node_components(nodes, edges, "least").select("component.*").distinct()
     return own.join(kept, names, "left_semi").dropDuplicates(names).select(*carried(docs, text_col, []))
