@@ -72,8 +72,11 @@ def json_summary(files: DataFrame) -> DataFrame:
 
 
 def write_json_report(files: DataFrame, findings: DataFrame, path: str) -> None:
-    """`files/` holds one document per line, `summary/` the run summary."""
-    json_report(files, findings).select("document").write.text(f"{path}/files")
+    """`files/` holds one document per line, `summary/` the run summary.
+
+    Lines go by path and part: those of a file that needs several follow each other in order.
+    """
+    json_report(files, findings).orderBy("file_path", "part").select("document").write.text(f"{path}/files")
     json_summary(files).write.text(f"{path}/summary")
 
 
