@@ -32,7 +32,7 @@ from .components import connected_components
 
 BITS, SEED = 64, 42
 #: Most fingerprints of one block of a bucket; a cell compares two blocks.
-BLOCK = 2048
+BLOCK = 4096
 #: What a bucket row costs, in comparisons.
 ROW_COST = 600
 MOST_PARTS, MOST_RADIUS = 9, 3
