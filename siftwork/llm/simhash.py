@@ -16,45 +16,30 @@ per cell instead of k * k pairs, and no component is lost.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from siftwork.session import materialise
 
-from .common import carried, column, keyed, partitions
+from .common import column, partitions
 from .components import connected_components
+from .near_sets import one_of_each  # noqa: F401
+from .shingles import shingle_hashes, words_of
 
-BITS, SEED = 64, 42
+BITS = 64
 #: Most fingerprints of one block of a bucket; a cell compares two blocks.
 BLOCK = 4096
 #: What a bucket row costs, in comparisons.
 ROW_COST = 600
 MOST_PARTS, MOST_RADIUS = 9, 3
-SLOTS = 128
 
 # --- fingerprints -------------------------------------------------------------
 
 
-def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
-    """XXH64 of all space-joined runs of `size` words; of the whole sequence if it is shorter."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) <= size:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[size - 1:].tolist())),
-                       np.uint64, len(words) - size + 1)
-
-
 def majority(hashes: np.ndarray, weights: np.ndarray | None = None) -> int:
     """The fingerprint whose bits are set in over half the (weighted) hashes, as a signed 64-bit number."""
     total, ones = 0.0, np.zeros(BITS)
@@ -66,40 +51,10 @@ def majority(hashes: np.ndarray, weights: np.ndarray | None = None) -> int:
     return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big", signed=True)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Runs of non-blank characters (ASCII blanks), A-Z lower-cased."""
-    return (text or "").encode().lower().split()
-
-
 def shingle_fingerprint(text: str | None, size: int) -> int:
     return majority(shingle_hashes(words_of(text), size))
 
 
-def word_fingerprint(words: list[bytes]) -> int:
-    """The fingerprint of a text's words, each weighted by the root of its count."""
-    counts = Counter(words)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in counts), np.uint64, len(counts))
-    return majority(hashes, np.sqrt(np.fromiter(counts.values(), float, len(counts))))
-
-
-def shingle_sketch(words: list[bytes], size: int) -> bytes:
-    """One-permutation MinHash of the set of shingles: a byte per slot, 0 where the slot is empty."""
-    hashes = np.unique(shingle_hashes(words, size))
-    slots = (hashes % np.uint64(SLOTS)).astype(np.int64)
-    order = np.lexsort((hashes, slots))
-    first = np.unique(slots[order], return_index=True)
-    out = np.zeros(SLOTS, np.uint8)
-    out[first[0]] = (hashes[order][first[1]] // np.uint64(SLOTS) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
-    return out.tobytes()
-
-
-def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated Jaccard similarity of rows of two sketch matrices; two empty sets are equal."""
-    used = (a > 0) | (b > 0)
-    share = ((a == b) & used).sum(axis=1) / np.maximum(used.sum(axis=1), 1)
-    return np.where(used.any(axis=1), (share - 1 / 255) / (1 - 1 / 255), 1.0)
-
-
 # --- parts and thresholds -----------------------------------------------------
 
 
@@ -213,18 +168,15 @@ def bucket_rows(prints: np.ndarray, plan: list[tuple[list[int], int]]) -> Iterat
 
 
 def probes(nodes: DataFrame, plan: list[tuple[list[int], int]]) -> DataFrame:
-    """(bucket, key, fp[, sketch]) rows of nodes (key, fp[, sketch])."""
-    names = [c for c in ("key", "fp", "sketch") if c in nodes.columns]
-
+    """(bucket, key, fp) rows of nodes (key, fp)."""
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             for rows, buckets in bucket_rows(prints, plan):
                 taken = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), *taken.columns], names=["bucket", *names])
+                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), *taken.columns], names=["bucket", "key", "fp"])
 
-    kinds = "bucket long, key long, fp long" + (", sketch binary" if "sketch" in names else "")
-    return nodes.select(*names).mapInArrow(spread, kinds)
+    return nodes.select("key", "fp").mapInArrow(spread, "bucket long, key long, fp long")
 
 
 class Forest:
@@ -254,9 +206,8 @@ class Forest:
         return links
 
 
-def cell_links(cells: np.ndarray, keys: np.ndarray, prints: np.ndarray, sketches: np.ndarray | None,
-               tau: int, similarity: float) -> list[tuple[int, int]]:
-    """Links that span what each run of equal `cells` joins: within tau bits, and similar by sketch if given."""
+def cell_links(cells: np.ndarray, keys: np.ndarray, prints: np.ndarray, tau: int) -> list[tuple[int, int]]:
+    """Links that span what each run of equal `cells` joins within tau bits."""
     nodes, place = np.unique(keys, return_inverse=True)
     forest, links = Forest(len(nodes)), []
     index, step = np.arange(len(cells)), 1
@@ -267,15 +218,13 @@ def cell_links(cells: np.ndarray, keys: np.ndarray, prints: np.ndarray, sketches
             break
         near = index[np.bitwise_count(prints[index] ^ prints[index + step]) <= tau]
         near = near[forest.parent[place[near]] != forest.parent[place[near + step]]]
-        if sketches is not None and len(near):
-            near = near[sketch_similarity(sketches[near], sketches[near + step]) >= similarity]
         if len(near):
             links += [(nodes[a], nodes[b]) for a, b in forest.join(place[near], place[near + step])]
         step += 1
     return links
 
 
-def links(nodes: DataFrame, plan: list[tuple[list[int], int]], tau: int, similarity: float = 0.0) -> DataFrame:
+def links(nodes: DataFrame, plan: list[tuple[list[int], int]], tau: int) -> DataFrame:
     """Edges (a, b) between node keys that keep all components of the nodes' near pairs.
 
     Buckets over BLOCK rows are found by count; their rows are dealt to blocks by
@@ -290,8 +239,6 @@ def links(nodes: DataFrame, plan: list[tuple[list[int], int]], tau: int, similar
              .withColumn("own", F.pmod(F.xxhash64("key"), blocks).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
              .withColumn("cell", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))))
-    sketched = "sketch" in nodes.columns
-    names = ["cell", "key", "fp"] + (["sketch"] if sketched else [])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -299,9 +246,7 @@ def links(nodes: DataFrame, plan: list[tuple[list[int], int]], tau: int, similar
 
         def work(table: pa.Table) -> pa.RecordBatch:
             number = lambda c: table.column(c).to_numpy().astype(np.int64)
-            sketches = (np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SLOTS)
-                        if sketched else None)
-            found = cell_links(number("cell"), number("key"), number("fp"), sketches, tau, similarity)
+            found = cell_links(number("cell"), number("key"), number("fp"), tau)
             return pa.RecordBatch.from_arrays([pa.array([int(x[i]) for x in found], pa.int64()) for i in (0, 1)], schema=schema)
 
         for batch in batches:
@@ -315,7 +260,7 @@ def links(nodes: DataFrame, plan: list[tuple[list[int], int]], tau: int, similar
         if held is not None and held.num_rows:
             yield work(held)
 
-    return (dealt.select(*names).repartition(partitions(nodes), "cell").sortWithinPartitions("cell")
+    return (dealt.select("cell", "key", "fp").repartition(partitions(nodes), "cell").sortWithinPartitions("cell")
             .mapInArrow(compare, "a long, b long"))
 
 
@@ -353,45 +298,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def fingerprint_hex(fingerprint: str) -> F.col:
     return F.lpad(F.lower(F.hex(fingerprint)), 16, "0")
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                shingle: int = 5, similarity: float = 0.8, tau: int = 8) -> DataFrame:
-    """The documents without their near duplicates: of each group the row with the smallest id stays.
-
-    Two texts are near duplicates if their sets of `shingle`-word runs have an
-    (estimated) Jaccard similarity of at least `similarity`.  Candidates are
-    pairs of word fingerprints within tau bits: a fingerprint of single words
-    moves far less under small edits than one of word runs.  They are verified
-    where they meet, by one-permutation MinHash sketches of the runs; sketches are
-    shipped only for rows that have a candidate at all.
-
-    Null ids come last in the order and ties go by text hash; of repeated rows
-    one stays; texts without words are alike.  Columns are unchanged.
-    """
-    kind = "fp long, sketch binary"
-
-    @F.arrow_udf(f"struct<{kind.replace(' ', ':', 1).replace(' binary', ':binary').replace(', ', ',')}>")
-    def described(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in texts:
-            words = [words_of(t.as_py()) for t in batch]
-            yield pa.StructArray.from_arrays(
-                [pa.array([word_fingerprint(w) for w in words], pa.int64()),
-                 pa.array([shingle_sketch(w, shingle) for w in words], pa.binary())], names=["fp", "sketch"])
-
-    names = ["_k", "_null", "_hash"]
-    own = keyed(docs, id_col, text_col).select(
-        "_text", "_row", F.coalesce(F.col("_id").cast("long"), F.lit(0)).alias("_k"), F.col("_id").isNull().alias("_null"),
-        F.xxhash64("_text").alias("_hash"))
-    rows = materialise(own.select(*names, described("_text").alias("d")).select(*names, "d.*"), "near-prints")
-    nodes = materialise(rows.groupBy("fp", "sketch").agg(F.min(F.struct("_null", "_k", "_hash")).alias("least"))
-                        .withColumn("key", F.xxhash64("fp", "sketch")), "near-nodes")
-    total, together = bit_statistics(nodes)
-    near = links(nodes.select("key", "fp"), allocate(together, total, tau), tau)
-    some = near.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    candidates = materialise(nodes.select("key", "fp", "sketch").join(some, "key", "left_semi"), "near-candidates")
-    # The candidates are fewer and more alike: they get parts and thresholds of their own.
-    total, together = bit_statistics(candidates)
-    edges = links(candidates, allocate(together, total, tau), tau, similarity)
-    kept = _node_components(nodes, edges, "least").select("component.*").distinct()
-    return own.join(kept, names, "left_semi").dropDuplicates(names).select(*carried(docs, text_col, []))

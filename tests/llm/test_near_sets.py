@@ -1,0 +1,91 @@
+"""Near duplicates at exactly 0.8 against brute force, per kind of edit."""
+
+import random
+
+import numpy as np
+import pytest
+
+from siftwork.llm import near_sets, simhash
+
+
+def shingles(text):
+    return set(simhash.shingle_hashes(simhash.words_of(text), 5).tolist())
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def edited(rng, words, kind, share):
+    """One copy that differs from `words` in about `share` of them."""
+    new = lambda k: [f"n{rng.randint(0, 10 ** 9)}" for _ in range(k)]
+    size, at = max(1, round(share * len(words))), rng.randrange(len(words))
+    if kind == "added":
+        return words + new(size)
+    if kind == "cut":
+        return words[:-size]
+    if kind == "replaced":
+        return words[:at] + new(min(size, len(words) - at)) + words[at + size:]
+    return [new(1)[0] if rng.random() < share / 5 else w for w in words]
+
+
+def groups_kept(pairs):
+    """Smallest id of each component of pairs at 0.8 or more."""
+    sets = {i: shingles(t) for i, t in pairs}
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for x, a in enumerate(ids):
+        for b in ids[x + 1:]:
+            if alike(sets[a], sets[b]) and top(a) != top(b):
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    return sorted({top(i) for i in ids})
+
+
+def frame(spark, pairs):
+    return spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)
+
+
+def random_pair(rng, size):
+    """Two sets with a similarity of 0.8 to 1, often just 0.8."""
+    both = rng.integers(1, 1 << 63, size, np.uint64)
+    most = size // 4
+    left = int(rng.integers(0, most + 1))
+    right = most - left if rng.random() < 0.7 else int(rng.integers(0, most - left + 1))
+    return tuple(np.unique(np.concatenate([both, rng.integers(1, 1 << 63, k, np.uint64)])) for k in (left, right))
+
+
+def test_similar_sets_share_a_bucket():
+    rng = np.random.default_rng(5)
+    for size in [1, 2, 3, 4, 5, 7, 8, 9, 10, 11, 12, 13, 16, 20, 25, 40, 80, 200, 1000, 5000]:
+        for _ in range(300 if size < 100 else 40):
+            a, b = random_pair(rng, size)
+            if np.array_equal(a, b):
+                continue
+            assert near_sets.similar(a, b, 0.8)
+            rows, buckets = near_sets.set_buckets([a, b], 0.8)
+            assert set(buckets[rows == 0].tolist()) & set(buckets[rows == 1].tolist()), (len(a), len(b))
+
+
+def test_bound_of_parity():
+    rng = np.random.default_rng(6)
+    for size in (5, 100, 3000):
+        a, b = random_pair(rng, size)
+        bits = [np.unpackbits(np.frombuffer(near_sets.parity(x), np.uint8)) for x in (a, b)]
+        assert (bits[0] != bits[1]).sum() <= len(np.setxor1d(a, b))
+
+
+@pytest.mark.parametrize("kind", ["added", "cut", "replaced", "scattered"])
+def test_no_near_copy_is_lost(spark, kind):
+    rng = random.Random(kind)
+    pairs = []
+    for i in range(120):
+        words = [f"w{rng.randint(0, 20_000)}" for _ in range(rng.choice([6, 15, 40, 150, 400, 900]))]
+        pairs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(edited(rng, words, kind, rng.uniform(0.05, 0.25))))]
+    kept = sorted(r.doc_id for r in simhash.one_of_each(frame(spark, pairs)).collect())
+    assert kept == groups_kept(pairs)
