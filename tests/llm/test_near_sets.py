@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from siftwork.llm import near_sets, simhash
 
 
@@ -89,3 +90,23 @@ def test_no_near_copy_is_lost(spark, kind):
         pairs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(edited(rng, words, kind, rng.uniform(0.05, 0.25))))]
     kept = sorted(r.doc_id for r in simhash.one_of_each(frame(spark, pairs)).collect())
     assert kept == groups_kept(pairs)
+
+
+def test_stage_equals_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rng = random.Random(9)
+    some = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").limit(250).collect()]
+    # Copies on both sides of 0.8, which an estimate cannot tell apart.
+    some += [(10 ** 6 + i, " ".join(edited(rng, t.split(), "replaced", rng.uniform(0.07, 0.13)))) for i, t in some if len(t.split()) > 60]
+    kept = corpus_pipeline.single_documents(spark, frame(spark, some), sf_dir)
+    assert sorted(r.doc_id for r in kept.collect()) == groups_kept(some)
+
+
+def test_cells_alone_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near_sets, "STARS", 0)
+    monkeypatch.setattr(near_sets, "BLOCK", 8)
+    rng = random.Random(10)
+    base = [f"w{rng.randint(0, 9_000)}" for _ in range(200)]
+    pairs = [(i, " ".join(edited(rng, base, rng.choice(["added", "replaced", "cut"]), rng.uniform(0.02, 0.2)))) for i in range(80)]
+    kept = sorted(r.doc_id for r in simhash.one_of_each(frame(spark, pairs)).collect())
+    assert kept == groups_kept(pairs)
