@@ -37,7 +37,10 @@ def lower_ascii(text: Column) -> Column:
 
 
 def partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Partitions of an explicit shuffle: the session's number, or the initial one that `size_shuffles` set for the input."""
+    conf = df.sparkSession.conf
+    wide = conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    return max(int(conf.get("spark.sql.shuffle.partitions")), int(wide or 0))
 
 
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:

@@ -25,9 +25,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from siftwork.session import materialise
 
-from .common import column, partitions
+from .common import carried, column, keyed, partitions
 from .components import connected_components
-from .near_sets import one_of_each  # noqa: F401
 from .shingles import shingle_hashes, words_of
 
 BITS = 64
@@ -273,6 +272,21 @@ def _node_components(nodes: DataFrame, edges: DataFrame, order: str) -> DataFram
     return nodes.join(found, "key", "left").withColumn("component", F.coalesce("component", order))
 
 
+def _fingerprints(shingle: int):
+    @F.arrow_udf("long")
+    def fingerprint(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            yield pa.array([shingle_fingerprint(t.as_py(), shingle) for t in batch], pa.int64())
+    return fingerprint
+
+
+def _components(nodes: DataFrame, order: str, tau: int) -> DataFrame:
+    """Nodes (fp, order) with `component`: the least `order` of all fingerprints that links of tau bits connect."""
+    nodes = nodes.withColumn("key", F.col("fp"))
+    total, together = bit_statistics(nodes)
+    return _node_components(nodes, links(nodes, allocate(together, total, tau), tau), order)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle: int = 3, tau: int = 3) -> DataFrame:
     """(id, fingerprint long, component_id) per row: fingerprints of `shingle`-word runs linked at tau bits.
@@ -280,21 +294,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A null text or one without words has fingerprint zero.  component_id is the
     smallest id that links reach, null only if all ids reached are null; repeated
     rows share it.  Equal fingerprints are one node, so copies cost nothing after
-    the first aggregation.
+    the first aggregation.  Texts are hashed whole, however long; an empty table
+    gives an empty table; input columns other than the id and the text are not read.
     """
-    @F.arrow_udf("long")
-    def fingerprint(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in texts:
-            yield pa.array([shingle_fingerprint(t.as_py(), shingle) for t in batch], pa.int64())
-
+    fingerprint = _fingerprints(shingle)
     rows = materialise(docs.select(column(id_col).alias("_id"), fingerprint(column(text_col)).alias("fp")), "simhash-prints")
-    nodes = materialise(rows.groupBy("fp").agg(F.min("_id").alias("least")).withColumn("key", F.col("fp")), "simhash-nodes")
-    total, together = bit_statistics(nodes)
-    edges = links(nodes, allocate(together, total, tau), tau)
-    found = _node_components(nodes, edges, "least").select("fp", "component")
+    nodes = materialise(rows.groupBy("fp").agg(F.min("_id").alias("least")), "simhash-nodes")
+    found = _components(nodes, "least", tau).select("fp", "component")
     return rows.join(found, "fp").select(F.col("_id").alias(id_col), F.col("fp").alias("fingerprint"),
                                          F.col("component").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                shingle: int = 3, tau: int = 3) -> DataFrame:
+    """The documents without their near duplicates: of each component of `near_duplicates` the row with the smallest id stays.
+
+    Null ids come last in the order and ties go by text hash; of repeated rows
+    one stays; texts without words are alike.  Columns are unchanged, whatever
+    their names; an empty table gives an empty table.
+
+    Narrow rows (id, text hash, fingerprint) are written and decide; texts move once at most,
+    to leave out the rows that go.
+    """
+    names = ["_k", "_null", "_h1", "_h2"]
+    own = keyed(docs, id_col, text_col).select(
+        "_text", "_row", F.coalesce(F.col("_id").cast("long"), F.lit(0)).alias("_k"), F.col("_id").isNull().alias("_null"),
+        F.xxhash64("_text").alias("_h1"), F.xxhash64(F.lit("text"), "_text").alias("_h2"))
+    rows = materialise(own.select(*names, _fingerprints(shingle)("_text").alias("fp")), "simhash-rows")
+    least = F.struct("_null", "_k", "_h1", "_h2")
+    nodes = materialise(rows.groupBy("fp").agg(F.min(least).alias("least")), "simhash-nodes")
+    found = _components(nodes, "least", tau).select("fp", "component")
+    gone = materialise(rows.join(found, "fp").where(least != F.col("component")).select(*names).distinct(), "simhash-gone")
+    repeated = materialise(rows.groupBy(*names).count().where("count > 1").select(*names), "simhash-repeated")
+    stay = own.join(gone, names, "left_anti")
+    # Repeated rows alone meet to become one.
+    return (stay.join(repeated, names, "left_anti")
+            .unionByName(stay.join(repeated, names, "left_semi").dropDuplicates(names)).select(*carried(docs, text_col, [])))
+
+
 def fingerprint_hex(fingerprint: str) -> F.col:
     return F.lpad(F.lower(F.hex(fingerprint)), 16, "0")

@@ -2,13 +2,15 @@
 
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from siftwork.llm import line_dedup, quality, simhash, substring_dedup, token_counts
-from siftwork.llm.queries import tokenizer_path
+from siftwork.llm.queries import QUERIES, tokenizer_path
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, n_lines int, _k string, _text int, "
           "N_Words string, `a.b` string")
@@ -101,13 +103,18 @@ def test_cutoffs_need_proof_and_hold_per_stratum(spark):
     assert quality.keep_good(docs, labels.limit(0)).count() == 243
 
 
-def test_fingerprints_link_like_brute_force(spark):
-    rng = random.Random(9)
-    base = [f"w{rng.randint(0, 999)}" for _ in range(150)]
-    pairs = [(i, " ".join(base[:j] + [f"e{i}"] + base[j + 1:])) for i, j in enumerate(rng.choices(range(150), k=60))]
-    pairs += odd_texts()
-    rows = simhash.near_duplicates(frame(spark, pairs)).collect()
-    prints = [simhash.shingle_fingerprint(t, 3) for _, t in pairs]
+def plain_fingerprint(text):
+    """A restatement of the contract that shares no code with the operator."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    runs = [" ".join(words[i:i + 3]) for i in range(len(words) - 2)] or [" ".join(words)] * bool(words)
+    hashes = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
+    number = sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+    return number - (number >> 63 << 64)
+
+
+def plain_components(pairs):
+    """(fingerprints, smallest id of the component or None) of (id, text) pairs."""
+    prints = [plain_fingerprint(t) for _, t in pairs]
     nodes = sorted(set(prints))
     root = {n: n for n in nodes}
 
@@ -124,11 +131,32 @@ def test_fingerprints_link_like_brute_force(spark):
     for (i, _), p in zip(pairs, prints):
         if i is not None:
             least[find(p)] = min(least.get(find(p), i), i)
-    expected = Counter((i, p, least.get(find(p))) for (i, _), p in zip(pairs, prints))
+    return prints, [least.get(find(p)) for p in prints]
+
+
+def test_fingerprints_link_like_brute_force(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randint(0, 999)}" for _ in range(150)]
+    pairs = [(i, " ".join(base[:j] + [f"e{i}"] + base[j + 1:])) for i, j in enumerate(rng.choices(range(150), k=60))]
+    pairs += odd_texts()
+    rows = simhash.near_duplicates(frame(spark, pairs)).collect()
+    prints, components = plain_components(pairs)
+    expected = Counter((i, p, c) for (i, _), p, c in zip(pairs, prints, components))
     assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in rows) == expected
     assert simhash.near_duplicates(frame(spark, pairs).limit(0)).count() == 0
 
 
+def test_registered_simhash_on_a_given_table(spark, sf_dir):
+    """The query itself, on a whole table, against the restatement."""
+    pairs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    prints, components = plain_components(pairs)
+    expected = {i: (f"{p & (1 << 64) - 1:016x}", c) for (i, _), p, c in zip(pairs, prints, components)}
+    found = {r.doc_id: (r.fingerprint, r.component_id) for r in QUERIES["op1_simhash"](spark, sf_dir).collect()}
+    assert found == expected
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == sorted(set(components))
+
+
 def test_cells_of_a_hot_bucket_keep_components(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 8)
     rng = random.Random(2)
@@ -169,19 +197,24 @@ def test_thresholds_obey_the_pigeonhole_principle(spark):
             assert found[0] & found[1]
 
 
-def test_one_of_each_drops_near_copies_only(spark):
+def test_one_of_each_keeps_the_first_of_each_component(spark):
     rng = random.Random(6)
     word = lambda: f"w{rng.randint(0, 5000)}"
     base = [word() for _ in range(400)]
     pairs = [(10, " ".join(base)), (11, " ".join(base)), (12, " ".join(base[:200] + ["edit"] + base[201:])),
              (5, " ".join(base[:100] + ["other"] + base[101:])), (30, " ".join(word() for _ in range(400))),
-             (31, " ".join(base[:200] + [word() for _ in range(200)])), (40, None), (41, ""), (42, "two words"), (42, "two words"),
-             (None, "two words"), (50, "lonely")]
+             (40, None), (41, ""), (42, "two words"), (42, "two words"), (None, "two words"), (None, "null id"), (None, "null id"), (50, "lonely")]
     pairs += [(100 + i, " ".join(word() for _ in range(80))) for i in range(60)]
+    pairs += [(i if i is None else i + 1000, t) for i, t in odd_texts() if i != 104]  # one id, two texts
     docs = frame(spark, pairs)
     result = simhash.one_of_each(docs)
     assert result.columns == docs.columns
-    assert sorted(r.doc_id for r in result.collect()) == [5, 30, 31, 40, 42, 50, *range(100, 160)]
+    prints, components = plain_components(pairs)
+    kept = Counter(r.doc_id for r in result.collect())
+    named = {c for c in components if c is not None}
+    # Components without any id keep one row each.
+    nameless = {p for p, c in zip(prints, components) if c is None}
+    assert kept == Counter({**dict.fromkeys(named, 1), **({None: len(nameless)} if nameless else {})})
     assert simhash.one_of_each(docs.limit(0)).count() == 0
 
 
