@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftwork.session import fresh_path, tune
+from siftwork.session import fresh_path, materialise, tune
 
-from . import line_dedup, packing, quality, sentence_pieces, simhash, substring_dedup, token_counts, token_files, topk, warc
+from . import (codebooks, licenses, line_dedup, packing, prefix_tree, quality, sentence_pieces, simhash, substring_dedup, token_counts,
+               token_files, topk, warc)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -176,3 +177,121 @@ def op4(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sentence_pieces.round_trip(docs, tokenizer_path("piece_bpe_32k.model")).select(
         "doc_id", "n_pieces", "ids_crc32", "round_trip")
+
+
+def _codebook_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Lloyd rounds over (part, row) pairs; each round rescans all entries."""
+    steps = [f"""
+kept AS (
+  SELECT vec_id, label, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS q, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (
+  SELECT r, p, q[p * (len(q) // {parts}) + 1:(p + 1) * (len(q) // {parts})] AS v
+  FROM kept, range({parts}) t(p)),
+book0 AS (SELECT p, r - 1 AS e, v FROM parts WHERE r <= {entries})"""]
+    for k in range(rounds + 1):
+        steps.append(f"""
+near{k} AS MATERIALIZED (
+  SELECT r, p, min(struct_pack(d := list_sum([(x[1] - x[2]) * (x[1] - x[2]) FOR x IN list_zip(a.v, b.v)])::BIGINT, e := b.e)) AS n
+  FROM parts a JOIN book{k} b USING (p) GROUP BY r, p)""")
+        if k < rounds:
+            steps.append(f"""
+moved{k} AS (
+  SELECT p, e, list(c ORDER BY i) AS v FROM (
+    SELECT p, n.e AS e, i, (sum(v[i])::BIGINT - ((sum(v[i])::BIGINT % count(*)) + count(*)) % count(*)) // count(*) AS c
+    FROM near{k} JOIN parts USING (r, p), (SELECT unnest(range(1, len(q) // {parts} + 1)) AS i FROM kept WHERE r = 1)
+    GROUP BY p, n.e, i) GROUP BY p, e),
+book{k + 1} AS (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM book{k} b LEFT JOIN moved{k} m ON b.p = m.p AND b.e = m.e)""")
+    return f"""
+WITH {",".join(steps)},
+coded AS (
+  SELECT r, string_agg(format('{{:02x}}', n.e), '' ORDER BY p) AS code, sum(n.d)::BIGINT AS error FROM near{rounds} GROUP BY r),
+hashed AS (
+  SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds}),
+totals AS (SELECT label, sum(error)::BIGINT AS label_error FROM kept JOIN coded USING (r) GROUP BY label)
+SELECT vec_id, code, error, label_error, codebooks_sha256
+FROM kept JOIN coded USING (r) JOIN totals t ON kept.label IS NOT DISTINCT FROM t.label CROSS JOIN hashed"""
+
+
+@query("op11_vector_codes", _codebook_sql())
+def op11(spark, sf_dir):
+    coded, books = codebooks.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"),
+                                      parts=16, entries=64, rounds=2, scale=256)
+    # Vectors stay behind before the labels' errors join.
+    narrow = materialise(coded.select("vec_id", "label", F.lower(F.hex("code")).alias("code"), "error"), "vector-codes")
+    return codebooks.with_group_error(narrow, "label", "label_error").select(
+        "vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+@query("op12_prefix_trie", """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, list({'d': d, 'n': n} ORDER BY turn NULLS FIRST, d) AS w FROM (
+    SELECT conv_id, turn, left(sha256(length(role)::VARCHAR || ':' || role || text), 32) AS d, length(text) AS n FROM t) GROUP BY conv_id),
+h AS (
+  SELECT conv_id, w, (xor(list_reduce([4294967295::UBIGINT] || [ord(c)::UBIGINT FOR c IN string_split(conv_id::VARCHAR, '')],
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda x, z: xor(x // 2, 3988292384::UBIGINT * (x % 2)))),
+    4294967295::UBIGINT) % 6)::BIGINT AS h FROM own),
+c AS (
+  SELECT h.conv_id, coalesce(b.w[1:h], []) || h.w[h + 1:] AS w
+  FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 100),
+k AS (SELECT conv_id, [x.d FOR x IN w] AS d, [x.n FOR x IN w] AS n FROM c),
+p AS (SELECT conv_id, unnest(range(0, len(d) + 1)) AS depth, d, n FROM k),
+m AS (SELECT conv_id, depth, array_to_string(d[1:depth], ' ') AS key, array_to_string(d[1:depth - 1], ' ') AS up,
+             CASE WHEN depth = 0 THEN 0 ELSE n[depth] END AS chars, len(d) = depth AS ends FROM p),
+node AS (
+  SELECT key, depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM m GROUP BY key, depth),
+kids AS (SELECT up AS key, depth - 1 AS depth, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY up, depth),
+full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (key, depth)),
+anc AS (
+  SELECT unnest(range(0, depth + 1)) AS up_depth, key, (n_convs - 1) * chars AS s, (n_children = 0)::BIGINT AS leaf FROM full_node),
+sub AS (
+  SELECT left(key, greatest(33 * up_depth - 1, 0)) AS key, up_depth AS depth, sum(s) AS saved, sum(leaf) AS leaves FROM anc GROUP BY ALL)
+SELECT a.conv_id, a.depth::BIGINT AS depth, CASE WHEN a.depth > 0 THEN b.conv_id END AS parent_conv_id, a.n_convs::BIGINT AS n_convs,
+       a.n_children::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, a.ends_sha256
+FROM full_node a JOIN sub USING (key, depth) LEFT JOIN node b ON b.key = a.up AND b.depth = a.depth - 1""")
+def op12(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    sequences = prefix_tree.with_shared_heads(prefix_tree.turn_sequences(turns), every=100, modulus=6)
+    return prefix_tree.prefix_tree(sequences)
+
+
+def _license_sql() -> str:
+    def values(words: list[str]) -> str:
+        return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+    phrases = " UNION ALL ".join(
+        f"SELECT '{label}' AS label, {values(licenses.template_words(text))} AS run" for label, text in licenses.PHRASES.items())
+    templates = " UNION ALL ".join(
+        f"SELECT '{t['label']}' AS label, {values(t['words'])} AS words, {t['need']} AS need, {t['reach']} AS reach"
+        for t in licenses.prepared(licenses.TEMPLATES, licenses.THRESHOLD))
+    return f"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array({SQL_LOWER.format("coalesce(text, '')")},
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
+phrases AS ({phrases}), templates AS ({templates}),
+places AS (
+  SELECT r, label, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1:i + len(run)] = run)) AS place
+  FROM words, phrases WHERE len(list_intersect(w, run)) = len(run)),
+base AS (
+  SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_distinct(list(label)) AS base FROM places GROUP BY r),
+likely AS (SELECT r, w FROM words, (SELECT list_distinct(flatten(list(words))) AS v FROM templates) WHERE len(list_intersect(w, v)) >= (SELECT min(need) FROM templates)),
+blocks AS (
+  SELECT r, reach, list_distinct(w[k * reach + 1:(k + 2) * reach]) AS b
+  FROM likely, (SELECT DISTINCT reach FROM templates), unnest(range(0, greatest((len(w) + reach - 1) // reach - 1, 1))) t(k)),
+met AS (
+  SELECT r, label, len(list_intersect(words, b)) AS hits, len(words) AS size, need FROM blocks JOIN templates USING (reach)),
+found AS (SELECT r, list_distinct(list(label)) AS labels, max(hits::DOUBLE / size) AS best FROM met WHERE hits >= need GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
+       array_to_string(list_sort(coalesce(base, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(coalesce(base, []) || coalesce(labels, []))), ',') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0)::DOUBLE END AS score
+FROM words LEFT JOIN base USING (r) LEFT JOIN found USING (r)"""
+
+
+@query("op13_license_scans", _license_sql())
+def op13(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
