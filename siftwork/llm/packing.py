@@ -30,11 +30,13 @@ NEAR, GRID = 24, 192
 #: A run of the program ends at the first document end after so many ids.
 SEGMENT = 1 << 20
 SENTENCE_ENDS = ".!?…。！？"
+#: Words whose ids a worker remembers; packing meets them in the order of the input, so rare ones come back late.
+STORE_WORDS = 700_000
 
 
 def sentence_ends(path: str) -> np.ndarray:
     """Per token id: does it close a sentence?"""
-    vocabulary = segmented(path, False).library.get_vocab()
+    vocabulary = segmented(path, False, STORE_WORDS).library.get_vocab()
     table = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
     for token, number in vocabulary.items():
         core = token.removesuffix("</w>")
@@ -54,8 +56,13 @@ def cut_points(stops: np.ndarray, penalties: np.ndarray, length: int) -> list[in
     """The positions of the best cuts; `stops` ascend from 0 to the end of the segment."""
     pos, pen = stops.tolist(), penalties.tolist()
     cost, came = [0.0] * len(pos), [0] * len(pos)
-    shorts = [1 << k for k in range(9, length.bit_length()) if 1 << k < length]
-    where = {p: i for i, p in enumerate(pos)}
+    # Where a window of a power of two could start, for the few stops that have such a place.
+    starts: dict[int, list[int]] = {}
+    for size in (1 << k for k in range(9, length.bit_length()) if 1 << k < length):
+        at = np.searchsorted(stops, stops - size)
+        hits = np.flatnonzero(stops[at] == stops - size)
+        for j, i in zip(hits.tolist(), at[hits].tolist()):
+            starts.setdefault(j, []).append(i)
     queue: deque[tuple[float, int]] = deque([(0.0, 0)])
     last = len(pos) - 1
     for j in range(1, len(pos)):
@@ -64,9 +71,8 @@ def cut_points(stops: np.ndarray, penalties: np.ndarray, length: int) -> list[in
             queue.popleft()
         best, start = queue[0]
         best += length - end
-        for size in shorts:
-            i = where.get(end - size)
-            if i is not None and cost[i] + SHORT < best:
+        for i in starts.get(j, ()):
+            if cost[i] + SHORT < best:
                 best, start = cost[i] + SHORT, i
         if j == last:
             for i in range(j - 1, -1, -1):
@@ -98,23 +104,24 @@ def cut_points(stops: np.ndarray, penalties: np.ndarray, length: int) -> list[in
 
 def candidates(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the stream may be cut, and the penalty of each place."""
-    sentence = np.flatnonzero(ends[ids]) + 1
-    marks = np.union1d(np.append(doc_ends, 0), sentence)
-    is_doc = np.isin(marks, doc_ends, assume_unique=False)
+    is_doc, is_sentence = np.zeros(len(ids) + 1, bool), np.zeros(len(ids) + 1, bool)
+    is_doc[doc_ends] = True
+    is_sentence[1:] = ends[ids]
+    is_stop = is_doc | is_sentence
+    is_stop[0] = True
+    marks = np.flatnonzero(is_stop)
+    # A mark far enough from the one before it stays in any case; only the others are gone through.
     keep, previous = np.ones(len(marks), bool), 0
-    for k, (p, fixed) in enumerate(zip(marks.tolist(), is_doc.tolist())):
-        if not fixed and k and p - previous < NEAR:
-            keep[k] = False
-        else:
-            previous = p
+    near = np.flatnonzero((np.diff(marks) < NEAR) & ~is_doc[marks[1:]]) + 1
+    for k, before, p in zip(near.tolist(), marks[near - 1].tolist(), marks[near].tolist()):
+        if keep[k - 1]:
+            previous = before
+        keep[k] = p - previous >= NEAR
     marks = marks[keep]
     gaps = np.diff(marks)
-    grid = [np.arange(a + GRID, a + g, GRID) for a, g in zip(marks[:-1][gaps > GRID], gaps[gaps > GRID])]
-    stops = np.unique(np.concatenate([marks, *grid])) if grid else marks
-    penalties = np.full(len(stops), INSIDE)
-    penalties[np.isin(stops, sentence)] = AT_SENTENCE
-    penalties[np.isin(stops, doc_ends)] = 0
-    return stops, penalties
+    grid = [np.arange(a + GRID, a + g, GRID) for a, g in zip(marks[:-1][gaps > GRID].tolist(), gaps[gaps > GRID].tolist())]
+    stops = np.sort(np.concatenate([marks, *grid])) if grid else marks
+    return stops, np.where(is_doc[stops], 0, np.where(is_sentence[stops], AT_SENTENCE, INSIDE))
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
@@ -155,7 +162,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 4096,
     about a million ids, or one document if that is longer.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, ends = segmented(tokenizer, False), sentence_ends(tokenizer)
+        encoder, ends = segmented(tokenizer, False, STORE_WORDS), sentence_ends(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         sequence, keys, blobs, size = TaskContext.get().partitionId() << 33, [], [], 0
 

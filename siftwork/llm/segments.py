@@ -209,6 +209,6 @@ class Segmented:
 
 
 @lru_cache(maxsize=2)
-def segmented(path: str, counts_only: bool) -> Segmented:
+def segmented(path: str, counts_only: bool, store_size: int = 400_000) -> Segmented:
     """One per worker process, so that the store lasts over batches and tasks."""
-    return Segmented(path, counts_only)
+    return Segmented(path, counts_only, store_size)
