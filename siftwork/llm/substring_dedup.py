@@ -4,7 +4,7 @@ Any two equal runs of `length` words share, at one and the same shift, a positio
 of a difference cover in both texts.  So only runs of length - period + 1 words
 that start at cover positions (4 in 13 for 20 words) are hashed and gathered.
 Positions whose anchor occurs twice or more are then extended to the full windows
-around them, these are hashed again (128 bits), and every window but the
+around them, these are hashed again by a strong hash, and every window but the
 first of its kind, by (id, start), gives its words up.
 
 Anchors and windows travel as packed arrays, one row per batch of texts and
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import carried, keyed, partitions
@@ -30,7 +31,7 @@ LEAST_ANCHOR = 8
 BLOCK_WORDS = 100_000
 #: Entries that a task gathers before it packs them by bucket: 256 per bucket, within these bounds.
 LEAST_PENDING, MOST_PENDING = 200_000, 4_000_000
-MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+MULTIPLIER = 0x9E3779B97F4A7C15
 KEY = ["_null", "_k", "_hash"]
 OUTPUTS = ["n_words", "n_removed"]
 
@@ -80,24 +81,31 @@ def _powers(base: int, size: int) -> np.ndarray:
 
 
 class Hasher:
-    """Hashes of runs of words by prefix sums of a polynomial over the words' bytes."""
+    """Hashes of runs of words: quick ones by prefix sums of a polynomial over the words' bytes, and strong ones.
 
-    def __init__(self, words: list[bytes], families: int):
-        joined = np.frombuffer(b" ".join(words), np.uint8)
+    A quick hash serves to bring runs together; texts can be made whose quick hashes agree, so what is
+    equal is decided by the strong one.
+    """
+
+    def __init__(self, words: list[bytes]):
+        self.text = b" ".join(words)
+        joined = np.frombuffer(self.text, np.uint8)
         self.ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         self.starts = np.concatenate([[0], self.ends[:-1] + 1])
-        self.tables = []
-        for base in MULTIPLIERS[:families]:
-            powers = _powers(base, len(joined) + 1)
-            sums = np.zeros(len(joined) + 1, np.uint64)
-            np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=sums[1:])
-            self.tables.append((sums, _powers(pow(base, -1, 1 << 64), len(joined) + 1)))
-
-    def runs(self, first: np.ndarray, size: int, family: int = 0) -> np.ndarray:
-        """Hashes of the runs of `size` words that start at `first`."""
+        self.sums = np.zeros(len(joined) + 1, np.uint64)
+        np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * _powers(MULTIPLIER, len(joined) + 1)[:-1], out=self.sums[1:])
+        self.inverse = _powers(pow(MULTIPLIER, -1, 1 << 64), len(joined) + 1)
+
+    def strong(self, first: np.ndarray, size: int) -> np.ndarray:
+        """XXH3 of the runs of `size` words that start at `first`."""
+        spans = zip(self.starts[first].tolist(), self.ends[first + size - 1].tolist())
+        digest, text = xxhash.xxh3_64_intdigest, self.text
+        return np.fromiter((digest(text[a:b]) for a, b in spans), np.uint64, len(first))
+
+    def runs(self, first: np.ndarray, size: int) -> np.ndarray:
+        """Quick hashes of the runs of `size` words that start at `first`."""
         a, b = self.starts[first], self.ends[first + size - 1]
-        sums, inverse = self.tables[family]
-        x = (sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64)
+        x = (self.sums[b] - self.sums[a]) * self.inverse[a] + (b - a).astype(np.uint64)
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
         return x ^ (x >> np.uint64(31))
@@ -108,8 +116,8 @@ class Hasher:
 #: kind 0: entries of a bucket; kind 1: positions already known, for the home bucket of their documents.
 ROWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("payload", pa.binary())])
 ROWS_DDL = "bucket int, kind byte, payload binary"
-FOUND = pa.schema([("_null", pa.bool_()), ("_k", pa.int64()), ("_hash", pa.int32()), ("found", pa.binary())])
-FOUND_DDL = "_null boolean, _k long, _hash int, found binary"
+FOUND = pa.schema([("_null", pa.bool_()), ("_k", pa.int64()), ("_hash", pa.int64()), ("found", pa.binary())])
+FOUND_DDL = "_null boolean, _k long, _hash long, found binary"
 #: Bytes kept of an anchor's hash beside its bucket: a false match costs work, no word.
 ANCHOR_BYTES = 5
 
@@ -118,7 +126,7 @@ class Keys:
     """The document keys of a batch as arrays."""
 
     def __init__(self, null, k, hashes):
-        self.null, self.k, self.hash = np.asarray(null, np.uint8), np.asarray(k, np.int64), np.asarray(hashes, np.int32)
+        self.null, self.k, self.hash = np.asarray(null, np.uint8), np.asarray(k, np.int64), np.asarray(hashes, np.int64)
 
     @classmethod
     def of(cls, batch: pa.RecordBatch) -> Keys:
@@ -180,7 +188,7 @@ def unpacked(payload: bytes):
     # Differences are of 40 bits, negative ones where a text begins.
     steps = (planes(entries, 5).astype(np.int64) << 24) >> 24
     position, flag = np.cumsum(steps), read(np.uint8, entries)
-    return hashes, place, position, flag, Keys(read(np.uint8, docs), np.cumsum(planes(docs, 8).astype(np.int64)), read("<i4", docs))
+    return hashes, place, position, flag, Keys(read(np.uint8, docs), np.cumsum(planes(docs, 8).astype(np.int64)), read("<i8", docs))
 
 
 def gathered(payloads: list[bytes]):
@@ -288,7 +296,7 @@ def anchors_of(batch: pa.RecordBatch, length: int) -> Iterator[tuple]:
     for words, number, position, left in blocks(_texts(batch), length):
         first = np.flatnonzero(member[position % period] & (left >= size))
         if len(first):
-            yield [Hasher(words, 1).runs(first, size)], number[first], position[first]
+            yield [Hasher(words).runs(first, size)], number[first], position[first]
 
 
 def send_anchors(hashes, number, position, keys, buckets: int, homes: int) -> pa.RecordBatch:
@@ -345,10 +353,10 @@ def windows_of(batch: pa.RecordBatch, length: int) -> Iterator[tuple]:
                 wanted[at + place[(place >= 0) & (place < count)]] = True
         first = np.flatnonzero(wanted & (left >= length))
         if len(first):
-            hasher = Hasher(words, 2)
+            hasher = Hasher(words)
             short = hasher.runs(np.arange(len(words) - size + 1), size)
             least = np.lib.stride_tricks.sliding_window_view(short, period)[first].min(axis=1)
-            yield [least, hasher.runs(first, length, 1)], number[first], position[first]
+            yield [least, hasher.strong(first, length)], number[first], position[first]
 
 
 def send_windows(hashes, number, position, keys, buckets: int, homes: int) -> pa.RecordBatch:
@@ -417,7 +425,7 @@ def _resolved(rows: DataFrame, resolve, homes: int) -> DataFrame:
 def _keys(id_col: str, text_col: str) -> list[Column]:
     """Null ids come last; rows of one id and text are one document."""
     return [F.col(id_col).isNull().alias("_null"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("_k"),
-            F.hash(text_col).alias("_hash")]
+            F.xxhash64(text_col).alias("_hash")]
 
 
 def repeated_starts(rows: DataFrame, length: int) -> DataFrame:
