@@ -71,12 +71,12 @@ def record_head(row: dict) -> bytes:
     """The header block of a record; the length is known before the payload is."""
     key = "null" if row["_id"] is None else row["_id"]
     revisit = row["_owner"] is not None
-    lines = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<urn:page:{key}:{row['_copy']}>"),
+    lines = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<urn:page:{key}:{row['_digest']}:{row['_copy']}>"),
              ("WARC-Date", "1970-01-01T00:00:00Z"),
              ("WARC-Target-URI", "".join(c for c in row["_url"] or "" if c >= " ")),
              ("WARC-Payload-Digest", f"sha1:{base32(row['_digest'])}"), ("Content-Type", "text/html; charset=utf-8")]
     if revisit:
-        lines += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{row['_owner']}:1>")]
+        lines += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{row['_owner']}:{row['_digest']}:1>")]
     lines.append(("Content-Length", str(0 if revisit else row["_bytes"])))
     return BREAK.join([VERSION, *(f"{k}: {v}".encode() for k, v in lines)]) + BREAK * 2
 
@@ -87,8 +87,10 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
     A null payload is empty; a null id gives a response of its own; rows that
     repeat an id with another payload are records of their own, and repeated
-    equal rows all are written.  An archive is a file of gzip members, one per
-    record, under a name that no other attempt uses.
+    equal rows all are written: a record's id names page, payload digest and
+    copy.  Other input columns are not read; an empty table gives an empty manifest.
+    An archive is a file of gzip members, one per record, under a name that no
+    other attempt uses.
     """
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, packer, current, records = None, None, None, 0
@@ -219,7 +221,10 @@ def resolved(chunks: DataFrame) -> DataFrame:
         "record", "type", "refers_to", "stated_digest", "payload_bytes", "payload_digest"), "warc-records")
     responses = (ends.where("type = 'response'")
                  .select(F.col("record").alias("refers_to"), F.col("payload_bytes").alias("_b"), F.col("payload_digest").alias("_d")))
-    rows = ends.join(responses, "refers_to", "left")
+    # Responses refer to nothing and need no join.
+    revisits = ends.where("type = 'revisit'").join(responses, "refers_to", "left")
+    rows = revisits.unionByName(ends.where("type <> 'revisit' OR type IS NULL").select(
+        "*", F.lit(None).cast("long").alias("_b"), F.lit(None).cast("string").alias("_d")))
     digest = F.when(F.col("type") == "revisit", F.col("_d")).otherwise(F.col("payload_digest"))
     return rows.select(
         number("record").alias("page_id"),
