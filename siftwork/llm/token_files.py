@@ -28,19 +28,23 @@ ENTRY = np.dtype([("id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("tokens", "
 MANIFEST = "shard int, uri string, documents long, tokens long, bytes long, dictionary string"
 
 #: Bounds of what the dictionary is trained on and of its size.
-SAMPLE_DOCUMENTS, SAMPLE_TEXT_BYTES, DICTIONARY_BYTES = 512, 1 << 14, 1 << 16
+SAMPLE_DOCUMENTS, SAMPLE_CHARS, DICTIONARY_BYTES = 512, 1 << 13, 1 << 16
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, text_col: str = "text") -> bytes:
-    """A dictionary from the id arrays of up to 512 documents of at most 16 KiB each.
+def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> bytes:
+    """A dictionary from id arrays of slices of the 512 documents whose hash of id and length is smallest.
 
-    It only makes frames smaller, so a bounded sample of short documents is
-    enough; which ones are met does not change what is read back.
+    All rows take part in the choice, so no source or size of document is left out;
+    a slice has at most 8,192 characters and begins where the hash says.  The dictionary only makes
+    frames smaller: what is chosen does not change what is read back.  It is empty for an empty table only.
     """
-    some = (docs.select(column(text_col).alias("t")).where(F.octet_length("t").between(1, SAMPLE_TEXT_BYTES))
-            .limit(SAMPLE_DOCUMENTS).collect())
+    text = F.coalesce(column(text_col), F.lit(""))
+    rows = docs.select(text.alias("t"), F.xxhash64(column(id_col), F.char_length(text)).alias("h"))
+    room = F.greatest(F.char_length("t") - SAMPLE_CHARS, F.lit(0)) + 1
+    slices = rows.select("h", F.substring("t", (F.pmod(F.shiftright("h", 20), room) + 1).cast("int"), F.lit(SAMPLE_CHARS)).alias("t"))
+    chosen = slices.orderBy("h", "t").limit(SAMPLE_DOCUMENTS).collect()
     end = np.array([end_id], "<u4").tobytes()
-    samples = [ids + end for ids in segmented(tokenizer, False).encode([r.t for r in some])]
+    samples = [ids + end for ids in segmented(tokenizer, False).encode([r.t for r in chosen])]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too little to train on
@@ -58,11 +62,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
     Texts are range-partitioned by id and sorted (null ids first, null texts
     empty, repeated ids next to each other), then encoded and written by the same
     task, so ids never go through a shuffle.  A shard is streamed: one document
-    is held at a time.  The manifest is written as parquet to the folder and read
+    is held at a time.  Other input columns are not read.  The manifest is written as parquet to the folder and read
     back, so the files that count are fixed once.
     """
     spark = docs.sparkSession
-    dictionary = train_dictionary(docs, tokenizer, end_id, text_col)
+    dictionary = train_dictionary(docs, tokenizer, end_id, id_col, text_col)
     digest = hashlib.sha256(dictionary).digest() if dictionary else bytes(32)
     if dictionary:
         store, path = file_system(f"{folder}/dictionary-{digest.hex()}")
