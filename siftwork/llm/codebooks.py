@@ -47,7 +47,8 @@ def integers(values: np.ndarray, scale: int) -> np.ndarray:
 
     The scale is a power of two, so the product is exact.
     """
-    scaled = np.floor(values * float(scale))
+    with np.errstate(over="ignore"):
+        scaled = np.floor(values * float(scale))
     if values.size == 0 or float(np.abs(scaled).max()) < EXACT:
         return scaled
     whole = [int(x) * scale if abs(x) >= EXACT else int(np.floor(x * scale)) for x in values.ravel().tolist()]
