@@ -326,7 +326,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = _components(nodes, "least", tau).select("fp", "component")
     gone = materialise(rows.join(found, "fp").where(least != F.col("component")).select(*names).distinct(), "simhash-gone")
     repeated = materialise(rows.groupBy(*names).count().where("count > 1").select(*names), "simhash-repeated")
-    stay = own.join(gone, names, "left_anti")
+    # Merge joins at every size: one shuffle of the texts serves all three, and nothing that grows is broadcast.
+    stay = own.join(gone.hint("merge"), names, "left_anti")
+    repeated = repeated.hint("merge")
     # Repeated rows alone meet to become one.
     return (stay.join(repeated, names, "left_anti")
             .unionByName(stay.join(repeated, names, "left_semi").dropDuplicates(names)).select(*carried(docs, text_col, [])))
