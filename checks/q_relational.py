@@ -90,9 +90,10 @@ def w2(spark, d):
     return ordering.rank_in_file(typed(spark, d), "file_path").select(*OUT, "rank_in_file")
 
 
-@query("w2_sorted", f"WITH {r.TYPED} SELECT {FINDING_COLS} FROM typed")
+@query("w2_sorted", f"""WITH {r.TYPED}
+SELECT {FINDING_COLS}, row_number() OVER (ORDER BY file_path, severity_score DESC, confidence DESC, ordinal) AS position FROM typed""")
 def w2_sorted(spark, d):
-    return ordering.sort_findings(typed(spark, d), "file_path").select(*OUT)
+    return ordering.with_position(ordering.sort_findings(typed(spark, d), "file_path")).select(*OUT, "position")
 
 
 @query("j7_file_rollup", f"WITH {ROLLED} SELECT * FROM rolled")
@@ -193,30 +194,28 @@ def j8(spark, d):
     return joined.select("uri", "ordinal", "rule_id", "rule_name", "precision", "security_severity", "message")
 
 
-VULN_JSON = ("to_json(struct_pack(severity := severity, type := type, description := description, impact := impact, "
-             "fix := fix, line_number := line_number, owasp := owasp, confidence := confidence, source := source))")
-LISTS = f"""lists AS (SELECT file_path, CAST((rank - 1) // {reports.FINDINGS_PER_PART} AS BIGINT) AS part,
-  '[' || string_agg({VULN_JSON}, ',' ORDER BY rank) || ']' AS vulnerabilities
-  FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY severity_score DESC, confidence DESC, ordinal) AS rank
-        FROM typed) x GROUP BY 1, 2)"""
+VULN_STRUCT = ("struct_pack(severity := severity, type := type, description := description, impact := impact, "
+               "fix := fix, line_number := line_number, owasp := owasp, confidence := confidence, source := source)")
+VULN_JSON = f"to_json({VULN_STRUCT})"
+LISTS = """lists AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY severity_score DESC, confidence DESC, ordinal) AS rank
+  FROM typed)"""
 
 
-@query("a10_findings_list", f"WITH {r.TYPED}, {LISTS} SELECT * FROM lists")
+@query("a10_findings_list", f"WITH {r.TYPED}, {LISTS} SELECT file_path, rank AS rank_in_file, CAST({VULN_JSON} AS VARCHAR) AS vulnerability FROM lists")
 def a10(spark, d):
     lists = reports.findings_list(typed(spark, d), "file_path")
-    return lists.withColumn("vulnerabilities", F.to_json("vulnerabilities", reports.KEEP_NULLS))
+    return lists.withColumn("vulnerability", F.to_json("vulnerability", reports.KEEP_NULLS))
 
 
 SEV_JSON = "struct_pack(" + ", ".join(f'"{s}" := {s.lower()}' for s in fixed.SEVERITY_SCORES) + ")"
 
 
 @query("snk1_json_report", f"""WITH {ROLLED}, {LISTS}
-SELECT f.file_path, coalesce(l.part, 0) AS part,
-  left(doc, length(doc) - 1) || ',"vulnerabilities":' || coalesce(l.vulnerabilities, '[]') || '}}' AS document
-FROM (SELECT file_path, CAST(to_json(struct_pack(file_path := file_path, language := language,
-        file_hash := left(file_hash, 12) || '…', from_cache := from_cache, risk_score := risk_score,
-        severity_counts := {SEV_JSON}, error := error)) AS VARCHAR) AS doc FROM rolled) f
-LEFT JOIN lists l ON l.file_path = f.file_path""")
+SELECT file_path, 0::BIGINT AS rank, CAST(to_json(struct_pack(file_path := file_path, language := language,
+  file_hash := left(file_hash, 12) || '…', from_cache := from_cache, risk_score := risk_score,
+  severity_counts := {SEV_JSON}, error := error)) AS VARCHAR) AS document FROM rolled
+UNION ALL SELECT file_path, rank, CAST(to_json(struct_pack(file_path := file_path, rank := rank, vulnerability := {VULN_STRUCT})) AS VARCHAR)
+FROM lists""")
 def snk1(spark, d):
     return reports.json_report(rolled(spark, d), typed(spark, d))
 

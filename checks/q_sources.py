@@ -8,6 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from siftwork.functions.paths import detect_language
+from siftwork.functions.text import split_lines
 from siftwork.operators import rollups
 from siftwork.operators.skew import spread_join
 from siftwork.plans import changes, reports
@@ -55,6 +56,20 @@ def src1(spark, d):
     return files.select(F.col("relative_path").alias("file_path"), "language", "file_hash")
 
 
+@query("src1_source_pieces", f"""
+SELECT file_path, sha256(content) AS file_hash, octet_length(encode(content))::BIGINT AS text_bytes,
+       (len(string_split(content, chr(10))) - CASE WHEN ends_with(content, chr(10)) OR content = '' THEN 1 ELSE 0 END)::BIGINT AS n_lines
+FROM corpus WHERE {_IN_SCOPE}""")
+def src1_pieces(spark, d):
+    """Files read 512 bytes at a time: what the pieces add up to."""
+    root = export_tree(spark, corpus(spark, d))
+    pieces = tree.read_pieces(spark, [root], piece_bytes=512)
+    lines = F.size(split_lines(F.col("text")))
+    return pieces.groupBy(F.col("relative_path").alias("file_path")).agg(
+        F.max("file_hash").alias("file_hash"), F.sum(F.octet_length("text")).cast("long").alias("text_bytes"),
+        F.max(F.when(F.col("last"), F.col("first_line") + lines - 1)).alias("n_lines"))
+
+
 @query("src2_source_files", """
 SELECT file_path, CASE WHEN file_id % 10 = 9 THEN '' ELSE sha256(content) END AS file_hash, file_id % 10 = 9 AS failed
 FROM corpus""")
@@ -177,21 +192,29 @@ def j6(spark, d):
 
 
 @query("snk3_cache_upsert", """
-WITH new AS (SELECT sha256(text) AS file_hash, 'new' || CAST(max(doc_id) AS VARCHAR) AS file_path, max(doc_id) AS seen_at
-             FROM documents WHERE doc_id % 2 = 0 GROUP BY text)
-SELECT file_hash, file_path, seen_at FROM new
-UNION ALL SELECT sha256(content), 'old' || CAST(first_id AS VARCHAR), first_id FROM scan_cache
-WHERE sha256(content) NOT IN (SELECT file_hash FROM new)""")
+WITH old AS (SELECT sha256(html) AS file_hash, 'page' || CAST(min(page_id) AS VARCHAR) AS file_path, min(page_id) AS seen_at FROM pages GROUP BY html
+             UNION ALL SELECT sha256(content), 'old' || CAST(first_id AS VARCHAR), first_id FROM scan_cache),
+new AS (SELECT sha256(text) AS file_hash, 'new' || CAST(max(doc_id) AS VARCHAR) AS file_path, max(doc_id) AS seen_at FROM documents GROUP BY text)
+SELECT * FROM new UNION ALL SELECT * FROM old WHERE file_hash NOT IN (SELECT file_hash FROM new)""")
 def snk3(spark, d):
-    new = _hashed(spark, d).where("file_id % 2 = 0").select(
-        "file_hash", F.concat(F.lit("new"), F.col("file_id").cast("string")).alias("file_path"),
-        F.lit("Python").alias("language"), F.timestamp_seconds(F.col("file_id")).alias("scanned_at"))
-    result = cache_ops.upsert_cache(_entries(spark, d), new)
-    return result.select("file_hash", "file_path", F.unix_timestamp("scanned_at").alias("seen_at"))
+    """A store that holds all pages and the labelled documents, then gets all documents."""
+    store = FindingCache(spark, fresh_path(spark, "cache"))
+    nothing = spark.createDataFrame([], cache_ops.FINDING_SCHEMA)
+
+    def entries(label, hashed, number):
+        return hashed.groupBy("file_hash").agg(number.alias("at")).select(
+            "file_hash", F.concat(F.lit(label), F.col("at").cast("string")).alias("file_path"), F.lit("Python").alias("language"),
+            F.timestamp_seconds("at").alias("scanned_at"))
+
+    pages = spark.read.parquet(f"{d}/pages.parquet").select(F.sha2("html", 256).alias("file_hash"), F.col("page_id").alias("id"))
+    labelled = view(spark, d, "scan_cache").select(F.sha2("content", 256).alias("file_hash"), F.col("first_id").alias("id"))
+    store.put(entries("page", pages, F.min("id")).unionByName(entries("old", labelled, F.min("id"))), nothing)
+    store.put(entries("new", _hashed(spark, d), F.max("file_id")), nothing)
+    return store.read().entries.select("file_hash", "file_path", F.unix_timestamp("scanned_at").alias("seen_at"))
 
 
 def _stored(spark, d):
-    """A cache folder holding the findings view by file, written in two versions."""
+    """A cache folder holding the findings view by file, stored by two runs."""
     store = FindingCache(spark, fresh_path(spark, "cache"))
     keyed = typed(spark, d).withColumn("file_hash", F.sha2("file_path", 256))
     for part in (keyed, keyed.where("severity = 'CRITICAL'")):

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = {"documents": "doc_id", "events": "event_id", "pages": "page_id"}
+TABLES = {"documents": "doc_id", "events": "event_id", "pages": "page_id", "labels": "doc_id"}
 
 VIEWS = {
     "corpus": """
@@ -56,7 +56,7 @@ SELECT doc_id AS resp_id,
 FROM documents""",
     "scan_cache": """
 SELECT text AS content, min(doc_id) AS first_id, count(*) AS copies
-FROM documents WHERE doc_id % 3 = 0 GROUP BY text""",
+FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY text""",
     "changed": """
 SELECT c.file_path,
        CASE c.file_id % 4 WHEN 0 THEN 'removed' WHEN 1 THEN 'added'

@@ -20,48 +20,35 @@ from ..operators.skew import first_wins, spread_join
 from ..schema import FINDING_FIELDS
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
-FINDINGS_PER_PART = 10_000
 DEFAULT_TOOL = ("siftwork", "1.0.0", "https://example.org/siftwork")
 
 
 # --------------------------------------------------------------------------- nested JSON
 
-def findings_list(findings: DataFrame, *keys: str, per_part: int = FINDINGS_PER_PART) -> DataFrame:
-    """Ordered findings of each key as arrays of at most `per_part`.
+def findings_list(findings: DataFrame, *keys: str) -> DataFrame:
+    """(keys, rank_in_file, vulnerability): the ordered list of each key, one row per finding.
 
-    A file with more findings continues in further parts; parts in order hold
-    the whole ordered list, and no array grows with the data.
+    Rows and not arrays, because one file may hold any number of findings.
     """
-    ranked = rank_in_file(findings, *keys)
-    parts = ranked.withColumn("part", F.expr(f"(rank_in_file - 1) div {per_part}"))
-    packed = parts.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(
-        F.struct("rank_in_file", F.struct(*FINDING_FIELDS).alias("v")))).alias("_ranked"))
-    return packed.select(*keys, "part", F.transform("_ranked", lambda r: r["v"]).alias("vulnerabilities"))
+    return rank_in_file(findings, *keys).select(*keys, "rank_in_file", F.struct(*FINDING_FIELDS).alias("vulnerability"))
 
 
 def _counts_struct() -> Column:
     return F.struct(*[F.col(s.lower()).alias(s) for s in fixed.SEVERITY_SCORES])
 
 
-def json_report(files: DataFrame, findings: DataFrame, per_part: int = FINDINGS_PER_PART) -> DataFrame:
-    """One nested JSON text per file (per part, for very large files), clean files included.
+def json_report(files: DataFrame, findings: DataFrame) -> DataFrame:
+    """(file_path, rank, document): one JSON text per file (rank 0), clean files included, and one per finding (from 1).
 
-    A file is first copied to the parts it needs, so that the join is one to one
-    and no file, however many parts it has, meets in one task.
+    Every file has this shape, whatever the number of its findings; texts of a file follow each other
+    in the order of (file_path, rank).
     """
-    arrays = findings_list(findings, "file_path", per_part=per_part)
-    empty = F.array().cast(arrays.schema["vulnerabilities"].dataType)
-    counts = findings.groupBy("file_path").agg(F.count(F.lit(1)).alias("_n"))
-    last_part = F.greatest(F.expr(f"(_n - 1) div {per_part}"), F.lit(0).cast("bigint"))
-    parts = files.join(counts, "file_path", "left").withColumn(
-        "part", F.explode(F.sequence(F.lit(0).cast("bigint"), last_part)))
-    return parts.join(arrays, ["file_path", "part"], "left").select(
-        "file_path", "part",
-        F.to_json(F.struct(
-            "file_path", "language", hash_prefix(F.col("file_hash")).alias("file_hash"), "from_cache",
-            "risk_score", _counts_struct().alias("severity_counts"), "error",
-            F.coalesce("vulnerabilities", empty).alias("vulnerabilities"),
-        ), KEEP_NULLS).alias("document"))
+    opened = files.select("file_path", F.lit(0).cast("bigint").alias("rank"), F.to_json(F.struct(
+        "file_path", "language", hash_prefix(F.col("file_hash")).alias("file_hash"), "from_cache",
+        "risk_score", _counts_struct().alias("severity_counts"), "error"), KEEP_NULLS).alias("document"))
+    listed = findings_list(findings, "file_path").select("file_path", F.col("rank_in_file").alias("rank"), F.to_json(
+        F.struct("file_path", F.col("rank_in_file").alias("rank"), "vulnerability"), KEEP_NULLS).alias("document"))
+    return opened.unionByName(listed)
 
 
 def json_summary(files: DataFrame) -> DataFrame:
@@ -72,11 +59,8 @@ def json_summary(files: DataFrame) -> DataFrame:
 
 
 def write_json_report(files: DataFrame, findings: DataFrame, path: str) -> None:
-    """`files/` holds one document per line, `summary/` the run summary.
-
-    Lines go by path and part: those of a file that needs several follow each other in order.
-    """
-    json_report(files, findings).orderBy("file_path", "part").select("document").write.text(f"{path}/files")
+    """`files/` holds the texts of `json_report`, one per line and in order, `summary/` the run summary."""
+    json_report(files, findings).orderBy("file_path", "rank").select("document").write.text(f"{path}/files")
     json_summary(files).write.text(f"{path}/summary")
 
 

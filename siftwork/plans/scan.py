@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.paths import detect_language
 from ..operators.callsites import SECRET_ROW, call_sites_with_hits
+from ..operators.membership import that_may_match
 from ..operators.merge import at_least, merge_findings
 from ..operators.replies import parse_replies, reply_findings
 from ..operators.rollups import dense, distinct_contents, finding_rollup, run_rollup
@@ -15,7 +16,7 @@ from ..operators.rules import RULE_TYPES, WATCHED_NAMES, call_message, call_ordi
 from ..operators.secrets import BUILTIN_PATTERNS, describe_codes, hit_codes, line_of, pattern_of, secret_findings, secret_message
 from ..operators.skew import first_wins, spread_join
 from ..operators.static_rows import static_rows
-from ..schema import FINDING_COLUMNS, STAGE_SECRET, finding_rows, stage_base
+from ..schema import FINDING_COLUMNS, STAGE_SECRET, SUB_BITS, finding_rows, stage_base
 from ..session import materialise
 from ..sources.cache import REPLY_PASS, STATIC_PASS, CacheTables, FindingCache, cache_lookup
 from ..sources.inputs import one_reply_each, with_identity
@@ -98,6 +99,26 @@ def fan_back(manifest: DataFrame, by_hash: DataFrame) -> DataFrame:
         "file_path", "file_hash", *FINDING_COLUMNS)
 
 
+def unknown_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Texts (file_hash, file_path, text) that are worth parsing: one per content of `wanted` (file_hash, file_path), and few others.
+
+    Copies and contents that are not wanted stay out before the parser; texts are not shuffled.
+    """
+    return that_may_match(texts, wanted, "file_hash", "file_path").select("file_hash", "text")
+
+
+def _piece_manifest(pieces: DataFrame, codes: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """The manifest of files read in pieces, and their hits (file_path, code) with lines counted from the file's first."""
+    failed = F.coalesce("error", F.lit("")) != ""
+    shifted = [F.transform(c, lambda x: x + F.shiftleft(F.col("first_line") - 1, SUB_BITS)).alias("codes") for c in codes]
+    rows = materialise(pieces.select(
+        "file_path", "last", F.when(failed, "").otherwise(F.col("file_hash")).alias("file_hash"),
+        F.when(failed, "unknown").otherwise(detect_language(F.col("file_path"))).alias("language"), "error", *shifted), "manifest")
+    manifest = rows.where("last").select("file_path", "file_hash", "language", "error")
+    hits = rows.select("file_path", F.explode("codes").alias("code")) if codes else None
+    return manifest, hits
+
+
 def scan(files: DataFrame, replies: DataFrame | None = None, cache: CacheTables | FindingCache | None = None, *,
          use_static: bool = True, min_severity: str = "LOW", gate: str = "python",
          patterns=BUILTIN_PATTERNS, report_failed_replies: bool = True) -> ScanResult:
@@ -107,8 +128,12 @@ def scan(files: DataFrame, replies: DataFrame | None = None, cache: CacheTables
     Its findings count under the language of its smallest path, and only if the
     cache does not know it.  Texts are never shuffled: calls and line hits leave
     the reading pass as narrow rows with the hash of the very text they were found
-    in, and are joined by it.  With the parse gate texts are read twice; a file that
-    changes in between belongs to no content of the run, so nothing false is stored.
+    in, and are joined by it.  With the parse gate texts are read twice, once to hash
+    and once to parse; a filter of bounded size keeps copies and contents that the cache
+    knows away from the parser, and findings carry the hash of the text parsed.
+
+    `files` may also come in pieces (`read_pieces`): a file of any size then counts with
+    all its lines.  A file of several pieces cannot be parsed and gives nothing behind the parse gate.
 
     The cache remembers which passes an entry stands for (`passes`); an entry that
     lacks a pass of this run is a miss.  Of several `replies` for one hash the first
@@ -120,9 +145,17 @@ def scan(files: DataFrame, replies: DataFrame | None = None, cache: CacheTables
         files = files.withColumn("error", F.lit(None).cast("string"))
     in_one_pass = use_static and gate == "none"
     codes = [hit_codes(F.col("text"), patterns).alias("codes")] if in_one_pass else []
-    hashed = materialise(
-        with_identity(files).select("file_path", "file_hash", "language", "error", *codes), "manifest")
-    manifest = hashed.drop("codes")
+    if "piece" in files.columns:
+        manifest, piece_hits = _piece_manifest(files, codes)
+        if in_one_pass:
+            hit = piece_hits.join(manifest.where("file_hash <> ''").select("file_path", "file_hash"), "file_path")
+        files = files.where("piece = 0 and last").drop("file_hash")  # what can be parsed as a whole
+    else:
+        hashed = materialise(
+            with_identity(files).select("file_path", "file_hash", "language", "error", *codes), "manifest")
+        manifest = hashed.drop("codes")
+        if in_one_pass:
+            hit = hashed.where("size(codes) > 0").select("file_hash", F.explode("codes").alias("code"))
 
     contents = distinct_contents(manifest.where("file_hash <> ''")).withColumn(
         "language", detect_language(F.col("file_path")))
@@ -138,14 +171,14 @@ def scan(files: DataFrame, replies: DataFrame | None = None, cache: CacheTables
 
     fresh = None
     if in_one_pass:
-        hit = hashed.where("size(codes) > 0").select("file_hash", F.explode("codes").alias("code")).distinct()
-        fresh = describe_codes(hit.join(misses.select("file_hash"), "file_hash", "left_semi"),
+        fresh = describe_codes(hit.select("file_hash", "code").distinct().join(misses.select("file_hash"), "file_hash", "left_semi"),
                                "file_hash", patterns=patterns)
     elif use_static:
-        wanted = misses.where("language = 'Python'").select("file_hash")
+        wanted = misses.where("language = 'Python'").select("file_hash", "file_path")
         python_files = with_identity(files.where(detect_language(F.col("file_path")) == "Python")).where("file_hash <> ''")
-        sites = static_sites(python_files.select("file_hash", "text"), "file_hash", patterns=patterns)
-        fresh = findings_of_sites(sites.join(wanted, "file_hash", "left_semi"), "file_hash", patterns=patterns)
+        texts = unknown_texts(python_files.select("file_hash", "file_path", "text"), wanted)
+        sites = static_sites(texts, "file_hash", patterns=patterns)
+        fresh = findings_of_sites(sites.join(wanted.select("file_hash"), "file_hash", "left_semi"), "file_hash", patterns=patterns)
     failed_replies = None
     if replies is not None:
         wanted_replies = one_reply_each(replies.join(misses.select("file_hash"), "file_hash", "left_semi"))

@@ -55,6 +55,12 @@ def size_shuffles(spark: SparkSession, input_bytes: int, per_partition: int = 25
     return wanted
 
 
+def shuffle_width(spark: SparkSession) -> int:
+    """Partitions of an explicit shuffle: the session's number, or the one `size_shuffles` set for the input."""
+    wide = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(wide or 0))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster.
 

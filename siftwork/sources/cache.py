@@ -1,18 +1,19 @@
 """Result cache: findings of contents scanned before, keyed by content hash.
 
-Two parquet tables, one row per content (`entries`) and one per finding
+Two plain parquet tables, one row per content (`entries`) and one per finding
 (`findings`), so that nothing is nested and an empty result is an entry without
-findings.  Every change appends a version and then one row to a small commit
-table; readers see committed versions only and no file is ever rewritten.
+findings.  Both are partitioned by the first two digits of the hash, so a batch reads the
+partitions of its hashes only.  Runs append; the last run that stored a hash wins when it is read.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import labels
 from ..operators.skew import first_wins
@@ -24,7 +25,8 @@ STATIC_PASS, REPLY_PASS = "static", "replies"
 FINDING_SCHEMA = (
     "file_hash string, ordinal bigint, severity string, severity_score int, type string, description string, "
     "impact string, fix string, line_number bigint, owasp string, confidence double, source string")
-_COMMIT_SCHEMA = "version bigint, base bigint, tag string"
+#: What a run adds to its rows, and the partition column.
+_STORED = "run string, stored_at bigint, prefix string"
 
 FINDINGS_TYPE = T.ArrayType(FINDING_JSON)
 
@@ -79,91 +81,66 @@ def findings_from_json(rows: DataFrame, *keys: str, column: str = "vulnerabiliti
     return finding_rows(typed, *keys)
 
 
+def _prefix() -> Column:
+    return F.concat(F.lit("h"), F.left("file_hash", F.lit(2)))
+
+
 class FindingCache:
+    """The tables `entries` and `findings` below a folder."""
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _commits(self) -> DataFrame | None:
+    def _read(self, table: str, schema: str) -> DataFrame:
         try:
-            return self.spark.read.schema(_COMMIT_SCHEMA).json(f"{self.root}/commits")
+            return self.spark.read.schema(f"{schema}, {_STORED}").parquet(f"{self.root}/{table}")
         except AnalysisException as problem:
             if problem.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return None
-
-    def _head(self) -> tuple[int, int]:
-        """Newest committed version, and the first version still counted."""
-        commits = self._commits()
-        if commits is None:
-            return 0, 1
-        row = commits.agg(F.max("version").alias("v"), F.max("base").alias("b")).first()
-        return row["v"] or 0, row["b"] or 1
-
-    def committed(self, tag: str) -> bool:
-        commits = self._commits()
-        return commits is not None and not commits.where(F.col("tag") == tag).isEmpty()
-
-    def _commit(self, version: int, base: int, tag: str | None) -> None:
-        row = self.spark.range(1).select(
-            F.lit(version).cast("bigint").alias("version"), F.lit(base).cast("bigint").alias("base"),
-            F.lit(tag).cast("string").alias("tag"))
-        row.coalesce(1).write.mode("append").json(f"{self.root}/commits")
-
-    def _read(self, table: str, schema: str) -> DataFrame:
-        """Committed versions of one table; `version` is a partition column, so it prunes.
-
-        A version folder is named by its own attempt, so a write that died before
-        its commit can never be mixed into a later one.
-        """
-        head, base = self._head()
-        if head < base:
-            return self.spark.createDataFrame([], f"{schema}, version bigint")
-        data = self.spark.read.schema(f"{schema}, version bigint").parquet(f"{self.root}/{table}")
-        live = self._commits().where(F.col("version") >= base).select("version")
-        return data.where(F.col("version") >= base).join(live, "version", "left_semi")
+            return self.spark.createDataFrame([], f"{schema}, {_STORED}")
 
     def read(self, only: DataFrame | None = None) -> CacheTables:
-        """Current entries and findings: per hash, those of its latest version.
+        """Current entries and findings: per hash, those of the run that stored it last.
 
-        With `only` (a table with `file_hash`) just these hashes are looked at,
-        so a small batch does not sort or shuffle the whole cache.
+        With `only` (a table with `file_hash`) just these hashes are looked at: the partitions that
+        hold none of them, at most 256 names to leave out, are not read.
         """
-        stored = self._read("entries", ENTRY_SCHEMA)
+        entries, findings = self._read("entries", ENTRY_SCHEMA), self._read("findings", FINDING_SCHEMA)
         if only is not None:
-            stored = stored.join(only.select("file_hash").distinct(), "file_hash", "left_semi")
-        entries = first_wins(stored, ["file_hash"], F.col("version").desc())
-        findings = self._read("findings", FINDING_SCHEMA).join(
-            entries.select("file_hash", "version"), ["file_hash", "version"], "left_semi")
-        return CacheTables(entries.drop("version"), findings.drop("version"))
-
-    def _write(self, version: int, entries: DataFrame, findings: DataFrame) -> None:
+            wanted = [r.p for r in only.select(_prefix().alias("p")).distinct().collect()]
+            entries = (entries.where(F.col("prefix").isin(wanted))
+                       .join(only.select("file_hash").distinct(), "file_hash", "left_semi"))
+            findings = findings.where(F.col("prefix").isin(wanted))
+        latest = first_wins(entries, ["file_hash"], F.col("stored_at").desc(), F.col("run").desc())
+        # A run that was repeated may have stored its findings twice.
+        found = (findings.join(latest.select("file_hash", "run"), ["file_hash", "run"], "left_semi")
+                 .dropDuplicates(["file_hash", "ordinal"]))
+        return CacheTables(latest.drop("run", "stored_at", "prefix"), found.drop("run", "stored_at", "prefix"))
+
+    def _append(self, table: str, rows: DataFrame, run: str) -> None:
+        stored = rows.select("*", F.lit(run).alias("run"), F.lit(time.time_ns()).alias("stored_at"), _prefix().alias("prefix"))
+        # One file a partition, more where one would be large.
+        stored.hint("rebalance", "prefix").write.mode("append").partitionBy("prefix").parquet(f"{self.root}/{table}")
+
+    def put(self, entries: DataFrame, findings: DataFrame, run: str | None = None) -> str:
+        """Append results of newly scanned contents; one row per hash in `entries`.  Returns the name of the run.
+
+        Findings come first: they count once an entry of their run is there, so a writer that is lost in
+        between leaves nothing visible, and a run repeated under its name changes nothing.
+        """
+        run = run or uuid.uuid4().hex
         if "passes" not in entries.columns:
             entries = entries.withColumn("passes", F.lit(None).cast("string"))
-        entries.select("file_hash", "file_path", "language", "scanned_at", "passes").write.parquet(
-            f"{self.root}/entries/version={version}")
-        finding_rows(findings, "file_hash").write.parquet(f"{self.root}/findings/version={version}")
-
-    def put(self, entries: DataFrame, findings: DataFrame, tag: str | None = None) -> int:
-        """Append results of newly scanned contents; one row per hash in `entries`."""
-        head, base = self._head()
-        version = max(time.time_ns(), head + 1)
-        self._write(version, entries, findings)
-        self._commit(version, base, tag)
-        return version
-
-    def compact(self) -> int:
-        """Write the current state as one version that replaces all earlier ones."""
-        now = self.read()
-        version = max(time.time_ns(), self._head()[0] + 1)
-        self._write(version, now.entries, now.findings)
-        self._commit(version, version, None)
-        return version
+        self._append("findings", finding_rows(findings, "file_hash"), run)
+        self._append("entries", entries.select("file_hash", "file_path", "language", "scanned_at", "passes"), run)
+        return run
 
     def clear(self) -> int:
-        """Forget everything; returns the number of contents forgotten.  Files stay."""
+        """Forget everything; returns the number of contents forgotten."""
         count = self.read().entries.count()
-        version = max(time.time_ns(), self._head()[0] + 1)
-        self._commit(version, version + 1, None)
+        for table, schema in (("entries", ENTRY_SCHEMA), ("findings", FINDING_SCHEMA)):
+            nothing = self.spark.createDataFrame([], f"{schema}, {_STORED}")
+            nothing.write.mode("overwrite").partitionBy("prefix").parquet(f"{self.root}/{table}")
         return count
 
     def stats(self) -> DataFrame:

@@ -10,6 +10,9 @@ change time.
 
 from __future__ import annotations
 
+import codecs
+import hashlib
+import io
 import json
 import os
 import stat as stat_module
@@ -35,7 +38,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: `since_ns` and `until_ns` bound the change time of files taken from a stream.
 LISTING_SCHEMA = "file_path string, relative_path string, explicit boolean, since_ns bigint, until_ns bigint"
 CONTENT_SCHEMA = "file_path string, relative_path string, content binary, error string"
+#: `first_line` numbers the first line of a piece; `last` rows carry the hash of the whole text, or the error.
+PIECE_SCHEMA = ("file_path string, relative_path string, piece bigint, first_line bigint, text string, last boolean, "
+                "file_hash string, error string")
 FLUSH_BYTES = 16 << 20
+#: A line that outgrows this is cut, and the next piece begins with the end of the one before.
+LINE_CHARS, LINE_OVERLAP = 1 << 28, 1 << 20
 
 
 class _Unit(InputPartition):
@@ -185,17 +193,25 @@ def _options(roots, suffixes, skip_dirs, units, settle_seconds=2.0):
     }
 
 
+def _problem(info, path, explicit, since, until):
+    """"" for a file of the listing, None for what is no part of it after all, else what is wrong."""
+    if not stat_module.S_ISREG(info.st_mode):
+        if explicit:
+            os.listdir(path)  # says why a directory could not be listed
+            return "not a regular file"
+        return None
+    return None if until is not None and not since < info.st_ctime_ns <= until else ""
+
+
 def _read_one(path, explicit, since, until, max_bytes):
     """(content, error) of a file, or None where it is not part of the listing after all."""
     try:
         info = os.stat(path)
-        if not stat_module.S_ISREG(info.st_mode):
-            if explicit:
-                os.listdir(path)  # says why a directory could not be listed
-                return None, "not a regular file"
-            return None
-        if until is not None and not since < info.st_ctime_ns <= until:
+        problem = _problem(info, path, explicit, since, until)
+        if problem is None:
             return None
+        if problem:
+            return None, problem
         if info.st_size > max_bytes:
             return None, f"file has {info.st_size} bytes, more than one row can hold"
         with open(path, "rb") as handle:
@@ -227,6 +243,78 @@ def _read_contents(max_bytes):
     return run
 
 
+def _text_pieces(handle, piece_bytes, line_chars=LINE_CHARS, overlap=LINE_OVERLAP):
+    """(piece, first line, text, last, hash) of a file read `piece_bytes` at a time.
+
+    Bytes are decoded with replacement and newlines normalised as they come, sequences and line
+    ends that a read cuts in two included; the hash is carried along.  Pieces are whole lines, so
+    a piece is longer than a read where a line is.
+    """
+    decoder = io.IncrementalNewlineDecoder(codecs.getincrementaldecoder("utf-8")("replace"), translate=True)
+    digest, held, line, piece = hashlib.sha256(), "", 1, 0
+    ahead = handle.read(piece_bytes)
+    while True:
+        data, ahead = ahead, handle.read(piece_bytes) if ahead else b""
+        text = decoder.decode(data, final=not ahead)
+        digest.update(text.encode("utf-8"))
+        held += text
+        if not ahead:
+            yield piece, line, held, True, digest.hexdigest()
+            return
+        cut = held.rfind("\n") + 1
+        if cut:
+            done, held = held[:cut], held[cut:]
+            step = len(done.splitlines())
+        elif len(held) >= line_chars:
+            done, held = held, held[-overlap:]
+            step = len(done.splitlines()) - len(held.splitlines())
+        else:
+            continue
+        yield piece, line, done, False, None
+        piece, line = piece + 1, line + step
+
+
+def _read_pieces(piece_bytes):
+    columns = ["file_path", "relative_path", "piece", "first_line", "text", "last", "file_hash", "error"]
+
+    def pieces(path, explicit, since, until):
+        try:
+            problem = _problem(os.stat(path), path, explicit, since, until)
+            if problem:
+                yield 0, 1, None, True, None, problem
+            elif problem is not None:
+                with open(path, "rb") as handle:
+                    for found in _text_pieces(handle, piece_bytes):
+                        yield *found, None
+        except OSError as failure:
+            yield 0, 1, None, True, None, str(failure)
+
+    def run(batches):
+        out, held = [], 0
+        for batch in batches:
+            windows = zip(batch["since_ns"].astype("Int64"), batch["until_ns"].astype("Int64"))
+            for path, relative, explicit, (since, until) in zip(
+                    batch["file_path"], batch["relative_path"], batch["explicit"], windows):
+                bounded = until is not pd.NA
+                for found in pieces(path, explicit, since if bounded else None, until if bounded else None):
+                    out.append((path, relative, *found))
+                    held += len(found[2] or "")
+                    if held >= FLUSH_BYTES:
+                        yield pd.DataFrame(out, columns=columns)
+                        out, held = [], 0
+        if out:
+            yield pd.DataFrame(out, columns=columns)
+    return run
+
+
+def load_pieces(listing: DataFrame, piece_bytes: int = 64 << 20) -> DataFrame:
+    """Decoded texts of listed files in pieces of whole lines; files have no largest size.
+
+    A file that cannot be read to its end has an error in its `last` row; pieces before it do not count.
+    """
+    return listing.mapInPandas(_read_pieces(piece_bytes), PIECE_SCHEMA)
+
+
 def load_contents(listing: DataFrame, max_file_bytes: int = 1 << 30) -> DataFrame:
     """Read listed files; one that cannot be read becomes an error row."""
     return listing.mapInPandas(_read_contents(max_file_bytes), CONTENT_SCHEMA)
@@ -288,9 +376,15 @@ def read_sources(spark: SparkSession, roots=(), paths=()) -> DataFrame:
     return _read(_once(list_tree(spark, roots).unionByName(list_files(spark, paths))))
 
 
-def read_listing(listing: DataFrame) -> DataFrame:
-    """Contents of a micro-batch of listed files, each path once."""
-    return _read(_once(listing))
+def read_pieces(spark: SparkSession, roots=(), paths=(), piece_bytes: int = 64 << 20) -> DataFrame:
+    """Directories and explicit files as text pieces (PIECE_SCHEMA), each path once, whatever the size of a file."""
+    listing = _once(list_tree(spark, roots).unionByName(list_files(spark, paths)))
+    return load_pieces(spread_listing(materialise(listing, "listing")), piece_bytes)
+
+
+def read_listing(listing: DataFrame, piece_bytes: int = 64 << 20) -> DataFrame:
+    """Pieces of a micro-batch of listed files, each path once."""
+    return load_pieces(spread_listing(materialise(_once(listing), "listing")), piece_bytes)
 
 
 def stream_listing(spark: SparkSession, roots, suffixes=tuple(fixed.SUFFIX_LANGUAGES),

@@ -10,7 +10,6 @@ from ..plans.scan import scan
 from ..schema import FINDING_COLUMNS
 from ..session import materialise
 from ..sources.cache import FindingCache
-from ..sources.inputs import decode_text
 from ..sources.tree import read_listing, stream_listing
 
 
@@ -22,11 +21,11 @@ def start_scan_stream(spark: SparkSession, roots, out: str, checkpoint: str, *,
 
     Results go to `out/files/batch=N` and `out/findings/batch=N`; a retried batch
     overwrites its own folders.  With a cache, known contents are not analysed
-    again, and the batch's results are committed under a tag made of the query
-    and batch id, so a retry does not add them twice.
+    again, and the batch's results are stored under a run named after the query
+    and batch id, so a retry changes nothing.
     """
     def run(listing: DataFrame, batch_id: int) -> None:
-        files = materialise(decode_text(read_listing(listing)), "batch")
+        files = materialise(read_listing(listing), "batch")
         if files.isEmpty():
             return
         result = scan(files, replies, cache, use_static=use_static,
@@ -36,9 +35,8 @@ def start_scan_stream(spark: SparkSession, roots, out: str, checkpoint: str, *,
         result.files.write.mode("overwrite").parquet(f"{out}/files/batch={batch_id}")
         (result.findings.select("file_path", "file_hash", *FINDING_COLUMNS)
          .write.mode("overwrite").parquet(f"{out}/findings/batch={batch_id}"))
-        tag = f"{checkpoint}#{batch_id}"
-        if cache and not cache.committed(tag):
-            cache.put(result.fresh_entries, result.fresh_findings, tag)
+        if cache:
+            cache.put(result.fresh_entries, result.fresh_findings, f"{checkpoint}#{batch_id}")
 
     return (stream_listing(spark, roots, settle_seconds=settle_seconds).writeStream
             .option("checkpointLocation", checkpoint).foreachBatch(run).trigger(**trigger).start())

@@ -19,7 +19,7 @@ def test_every_oracle_belongs_to_a_query():
 
 @pytest.mark.parametrize("name", [
     "flagship_corpus_rollup", "r14_static_findings", "r15_scan_findings", "u2_merge", "w2_rank_in_file", "snk1_json_report",
-    "src8_reply_findings", "t4_file_progress", "j6_fan_back", "snk3_cache_upsert", "x1_call_sites"])
+    "src8_reply_findings", "t4_file_progress", "j6_fan_back", "snk3_cache_upsert", "x1_call_sites", "src1_source_pieces", "w2_sorted", "a10_findings_list", "snk3_cache_latest", "t2_scan_stream_cache"])
 def test_query_matches_its_oracle(spark, sf_dir, name):
     con = duckdb.connect()
     for table in TABLES:

@@ -56,6 +56,32 @@ def test_rank_in_file_equals_a_window(hot):
     assert both.where("rank_in_file <> want").count() == 0
 
 
+def test_ranks_of_a_hot_file_with_its_own_kind_of_ordinals(spark):
+    """Ordinals as the engine makes them, one file with most findings, null ordinals and a null path; no task holds the file."""
+    n = 200_000
+    rows = spark.range(n).select(
+        F.when(F.col("id") % 50 == 0, F.concat(F.lit("f"), F.col("id") % 7)).when(F.col("id") % 50 == 1, None).otherwise("hot.py").alias("file_path"),
+        F.when(F.col("id") % 1000 != 7, F.shiftleft(F.col("id") * 7919 % n, 20)).alias("ordinal"),
+        (F.col("id") % 4).cast("int").alias("severity_score"), F.lit(0.5).alias("confidence"))
+    ranked = ordering.rank_in_file(rows, "file_path")
+    assert ranked.columns == [*rows.columns, "rank_in_file"]
+    plain = Window.partitionBy("file_path").orderBy(*worst_first())
+    same = ranked.withColumn("want", F.rank().over(plain)).withColumn("ties", F.count("*").over(
+        Window.partitionBy("file_path", "severity_score", "confidence", "ordinal")))
+    assert same.where("rank_in_file between want and want + ties - 1").count() == n
+    assert ranked.groupBy("file_path").agg((F.countDistinct("rank_in_file") == F.count("*")).alias("all"), F.max("rank_in_file").alias("m"),
+                                           F.count("*").alias("n")).where("not all or m <> n").count() == 0
+    # The plan has no window over the file alone but the one over its ranges.
+    windows = [x for x in ranked._jdf.queryExecution().executedPlan().toString().splitlines() if "Window [" in x]
+    assert sum("[file_path" in x.split("], [")[1] and "_range" not in x.split("], [")[1] for x in windows) <= 1
+
+
+def test_positions_follow_the_order(spark, hot):
+    placed = ordering.with_position(ordering.sort_findings(hot, "file_path")).select("file_path", "ordinal", "position")
+    want = hot.withColumn("want", F.row_number().over(Window.orderBy("file_path", *worst_first())))
+    assert placed.join(want, ["file_path", "ordinal"]).where("position = want").count() == 60_000
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_spread_join_equals_a_plain_join(hot, how):
     left = hot.select("file_path", "ordinal")

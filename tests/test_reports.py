@@ -30,9 +30,21 @@ def whole(path):
     return "".join(p.read_text(encoding="utf-8") for p in sorted(Path(path).glob("part-*")))
 
 
-def test_json_documents_per_file(case):
-    files, found = case
-    docs = {r["file_path"]: json.loads(r["document"]) for r in reports.json_report(files, found).collect()}
+def nested(files, found):
+    """The texts of the line report put together per file."""
+    docs = {}
+    for r in reports.json_report(files, found).orderBy("file_path", "rank").collect():
+        text = json.loads(r["document"])
+        if r["rank"] == 0:
+            docs[r["file_path"]] = {**text, "vulnerabilities": []}
+        else:
+            assert text["file_path"] == r["file_path"] and text["rank"] == r["rank"] == len(docs[r["file_path"]]["vulnerabilities"]) + 1
+            docs[r["file_path"]]["vulnerabilities"].append(text["vulnerability"])
+    return docs
+
+
+def test_json_texts_per_file_and_finding(case):
+    docs = nested(*case)
     assert sorted(docs) == ["a.py", "b.py", "c.py", "d.go"]
     b = docs["b.py"]
     assert [(v["severity"], v["confidence"]) for v in b["vulnerabilities"]] == [("CRITICAL", 0.95), ("CRITICAL", 0.8), ("LOW", 0.9)]
@@ -43,22 +55,13 @@ def test_json_documents_per_file(case):
     assert docs["c.py"]["file_hash"] == "…" and docs["c.py"]["error"] == "gone"
 
 
-def test_large_files_continue_in_parts(case):
-    files, found = case
-    parts = reports.json_report(files, found, per_part=2).where("file_path = 'b.py'").orderBy("part").collect()
-    assert [r["part"] for r in parts] == [0, 1]
-    lists = [[v["confidence"] for v in json.loads(r["document"])["vulnerabilities"]] for r in parts]
-    assert lists == [[0.95, 0.8], [0.9]]
-
-
 def test_single_json_document(case, tmp_path):
     files, found = case
     reports.write_json_document(files, found, str(tmp_path / "doc"), "2024-01-01T00:00:00Z")
     doc = json.loads(whole(tmp_path / "doc"))
     assert doc["generated_at"] == "2024-01-01T00:00:00Z" and doc["summary"]["total_vulnerabilities"] == 5
     assert doc["summary"]["severity_counts"]["CRITICAL"] == 2 and doc["summary"]["cache_hits"] == 1
-    nested = {r["file_path"]: json.loads(r["document"]) for r in reports.json_report(files, found).collect()}
-    assert {f["file_path"]: f for f in doc["files"]} == nested
+    assert {f["file_path"]: f for f in doc["files"]} == nested(files, found)
     assert [f["file_path"] for f in doc["files"]] == ["a.py", "b.py", "c.py", "d.go"]
 
 
@@ -96,7 +99,8 @@ def test_sarif_document(case, tmp_path):
 def test_written_report_and_findings_table(spark, case, tmp_path):
     files, found = case
     reports.write_json_report(files, found, str(tmp_path / "r"))
-    assert spark.read.text(str(tmp_path / "r" / "files")).count() == 4
+    lines = [json.loads(x) for x in whole(tmp_path / "r" / "files").splitlines()]
+    assert len(lines) == 4 + 5 and [(x["file_path"], x.get("rank", 0)) for x in lines] == sorted((x["file_path"], x.get("rank", 0)) for x in lines)
     reports.write_findings(found.withColumn("language", F.lit("Go")), str(tmp_path / "f"))
     reports.write_findings(found.withColumn("language", F.lit("C")), str(tmp_path / "f"))
     table = spark.read.parquet(str(tmp_path / "f"))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import findings, values
+from siftwork.schema import finding_rows
 from siftwork.session import shared_folder, size_shuffles
 from siftwork.sources import inputs, tree
 from siftwork.sources.cache import FindingCache, findings_from_json, findings_to_json, upsert_cache
@@ -133,17 +134,31 @@ def test_cache_folder(spark, tmp_path):
     assert values(now.findings, "file_hash", "type") == [("h1", "V")]
     one = store.read(only=spark.createDataFrame([("h2",)], "file_hash string"))
     assert values(one.entries, "file_hash") == [("h2",)] and one.findings.count() == 0
-    # A version whose writer died before the commit stays invisible.
-    store._write(time.time_ns(), entries(spark, ("h9", "x", "Go", 1)), findings(spark, [("h9", 1, "LOW", "T", 1, 0.5, "llm")], "file_hash"))
-    assert store.stats().first()["cached_files"] == 2
-    store.compact()
-    assert values(store.read().entries, "file_hash", "file_path") == [("h1", "a2"), ("h2", "b")]
-    assert values(store.read().findings, "type") == [("V",)]
-    assert store.clear() == 2 and store.read().entries.count() == 0
+    # Findings whose writer was lost before its entries stay invisible, and a repeated run changes nothing.
+    store._append("findings", finding_rows(findings(spark, [("h1", 1, "LOW", "T", 1, 0.5, "llm")], "file_hash"), "file_hash"), "lost")
+    again = entries(spark, ("h3", "c", "Go", 9)), findings(spark, [("h3", 1, "LOW", "W", 1, 0.5, "llm")], "file_hash")
+    assert [store.put(*again, run="stream#7") for _ in range(2)] == ["stream#7"] * 2
+    assert values(store.read().entries, "file_hash", "file_path") == [("h1", "a2"), ("h2", "b"), ("h3", "c")]
+    assert values(store.read().findings, "type") == [("V",), ("W",)]
+    assert store.clear() == 3 and store.read().entries.count() == 0
     store.put(entries(spark, ("h5", "n", "Go", 3)), findings(spark, [("h5", 1, "LOW", "T", 1, 0.5, "llm")], "file_hash"))
     assert values(store.read().entries, "file_hash") == [("h5",)]
 
 
+def test_a_batch_reads_its_partitions_of_the_cache(spark, tmp_path):
+    store = FindingCache(spark, str(tmp_path / "c"))
+    rows = spark.range(400).select(F.sha2(F.col("id").cast("string"), 256).alias("file_hash"))
+    store.put(rows.select("file_hash", F.lit("p").alias("file_path"), F.lit("Go").alias("language"), F.current_timestamp().alias("scanned_at")),
+              findings(spark, [("ab", 1, "LOW", "T", 1, 0.5, "llm")], "file_hash"))
+    assert len(list((tmp_path / "c" / "entries").glob("prefix=*"))) > 150
+    few = rows.limit(2)
+    found = store.read(only=few).entries
+    assert found.count() == 2
+    plan = found._jdf.queryExecution().toString()
+    names = sorted({r.file_hash[:2] for r in few.collect()})
+    assert "PartitionFilters: [prefix" in plan and all(f"h{n}" in plan for n in names)
+
+
 def test_finding_json_both_ways(spark):
     found = findings(spark, [("h", 7, "LOW", "Path Traversal", None, 0.25, "static")], "file_hash")
     text = findings_to_json(found, "file_hash").first()["finding"]
