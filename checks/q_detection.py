@@ -1,9 +1,9 @@
 """Replies, secrets, risky calls and the whole scan."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from siftwork import fixed
-from siftwork.operators import callsites, replies as reply_ops, rollups, rules, secrets
+from siftwork.operators import callsites, pattern_index, replies as reply_ops, rollups, rules, secrets
 from siftwork.functions import labels
 from siftwork.functions.paths import in_skip_dir
 from siftwork.operators.secrets import BUILTIN_PATTERNS, SecretPattern
@@ -133,6 +133,26 @@ def r13(spark, d):
     return secrets.secret_findings(corpus(spark, d), "file_path", patterns=PATTERNS)
 
 
+@query("r13_many_patterns", """
+WITH wanted AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark),
+words AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS pattern_idx FROM wanted WHERE length(word) >= 4),
+lines AS (SELECT file_path, unnest(range(1, len(parts) + 1)) AS line_number, unnest(parts) AS line
+          FROM (SELECT file_path, string_split(content, chr(10)) AS parts FROM corpus) s)
+SELECT file_path, line_number, word AS type, CAST(pattern_idx AS INTEGER) AS pattern_idx
+FROM lines JOIN words ON contains(lower(line), word) WHERE regexp_matches(line, '(?i)' || word || '[a-z]+ [^,.]')""")
+def r13_many(spark, d):
+    """Every word of the benchmark, with an ending, as a user pattern of its own."""
+    words = (spark.read.parquet(f"{d}/benchmark.parquet")
+             .select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+             .where("length(word) >= 4").distinct())
+    table = words.select(F.row_number().over(Window.orderBy("word")).alias("pattern_idx"),
+                         F.concat(F.lit("(?i)"), "word", F.lit("[a-z]+ [^,.]")).alias("pattern"), F.col("word").alias("type"), F.lit("LOW").alias("severity"))
+    patterns = secrets.patterns_from_table(table)
+    hits = pattern_index.indexed_hits(corpus(spark, d), "file_path", patterns=patterns)
+    kinds = spark.createDataFrame([(i, p.type) for i, p in enumerate(patterns)], "pattern_idx int, type string")
+    return hits.join(kinds, "pattern_idx").select("file_path", "line_number", "type", "pattern_idx")
+
+
 # One line per built-in pattern is planted in a share of the documents, next to
 # a near miss of each, so that every rule has hits and misses on real texts.
 PLANTED = """planted AS (

@@ -198,7 +198,7 @@ new AS (SELECT sha256(text) AS file_hash, 'new' || CAST(max(doc_id) AS VARCHAR)
 SELECT * FROM new UNION ALL SELECT * FROM old WHERE file_hash NOT IN (SELECT file_hash FROM new)""")
 def snk3(spark, d):
     """A store that holds all pages and the labelled documents, then gets all documents."""
-    store = FindingCache(spark, fresh_path(spark, "cache"))
+    store = FindingCache(spark, fresh_path(spark, "cache"), digits=1)
     nothing = spark.createDataFrame([], cache_ops.FINDING_SCHEMA)
 
     def entries(label, hashed, number):
@@ -215,7 +215,7 @@ def snk3(spark, d):
 
 def _stored(spark, d):
     """A cache folder holding the findings view by file, stored by two runs."""
-    store = FindingCache(spark, fresh_path(spark, "cache"))
+    store = FindingCache(spark, fresh_path(spark, "cache"), digits=1)
     keyed = typed(spark, d).withColumn("file_hash", F.sha2("file_path", 256))
     for part in (keyed, keyed.where("severity = 'CRITICAL'")):
         entries = part.groupBy("file_hash").agg(F.min("file_path").alias("file_path")).select(

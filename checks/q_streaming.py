@@ -129,7 +129,7 @@ SELECT file_path, {r.language('file_path')} AS language, content IN (SELECT cont
 FROM corpus WHERE {r.scannable('file_path')} AND NOT contains(file_path, '/node_modules/')""")
 def t2(spark, d):
     folder, root = fresh_path(spark, "scan"), export_tree(spark, corpus(spark, d))
-    store = FindingCache(spark, f"{folder}/cache")
+    store = FindingCache(spark, f"{folder}/cache", digits=1)
     known = view(spark, d, "scan_cache").select(
         F.sha2("content", 256).alias("file_hash"), F.lit("seen before").alias("file_path"),
         F.lit("Python").alias("language"), F.current_timestamp().alias("scanned_at"))

@@ -2,7 +2,7 @@
 
 Two plain parquet tables, one row per content (`entries`) and one per finding
 (`findings`), so that nothing is nested and an empty result is an entry without
-findings.  Both are partitioned by the first two digits of the hash, so a batch reads the
+findings.  Both are partitioned by the first digits of the hash, so a batch reads the
 partitions of its hashes only.  Runs append; the last run that stored a hash wins when it is read.
 """
 
@@ -81,15 +81,14 @@ def findings_from_json(rows: DataFrame, *keys: str, column: str = "vulnerabiliti
     return finding_rows(typed, *keys)
 
 
-def _prefix() -> Column:
-    return F.concat(F.lit("h"), F.left("file_hash", F.lit(2)))
-
-
 class FindingCache:
-    """The tables `entries` and `findings` below a folder."""
+    """The tables `entries` and `findings` below a folder, partitioned by the first `digits` digits of the hash."""
+
+    def __init__(self, spark: SparkSession, root: str, digits: int = 2):
+        self.spark, self.root, self.digits = spark, root.rstrip("/"), digits
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def _prefix(self) -> Column:
+        return F.concat(F.lit("h"), F.left("file_hash", F.lit(self.digits)))
 
     def _read(self, table: str, schema: str) -> DataFrame:
         try:
@@ -103,11 +102,11 @@ class FindingCache:
         """Current entries and findings: per hash, those of the run that stored it last.
 
         With `only` (a table with `file_hash`) just these hashes are looked at: the partitions that
-        hold none of them, at most 256 names to leave out, are not read.
+        hold none of them, by at most 16 ** digits names, are not read.
         """
         entries, findings = self._read("entries", ENTRY_SCHEMA), self._read("findings", FINDING_SCHEMA)
         if only is not None:
-            wanted = [r.p for r in only.select(_prefix().alias("p")).distinct().collect()]
+            wanted = [r.p for r in only.select(self._prefix().alias("p")).distinct().collect()]
             entries = (entries.where(F.col("prefix").isin(wanted))
                        .join(only.select("file_hash").distinct(), "file_hash", "left_semi"))
             findings = findings.where(F.col("prefix").isin(wanted))
@@ -118,7 +117,7 @@ class FindingCache:
         return CacheTables(latest.drop("run", "stored_at", "prefix"), found.drop("run", "stored_at", "prefix"))
 
     def _append(self, table: str, rows: DataFrame, run: str) -> None:
-        stored = rows.select("*", F.lit(run).alias("run"), F.lit(time.time_ns()).alias("stored_at"), _prefix().alias("prefix"))
+        stored = rows.select("*", F.lit(run).alias("run"), F.lit(time.time_ns()).alias("stored_at"), self._prefix().alias("prefix"))
         # One file a partition, more where one would be large.
         stored.hint("rebalance", "prefix").write.mode("append").partitionBy("prefix").parquet(f"{self.root}/{table}")
 
