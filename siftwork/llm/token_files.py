@@ -39,9 +39,12 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
     frames smaller: what is chosen does not change what is read back.  It is empty for an empty table only.
     """
     text = F.coalesce(column(text_col), F.lit(""))
-    rows = docs.select(text.alias("t"), F.xxhash64(column(id_col), F.char_length(text)).alias("h"))
+    rows = docs.select(text.alias("t"), F.xxhash64(column(id_col), F.octet_length(text)).alias("h"))
+    # Hashes alone decide first, so that tasks send 8 bytes a candidate and slices of the chosen only.
+    least = [r.h for r in rows.select("h").orderBy("h").limit(SAMPLE_DOCUMENTS).collect()]
     room = F.greatest(F.char_length("t") - SAMPLE_CHARS, F.lit(0)) + 1
-    slices = rows.select("h", F.substring("t", (F.pmod(F.shiftright("h", 20), room) + 1).cast("int"), F.lit(SAMPLE_CHARS)).alias("t"))
+    slices = rows.where(F.col("h") <= max(least, default=0)).select(
+        "h", F.substring("t", (F.pmod(F.shiftright("h", 20), room) + 1).cast("int"), F.lit(SAMPLE_CHARS)).alias("t"))
     chosen = slices.orderBy("h", "t").limit(SAMPLE_DOCUMENTS).collect()
     end = np.array([end_id], "<u4").tobytes()
     samples = [ids + end for ids in segmented(tokenizer, False).encode([r.t for r in chosen])]

@@ -23,7 +23,7 @@ from .codebooks import integers, usable
 from .common import column, partitions
 
 SCALE = 1024
-SHARD_ROWS, SHARDS_PER_GROUP, LEAF_ROWS = 4096, 8, 64
+SHARD_ROWS, SHARDS_PER_GROUP, LEAF_ROWS = 4096, 4, 64
 #: Beyond this, squares of doubles could overflow: shards and queries with such components are scored one by one.
 ROOM = 1e140
 INT64 = np.iinfo(np.int64)
@@ -213,7 +213,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     size count exactly; scores stop at the ends of long.  Other input columns are not read;
     an empty table gives an empty table.
 
-    Rows are dealt to groups of some 32,768 whatever the total.  A task holds one group and streams the
+    Rows are dealt to groups of some 16,384 whatever the total.  A task holds one group and streams the
     queries, so a row moves once and a query once per group; each gives at most k candidates per
     query and group.  Copies are one row with a count.
     """
