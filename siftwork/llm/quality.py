@@ -1,15 +1,16 @@
 """Quality rules whose cutoffs are certified on labelled documents.
 
-Every rule looks at one measure of a text (symbols per word, share of repeated
-words, ...) and rejects values at or over a cutoff.  Cutoffs are chosen per
-stratum from a fixed grid, from lenient to strict: for each one an exact binomial
-test on labelled good documents asks whether its false rejections are
-limited to the rule's share of the allowed rate.  Testing stops at the first
-cutoff that fails (fixed-sequence testing, no correction needed along the grid),
-and the level is divided by the number of rules and strata (Bonferroni).
-So with probability of at least 1 - delta no stratum loses more than `alpha` of
-its good documents to all rules together.  Strata with too few labels to prove
-anything get no cutoff and only the base rule.
+Every rule looks at one ratio of a text in percent (symbols per word, share of repeated
+words, ...).  A document's level is the largest of its ratios, and a stratum's cutoff
+rejects documents whose level reaches it.  Cutoffs are tried on a fixed grid, from lenient
+to strict: for each one an exact binomial test on labelled good documents asks
+whether false rejections are limited to the allowed rate.  Testing stops at the first
+cutoff that fails (fixed-sequence testing, no correction needed along the grid).  The
+chance of error is divided among the strata by their number of labelled good documents
+(weighted Bonferroni); strata in which not even a cutoff without any loss could be
+proved are not tested and take no part of it.  The grid and the rules are set before any label is
+seen, so with probability of at least 1 - delta no stratum loses more than `alpha` of
+its good documents.  A stratum without a certified cutoff has only the base rule.
 
 Everything is DataFrame expressions.
 """
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from siftwork.operators.membership import that_may_match
 from siftwork.session import materialise
 
 from .common import BLANKS, column, keyed
@@ -27,7 +29,7 @@ ALPHA, DELTA = 0.02, 0.05
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks"]
 SYMBOLS, MARKS, CAPITALS = "#*$%&|<>", "!?", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: Rule name: (numerator, denominator).  A rule's grid of cutoffs is k / GRID for
+#: Rule name: (numerator, denominator).  The grid of cutoffs is k / GRID for
 #: k = 1 .. GRID; larger ratios count as GRID.
 RULES = {
     "symbols_per_word": ("n_symbols", "n_words"),
@@ -91,10 +93,11 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def _level(rule: str) -> Column:
-    """The number of grid cutoffs that a row reaches under a rule, in whole numbers."""
-    over, under = RULES[rule]
-    return F.when(F.col(under) > 0, F.least(F.lit(GRID), F.expr(f"{GRID} * {over} div {under}"))).otherwise(0).cast("int")
+def _level() -> Column:
+    """The number of grid cutoffs that a row reaches under any rule, in whole numbers."""
+    return F.greatest(*[
+        F.when(F.col(under) > 0, F.least(F.lit(GRID), F.expr(f"{GRID} * {over} div {under}"))).otherwise(0).cast("int")
+        for over, under in RULES.values()])
 
 
 def _stratum(name: Column) -> Column:
@@ -114,40 +117,41 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k > n * p, F.lit(1.0)).otherwise(F.aggregate(steps, start, step)["s"])
 
 
+def _known(labels: DataFrame) -> DataFrame:
+    """(_id, _good) of the usable labels; a document labelled both ways counts as good."""
+    return (labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").alias("_id"))
+            .agg(F.max("quality").alias("_good")))
+
+
 def fit_cutoffs(features: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(_stratum, _cutoffs map rule -> k) from features (_id, _stratum, MEASURES) and labels (doc_id, quality).
+    """(_stratum, _cutoff) from features (_id, _stratum, MEASURES) and labels (doc_id, quality).
 
     Labels: quality 1 is good, 0 bad, anything else is ignored; a document
     labelled both ways counts as good; repeated equal rows count once.  Only
     documents that the base rule keeps are counted.  Counting is by (stratum,
-    rule, level) with partial aggregation, so a stratum with a third of all
+    level) with partial aggregation, so a stratum with a third of all
     rows is some hundred rows after the map side.
     """
-    known = (labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").alias("_id"))
-             .agg(F.max("quality").alias("_good")))
-    held = features.where(~base_failed()).join(known, "_id").distinct()
-    entries = F.array(*[F.struct(F.lit(r).alias("rule"), _level(r).alias("level")) for r in RULES])
-    counts = (held.select("_stratum", "_good", F.explode(entries).alias("e"))
-              .groupBy("_stratum", "e.rule", "e.level")
+    held = features.where(~base_failed()).join(_known(labels), "_id").distinct()
+    counts = (held.groupBy("_stratum", _level().alias("level"))
               .agg(F.sum("_good").cast("long").alias("good"), F.sum(1 - F.col("_good")).cast("long").alias("bad")))
-    # Per stratum and rule at most GRID + 1 levels: small arrays.
-    tables = materialise(counts.groupBy("_stratum", "rule").agg(
-        F.sum("good").alias("n"), F.collect_list(F.struct("level", "good", "bad")).alias("levels")), "quality-levels")
-    tests = len(RULES) * max(tables.select("_stratum").distinct().count(), 1)
+    # Per stratum at most GRID + 1 levels: small arrays.
+    tables = materialise(counts.groupBy("_stratum").agg(
+        F.sum("good").alias("n"), F.collect_list(F.struct("level", "good", "bad")).alias("levels"))
+        .where(F.pow(F.lit(1 - alpha), F.col("n")) <= F.lit(delta)), "quality-levels")
+    tested = tables.agg(F.sum("n").alias("n")).first()["n"] or 1
     at = lambda field: F.aggregate(
         F.filter("levels", lambda x: x["level"] >= F.col("cut")), F.lit(0).cast("long"), lambda total, x: total + x[field])
     cuts = (tables.select("*", F.explode(F.sequence(F.lit(1), F.lit(GRID))).alias("cut"))
-            .select("_stratum", "rule", "n", "cut", at("good").alias("lost"), at("bad").alias("caught"))
-            .withColumn("sure", (F.col("n") > 0) & (binomial_tail(F.col("n"), F.col("lost"), alpha / len(RULES))
-                                                    <= F.lit(delta / tests)))
+            .select("_stratum", "n", "cut", at("good").alias("lost"), at("bad").alias("caught"))
+            .withColumn("sure", binomial_tail(F.col("n"), F.col("lost"), alpha) <= F.lit(delta) * F.col("n") / F.lit(tested))
             .withColumn("gain", F.col("caught") - LOSS_WEIGHT * F.col("lost")))
     # From the lenient end: a cutoff stands if it and all more lenient ones pass.
-    best = (cuts.groupBy("_stratum", "rule").agg(
+    best = (cuts.groupBy("_stratum").agg(
         F.max(F.when(~F.col("sure"), F.col("cut"))).alias("fails"),
         F.collect_list(F.struct("gain", "cut")).alias("all"))
         .withColumn("best", F.array_max(F.filter("all", lambda x: (x["cut"] > F.coalesce("fails", F.lit(0))) & (x["gain"] > 0)))))
-    return (best.where("best is not null").groupBy("_stratum")
-            .agg(F.map_from_entries(F.collect_list(F.struct("rule", F.col("best.cut").alias("cut")))).alias("_cutoffs")))
+    return best.where("best is not null").select("_stratum", F.col("best.cut").alias("_cutoff"))
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
@@ -162,11 +166,9 @@ def judged(rows: DataFrame, cutoffs: DataFrame) -> DataFrame:
     `cutoffs` has one small row per stratum; Spark broadcasts it if its measured
     size allows and otherwise joins it by stratum with skew splitting.
     """
-    rejected = F.exists(
-        F.array(*[F.struct(F.lit(r).alias("rule"), _level(r).alias("level")) for r in RULES]),
-        lambda e: F.coalesce(e["level"] >= F.try_element_at("_cutoffs", e["rule"]), F.lit(False)))
+    rejected = F.coalesce(_level() >= F.col("_cutoff"), F.lit(False))
     return (rows.join(cutoffs, "_stratum", "left").withColumn("base_failed", base_failed())
-            .withColumn("kept", ~F.col("base_failed") & ~rejected).drop("_cutoffs"))
+            .withColumn("kept", ~F.col("base_failed") & ~rejected).drop("_cutoff"))
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -175,22 +177,29 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     A null text has no words and fails the base rule; a null stratum is a
     stratum of its own; repeated rows get equal verdicts; without labels only the
-    base rule decides.  The measures are narrow and written once, for the fit
-    and the verdicts.
+    base rule decides; an empty table gives none.  Texts of any length are measured whole, in
+    memory linear in one text.  An id column named like a measure or
+    verdict takes its place.  The measures are narrow and written once, for the fit and the verdicts.
     """
     rows = materialise(features(docs, id_col, text_col, stratum_col), "quality-measures")
     cutoffs = materialise(fit_cutoffs(rows, labels, alpha, delta), "quality-cutoffs")
-    return judged(rows, cutoffs).drop("_stratum").withColumnRenamed("_id", id_col)
+    results = [c for c in (*MEASURES, "base_failed", "kept") if c.lower() != id_col.lower()]
+    return judged(rows, cutoffs).select(F.col("_id").alias(id_col), *results)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The rows of `docs` that the rules keep, columns unchanged.
 
-    The measures are computed once for the fit and once more beside the texts, which
-    costs time in place of a shuffle or a copy of all texts.
+    For the fit only documents that may have a label are measured, chosen by a filter of
+    bounded size; no text is shuffled.  Nulls, repeated rows and missing labels count as in
+    `quality_verdicts`; columns of any name and texts of any length are carried.
     """
-    cutoffs = materialise(fit_cutoffs(features(docs, id_col, text_col, stratum_col), labels, alpha, delta), "quality-cutoffs")
+    known = materialise(labels.where("quality in (0, 1) and doc_id is not null").select(
+        F.col("doc_id").cast(docs.schema[id_col].dataType).alias("doc_id"), "quality"), "quality-labels")
+    asked = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("_text"), column(stratum_col).alias("_name"))
+    asked = that_may_match(asked, known.select("doc_id"), "doc_id")
+    cutoffs = materialise(fit_cutoffs(features(asked, "doc_id", "_text", "_name"), known, alpha, delta), "quality-cutoffs")
     rows = measured(keyed(docs, id_col, text_col).withColumn("_stratum", _stratum(column(stratum_col) if stratum_col == text_col
                                                                                   else F.col("_row")[stratum_col])))
     return judged(rows, cutoffs).where("kept").select(

@@ -104,27 +104,28 @@ m AS (
          (length(t) - length(translate(t, '{quality.MARKS}', '')))::BIGINT AS n_marks
   FROM words LEFT JOIN covered USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-levels AS ({" UNION ALL ".join(f"SELECT doc_id, lang, base_failed, '{r}' AS rule, {x} AS level FROM b" for r, x in QUALITY_RULES.items())}),
-held AS (SELECT lang, rule, level, quality FROM levels JOIN labels USING (doc_id) WHERE NOT base_failed),
+levels AS (SELECT doc_id, lang, base_failed, greatest({", ".join(QUALITY_RULES.values())}) AS level FROM b),
+held AS (SELECT lang, level, quality FROM levels JOIN labels USING (doc_id) WHERE NOT base_failed),
+sizes AS (
+  SELECT lang, n FROM (SELECT lang, count(*) FILTER (WHERE quality = 1) AS n FROM held GROUP BY lang)
+  WHERE pow(1 - {quality.ALPHA}::DOUBLE, n) <= {quality.DELTA}),
 cuts AS (
-  SELECT lang, rule, cut, count(*) FILTER (WHERE quality = 1) AS n,
-         count(*) FILTER (WHERE quality = 1 AND level >= cut) AS lost,
-         count(*) FILTER (WHERE quality = 0 AND level >= cut) AS caught,
-         (SELECT count(DISTINCT lang) FROM held) AS strata
-  FROM held, range(1, {quality.GRID + 1}) r(cut) GROUP BY lang, rule, cut),
+  SELECT lang, n, cut, count(*) FILTER (WHERE quality = 1 AND level >= cut) AS lost,
+         count(*) FILTER (WHERE quality = 0 AND level >= cut) AS caught
+  FROM held JOIN sizes USING (lang), range(1, {quality.GRID + 1}) r(cut) GROUP BY lang, n, cut),
 tested AS (
   SELECT *, caught - {quality.LOSS_WEIGHT} * lost AS gain,
-         n > 0 AND lost <= n * a AND list_sum(list_transform(range(0, lost + 1), lambda i: exp(
+         lost <= n * a AND list_sum(list_transform(range(0, lost + 1), lambda i: exp(
            lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(a) + (n - i) * ln(1 - a))))
-         <= {quality.DELTA} / ({len(quality.RULES)} * strata) AS sure
-  FROM (SELECT *, {quality.ALPHA}::DOUBLE / {len(quality.RULES)} AS a FROM cuts)),
-fails AS (SELECT lang, rule, coalesce(max(cut) FILTER (WHERE NOT sure), 0) AS f FROM tested GROUP BY lang, rule),
+         <= {quality.DELTA} * n / (SELECT sum(n) FROM sizes) AS sure
+  FROM (SELECT *, {quality.ALPHA}::DOUBLE AS a FROM cuts)),
+fails AS (SELECT lang, coalesce(max(cut) FILTER (WHERE NOT sure), 0) AS f FROM tested GROUP BY lang),
 chosen AS (
-  SELECT lang, rule, max(cut) AS cut FROM (
-    SELECT t.lang, t.rule, cut, gain, max(gain) OVER (PARTITION BY t.lang, t.rule) AS top
-    FROM tested t JOIN fails f ON t.lang = f.lang AND t.rule = f.rule WHERE cut > f AND gain > 0) WHERE gain = top
-  GROUP BY lang, rule),
-rejected AS (SELECT DISTINCT doc_id FROM levels JOIN chosen USING (lang, rule) WHERE level >= cut)
+  SELECT lang, max(cut) AS cut FROM (
+    SELECT lang, cut, gain, max(gain) OVER (PARTITION BY lang) AS top
+    FROM tested JOIN fails USING (lang) WHERE cut > f AND gain > 0) WHERE gain = top
+  GROUP BY lang),
+rejected AS (SELECT DISTINCT doc_id FROM levels JOIN chosen USING (lang) WHERE level >= cut)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept FROM b""")
 def op2(spark, sf_dir):

@@ -96,11 +96,35 @@ def test_cutoffs_need_proof_and_hold_per_stratum(spark):
     assert set(range(2200)) <= kept and not kept & set(range(2200, 2240))
     assert -3 not in kept and -4 not in kept
     assert {-1, -2} <= kept, "a stratum without labels gets no cutoff"
-    docs, labels = labelled(spark, 200, 40)
-    assert {r.doc_id for r in quality.keep_good(docs, labels).collect()} >= set(range(240)), "too few labels prove nothing"
+    # 0.98 ** 148 > 0.05 >= 0.98 ** 149: so many good labels without any loss prove a cutoff.
+    docs, labels = labelled(spark, 149, 40)
+    assert {r.doc_id for r in quality.keep_good(docs, labels).collect()} & set(range(189)) == set(range(149))
+    docs, labels = labelled(spark, 148, 40)
+    assert {r.doc_id for r in quality.keep_good(docs, labels).collect()} >= set(range(188)), "too few labels prove nothing"
     assert quality.keep_good(docs, labels).columns == docs.columns
     assert quality.keep_good(docs.limit(0), labels).count() == 0
-    assert quality.keep_good(docs, labels.limit(0)).count() == 243
+    assert quality.keep_good(docs, labels.limit(0)).count() == 191
+    renamed = quality.quality_verdicts(docs.withColumnRenamed("doc_id", "n_words"), labels, id_col="n_words")
+    assert renamed.columns.count("n_words") == 1 and {r.n_words for r in renamed.collect()} == {r.doc_id for r in docs.collect()}
+
+
+def test_false_rejections_on_documents_without_labels(spark):
+    """Good documents whose symbol ratio varies: half are labelled, the rate is measured on the others."""
+    rng, rows, labels = random.Random(3), [], []
+    for i in range(6000):
+        good = i % 5 > 0
+        share = min(1.0, rng.expovariate(12)) if good else rng.uniform(0.1, 1)
+        rows.append((i, " ".join(f"w{k}#" if rng.random() < share else f"w{k}" for k in range(60)), f"l{i % 3}"))
+        if i % 2:
+            labels.append((i, int(good)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    verdicts = quality.quality_verdicts(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    kept = {r.doc_id for r in verdicts.where("kept").collect()}
+    for lang in range(3):
+        fresh = [i for i in range(0, 6000, 2) if i % 3 == lang]
+        lost = [i not in kept for i in fresh if i % 5]
+        caught = [i not in kept for i in fresh if i % 5 == 0]
+        assert sum(lost) / len(lost) <= quality.ALPHA + 0.01 and sum(caught) / len(caught) > 0.3
 
 
 def plain_fingerprint(text):
