@@ -275,3 +275,16 @@ def test_dictionary_comes_from_long_texts_too(spark, tmp_path):
     manifest = token_files.write_tokens(docs, f"file://{tmp_path}/t", path, 2)
     assert {len(r.dictionary) for r in manifest.collect()} == {64}
     assert token_files.train_dictionary(docs.limit(0), path, 2) == b""
+
+
+def test_pipeline_stages_keep_columns_named_like_results(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text, 3, "a", 4, 5, 0), (2, None, None, None, None, None, None), (2, None, None, None, None, None, None),
+                                  (3, f"{text}\nx", 7, "b", 8, 9, 0)],
+                                 "doc_id long, text string, n_lines int, n_removed string, N_Words long, n_dropped long, n_chars long")
+    for stage in (corpus_pipeline.rare_lines, corpus_pipeline.single_passages):
+        out = stage(spark, docs, None)
+        assert out.columns == docs.columns
+        rows = Counter((r.doc_id, r.n_lines, r.n_removed, r["N_Words"], r.n_dropped) for r in out.collect())
+        assert rows == Counter([(1, 3, "a", 4, 5), (3, 7, "b", 8, 9), (2, None, None, None, None), (2, None, None, None, None)])
+        assert stage(spark, docs.limit(0), None).count() == 0
