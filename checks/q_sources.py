@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siftwork.functions.paths import detect_language
 from siftwork.functions.text import split_lines
 from siftwork.operators import rollups
+from siftwork.operators.ordering import with_position
 from siftwork.operators.skew import spread_join
 from siftwork.plans import changes, reports
 from siftwork.session import fresh_path
@@ -17,7 +18,7 @@ from siftwork.sources import cache as cache_ops, inputs, tree
 from siftwork.sources.cache import FindingCache
 
 from . import registry as r
-from .q_relational import FINDING_COLS, OUT, typed
+from .q_relational import FINDING_COLS, OUT, RESULTS, RULES, typed
 from .registry import query
 from .views import corpus, view
 
@@ -274,6 +275,33 @@ def snk2(spark, d):
         F.count_distinct("section").alias("sections"))
 
 
+@query("snk2_sarif_lines", f"""WITH {r.TYPED}, {RULES}, {RESULTS},
+rule_lines AS (SELECT *, row_number() OVER (ORDER BY rule_id) AS n FROM rules),
+result_lines AS (SELECT *, row_number() OVER (ORDER BY uri, severity_score DESC, confidence DESC, ordinal) AS n FROM results)
+SELECT 1 + n AS position, 1 AS section, n > 1 AS follows, rule_id, level, full_description AS text, help_text AS other,
+       "precision" || ' ' || security_severity || ' ' || tags AS properties, NULL AS uri, NULL::BIGINT AS start_line, NULL::DOUBLE AS confidence FROM rule_lines
+UNION ALL SELECT 2 + (SELECT count(*) FROM rules) + n, 3, n > 1, rule_id, level, message, owasp, source, uri, CAST(start_line AS BIGINT), confidence
+FROM result_lines""")
+def snk2_lines(spark, d):
+    """Every line of the document between its fixed ones, at its place, with the fields its JSON holds."""
+    good = reports.reportable(typed(spark, d), view(spark, d, "files"))
+    lines = with_position(reports.sarif_document_lines(good, "run").orderBy("section", "k", "rank")).where("section in (1, 3)")
+    is_rule, body = F.col("section") == 1, F.ltrim(F.col("line"), F.lit(","))
+
+    def at(of_rule, of_result):
+        return F.when(is_rule, F.get_json_object(body, of_rule) if of_rule else None).otherwise(F.get_json_object(body, of_result))
+    place = "$.locations[0].physicalLocation"
+    tags = F.array_join(F.from_json(F.get_json_object(body, "$.properties.tags"), "array<string>"), ",")
+    of_rule = F.concat_ws(" ", F.get_json_object(body, "$.properties.precision"), F.get_json_object(body, "$.properties.security-severity"), tags)
+    return lines.select(
+        "position", "section", F.startswith("line", F.lit(",")).alias("follows"), at("$.id", "$.ruleId").alias("rule_id"),
+        at("$.defaultConfiguration.level", "$.level").alias("level"), at("$.fullDescription.text", "$.message.text").alias("text"),
+        at("$.help.text", "$.properties.owasp").alias("other"),
+        F.when(is_rule, of_rule).otherwise(F.get_json_object(body, "$.properties.source")).alias("properties"),
+        at(None, f"{place}.artifactLocation.uri").alias("uri"), at(None, f"{place}.region.startLine").cast("bigint").alias("start_line"),
+        at(None, "$.properties.confidence").cast("double").alias("confidence"))
+
+
 @query("p7_listing_counts", f"""
 SELECT CAST(count(*) AS BIGINT) AS total_files,
        CAST(count(*) FILTER (WHERE {r.scannable('file_path')} AND status IS DISTINCT FROM 'removed') AS BIGINT) AS scannable_files

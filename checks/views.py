@@ -62,16 +62,36 @@ SELECT c.file_path,
        CASE c.file_id % 4 WHEN 0 THEN 'removed' WHEN 1 THEN 'added'
                           WHEN 2 THEN 'modified' ELSE NULL END AS status
 FROM corpus c WHERE c.file_id % 5 < 3""",
+    # Scans go on after they completed or failed, so results also come late.
     "scan_events": """
-SELECT user_id AS scan_id, event_id AS seq,
-       concat('f', CAST(event_id % 5 AS STRING), '.py') AS file,
+SELECT e.*, 'Python' AS language, CASE WHEN findings > 0 THEN 'HIGH' END AS severity,
+       CASE type WHEN 'log' THEN 'info' END AS level,
+       CASE WHEN type IN ('log', 'error') THEN concat('said "', props, '"') END AS text,
+       CASE type WHEN 'error' THEN concat('line 1', chr(10), 'line ', CAST(seq AS STRING)) END AS detail,
+       CASE type WHEN 'pr_info' THEN concat('Mend <', CAST(seq AS STRING), '>') END AS title,
+       CASE type WHEN 'pr_info' THEN concat('o/r', CAST(seq % 7 AS STRING)) END AS repo,
+       CASE type WHEN 'pr_info' THEN seq % 900 END AS pr_num,
+       CASE type WHEN 'pr_info' THEN concat('b', CAST(seq % 5 AS STRING)) END AS branch,
+       CASE type WHEN 'pr_info' THEN concat('u', CAST(scan_id AS STRING)) END AS author,
+       CASE type WHEN 'pr_info' THEN concat('https://example.org/a/', CAST(scan_id AS STRING)) END AS avatar,
+       CASE type WHEN 'pr_info' THEN concat('https://example.org/pull/', CAST(seq % 900 AS STRING)) END AS pr_url,
+       CASE type WHEN 'pr_info' THEN 9 + seq % 9 WHEN 'complete' THEN seq % 3 END AS total_files,
+       CASE type WHEN 'pr_info' THEN seq % 9 END AS scannable_files,
+       CASE type WHEN 'pr_info' THEN substring(@SHA256(CAST(seq AS STRING)), 1, 8) END AS sha,
+       CASE type WHEN 'complete' THEN seq % 50 END AS total_findings,
+       CASE type WHEN 'complete' THEN seq % 50 - seq % 11 % (1 + seq % 50) END AS n_high,
+       CASE type WHEN 'complete' THEN seq % 11 % (1 + seq % 50) END AS n_low
+FROM (SELECT user_id AS scan_id, event_id AS seq, props,
+       CASE WHEN event_type IN ('view', 'click', 'purchase', 'signup')
+            THEN concat('f', CAST(event_id % 5 AS STRING), '.py') END AS file,
        CASE event_type WHEN 'view' THEN 'file_start' WHEN 'click' THEN 'file_done'
-            WHEN 'purchase' THEN 'file_done' WHEN 'signup' THEN 'file_skip' ELSE 'log' END AS type,
+            WHEN 'purchase' THEN 'file_done' WHEN 'signup' THEN 'file_skip'
+            ELSE CASE event_id % 4 WHEN 0 THEN 'complete' WHEN 1 THEN 'error' WHEN 2 THEN 'pr_info' ELSE 'log' END END AS type,
        CASE WHEN event_type = 'view' THEN event_id % 5 END AS idx,
        CASE WHEN event_type = 'view' THEN 5 END AS total,
        CASE WHEN event_type IN ('click', 'purchase')
             THEN CAST(substring(props, 7, length(props) - 7) AS INT) % 4 END AS findings
-FROM events""",
+FROM events) e""",
     "pr_links": """
 SELECT page_id, CASE WHEN page_id % 4 = 0 THEN url
        ELSE concat(' https://github.com/o', CAST(page_id % 7 AS STRING), '/r', CAST(page_id % 3 AS STRING),

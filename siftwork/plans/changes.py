@@ -29,8 +29,8 @@ def scan_changes(listing: DataFrame, payloads: DataFrame, replies: DataFrame | N
     """Scan the changed files of `listing` (file_path, status) with their base64
     `payloads` (file_path, encoding, content).
 
-    No cache is used, a failed reply gives no finding, and files whose content is
-    missing or blank are skipped rather than reported.
+    No cache is used, a failed reply gives no finding but a row of `result.failed_replies`, and files
+    whose content is missing or blank are skipped rather than reported.
     """
     wanted = scannable_changes(listing).select("file_path").distinct()
     files = mark_blank(decode_payload(wanted.join(payloads, "file_path", "left")))

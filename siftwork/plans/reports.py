@@ -220,6 +220,10 @@ def write_sarif(files: DataFrame, findings: DataFrame, path: str, run_id: str, t
 
 
 def write_findings(findings: DataFrame, path: str) -> None:
-    """Append to a findings table laid out by language and severity."""
-    findings.write.mode("append").partitionBy("language", "severity").parquet(path)
+    """Append to a findings table laid out by language and severity.
 
+    Rows are dealt by the folder they go to before they are written: tasks of about the session's
+    advisory size, large folders split and small ones joined, so a folder gets few files.
+    """
+    (findings.hint("rebalance", "language", "severity")
+     .write.mode("append").partitionBy("language", "severity").parquet(path))

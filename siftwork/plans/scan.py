@@ -71,19 +71,29 @@ def static_findings(texts: DataFrame, *keys: str, gate: str = "python", patterns
 
 @dataclass
 class ScanResult:
-    """`files`: one row per path; `findings`: per path; `by_hash`: the same once
-    per content; `fresh_*`: what was analysed now, ready for the cache."""
+    """`files`: one row per path; `findings`: per path, with the path's language; `by_hash`: the same
+    once per content; `fresh_*`: what was analysed now, ready for the cache; `failed`: contents whose
+    reply failed, with its error."""
 
     files: DataFrame
     by_hash: DataFrame
     manifest: DataFrame
     fresh_entries: DataFrame
     fresh_findings: DataFrame
+    failed: DataFrame | None = None
 
     @property
     def findings(self) -> DataFrame:
         return fan_back(self.manifest, self.by_hash)
 
+    @property
+    def failed_replies(self) -> DataFrame | None:
+        """(file_path, error) of every path whose reply failed or is empty; None for a scan without replies."""
+        if self.failed is None:
+            return None
+        paths = self.manifest.where("file_hash <> ''").select("file_path", "file_hash")
+        return spread_join(paths, self.failed, ["file_hash"], "inner", ["file_path"]).select("file_path", "error")
+
     def run(self, fail_on: str = "HIGH") -> DataFrame:
         return run_rollup(self.files, fail_on)
 
@@ -94,9 +104,9 @@ def fan_back(manifest: DataFrame, by_hash: DataFrame) -> DataFrame:
     The copies are the side that can be hot, so they are spread; the findings of
     one content are bounded by its text.
     """
-    paths = manifest.where("file_hash <> ''").select("file_path", "file_hash")
+    paths = manifest.where("file_hash <> ''").select("file_path", "file_hash", "language")
     return spread_join(paths, finding_rows(by_hash, "file_hash"), ["file_hash"], "inner", ["file_path"]).select(
-        "file_path", "file_hash", *FINDING_COLUMNS)
+        "file_path", "file_hash", "language", *FINDING_COLUMNS)
 
 
 def unknown_texts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -182,7 +192,7 @@ def scan(files: DataFrame, replies: DataFrame | None = None, cache: CacheTables
     failed_replies = None
     if replies is not None:
         wanted_replies = one_reply_each(replies.join(misses.select("file_hash"), "file_hash", "left_semi"))
-        failed_replies = wanted_replies.where("error is not null or response_text is null").select("file_hash")
+        failed_replies = wanted_replies.where("error is not null or response_text is null").select("file_hash", "error")
         answered = wanted_replies.where("error is null and response_text is not null").select(
             "file_hash", F.lit(True).alias("_answered"))
         found = (reply_findings if report_failed_replies else parse_replies)(wanted_replies, "file_hash")
@@ -207,8 +217,8 @@ def scan(files: DataFrame, replies: DataFrame | None = None, cache: CacheTables
     storable = fresh
     if failed_replies is not None:
         # A failed reply is reported but not remembered, so the next run tries again.
-        entries = entries.join(failed_replies, "file_hash", "left_anti")
-        storable = fresh.join(failed_replies, "file_hash", "left_anti")
+        entries = entries.join(failed_replies.select("file_hash"), "file_hash", "left_anti")
+        storable = fresh.join(failed_replies.select("file_hash"), "file_hash", "left_anti")
 
     by_hash = fresh
     if cache:
@@ -224,4 +234,4 @@ def scan(files: DataFrame, replies: DataFrame | None = None, cache: CacheTables
         "from_cache", F.coalesce("from_cache", F.lit(False))))
     return ScanResult(
         files=rolled, by_hash=by_hash, manifest=manifest,
-        fresh_entries=entries, fresh_findings=storable)
+        fresh_entries=entries, fresh_findings=storable, failed=failed_replies)

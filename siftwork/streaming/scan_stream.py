@@ -33,7 +33,7 @@ def start_scan_stream(spark: SparkSession, roots, out: str, checkpoint: str, *,
         # Results are written before the cache changes: a retry that finds its
         # own contents cached reports the same findings.
         result.files.write.mode("overwrite").parquet(f"{out}/files/batch={batch_id}")
-        (result.findings.select("file_path", "file_hash", *FINDING_COLUMNS)
+        (result.findings.select("file_path", "file_hash", "language", *FINDING_COLUMNS)
          .write.mode("overwrite").parquet(f"{out}/findings/batch={batch_id}"))
         if cache:
             cache.put(result.fresh_entries, result.fresh_findings, f"{checkpoint}#{batch_id}")

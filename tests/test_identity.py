@@ -97,10 +97,40 @@ def test_many_patterns_of_one_type_plan_quickly(spark):
     assert len(codes) == 2 and time.time() - began < 60
 
 
-def test_scan_results_become_events(spark):
-    result = scan(texts(spark, ("a.py", "eval(x)\n"), ("b.py", "print(2)\n")))
-    events = progress.scan_result_events(5, result.files, result.findings)
-    states = {r.file: (r.status, r.findings) for r in progress.file_progress(
-        events.withColumn("index", F.lit(0)).withColumn("total", F.lit(2)).withColumn("total_files", F.lit(2))).collect()}
-    assert states == {"a.py": ("done", 1), "b.py": ("clean", 0)}
-    assert [r.type for r in progress.event_findings(events).collect()] == ["Code Injection (eval/exec)"]
+def test_scan_results_become_events(spark, monkeypatch):
+    monkeypatch.setattr(progress, "EVENT_FINDINGS", 2)
+    many = "eval(x)\n" * 5
+    files = spark.createDataFrame([("a.py", many, None), ("b.py", "print(2)\n", None), ("c.py", None, "denied")],
+                                  "file_path string, text string, error string")
+    replies = texts(spark, ("b.py", "print(2)\n")).select(
+        F.sha2("text", 256).alias("file_hash"), F.lit(None).cast("string").alias("response_text"), F.lit("timeout").alias("error"))
+    result = scan(files, replies)
+    events = progress.scan_result_events(5, result.files, result.findings, result.failed_replies)
+    events = progress.parse_events(events.select(F.to_json(F.struct("*")).alias("value")))
+    told = [(r.type, r.file, r["index"], r.total, r.findings, r.vulns and len(r.vulns)) for r in events.orderBy("seq").collect()]
+    assert told == [
+        ("file_start", "a.py", 0, 3, None, None), ("file_done", "a.py", None, None, 5, 2), ("file_done", "a.py", None, None, 5, 2),
+        ("file_done", "a.py", None, None, 5, 1), ("file_start", "b.py", 1, 3, None, None), ("log", "b.py", None, None, None, None),
+        ("file_done", "b.py", None, None, 0, []), ("file_start", "c.py", 2, 3, None, None), ("file_skip", "c.py", None, None, None, None),
+        ("complete", None, None, None, None, None)]
+    assert [r.text for r in events.where("level = 'warning'").collect()] == ["LLM failed for b.py: timeout"]
+    states = {r.file: (r.status, r.findings) for r in progress.file_progress(events).collect()}
+    assert states == {"a.py": ("done", 5), "b.py": ("clean", 0), "c.py": ("skip", 0)}
+    assert progress.scan_progress(events).first()["pct"] == 100
+    assert progress.event_findings(events).count() == result.findings.count() == 5
+    counts = progress.completion_counts(events).first()
+    assert (counts.total_files, counts.total_findings, counts.critical + counts.high) == (2, 5, 5)
+    broken = progress.error_event(spark, 5, 9, "boom", "trace")
+    assert progress.scan_status(broken).first()["message"] == "boom"
+    nothing = progress.scan_result_events(6, result.files.limit(0), result.findings.limit(0))
+    assert [(r.type, r.total_files, r.total_findings) for r in nothing.collect()] == [("complete", 0, 0)]
+
+
+def test_findings_table_is_dealt_by_folder(spark, tmp_path):
+    many = texts(spark, *[(f"d/f{i}.py", f"eval(x{i})\n") for i in range(40)]).repartition(8)
+    found = scan(many).findings
+    assert {r.language for r in found.collect()} == {"Python"}
+    reports.write_findings(found.repartition(8), str(tmp_path / "t"))
+    folders = list((tmp_path / "t").glob("language=*/severity=*"))
+    assert folders and all(len(list(f.glob("*.parquet"))) == 1 for f in folders)
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 40

@@ -179,6 +179,7 @@ def test_change_set(spark):
     replies = reply_for(texts(spark, {"a.py": "eval(x)"}), ("a.py", None, "timeout"))
     done = scan_changes(listing, payloads, replies, min_severity="INFO")
     assert values(done.result.findings, "file_path", "type") == [("a.py", "Code Injection (eval/exec)")]
+    assert values(done.result.failed_replies, "file_path", "error") == [("a.py", "timeout")]
     assert values(done.skipped, "file_path") == [("blank.py",), ("missing.py",)]
     assert tuple(listing_counts(listing).first()) == (5, 3)
 

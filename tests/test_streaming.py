@@ -80,6 +80,36 @@ def test_file_progress_batch_and_stream(spark, log, tmp_path):
     assert [t[2] for t in totals] == [sum(s[0] == i for s in states) for i in range(6)]
 
 
+def test_ended_scans_leave_the_store(spark, tmp_path):
+    """Scans that complete or fail leave nothing open; what comes later is still counted."""
+    def event(scan_id, seq, kind, **more):
+        return {"scan_id": scan_id, "seq": seq, "type": kind, **more}
+
+    steps = [
+        [event(1, 1, "file_start", file="a", language="Go", index=0, total=2), event(2, 1, "file_start", file="a", index=0, total=9)],
+        [event(1, 2, "file_done", file="a", findings=1, severity="LOW"), event(1, 9, "complete", total_files=1),
+         event(3, 1, "file_start", file="x", index=1, total=4)],
+        [event(2, 2, "error", text="boom"), event(1, 3, "file_skip", file="a"), event(4, 1, "log", text="hi")],
+        [event(3, 2, "file_done", file="x", findings=0), event(3, 3, "complete", total_files=1), event(1, 4, "file_start", file="late", index=1, total=2)],
+    ]
+    every = [e for step in steps for e in step]
+    out = str(tmp_path / "out")
+    still_open = []
+    for n, step in enumerate(steps):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{n}.txt").write_text("\n".join(map(json.dumps, step)))
+        stream = spark.readStream.schema("value string").text(str(tmp_path / "in"))
+        progress.start_file_progress(progress.parse_events(stream), out, str(tmp_path / "ckpt"), availableNow=True).awaitTermination()
+        still_open.append({r.scan_id for r in progress.open_file_states(spark, out).collect()})
+        so_far = progress.parse_events(lines(spark, [e for s in steps[:n + 1] for e in s]))
+        assert values(progress.current_file_progress(spark, out), *COLUMNS) == values(progress.file_progress(so_far), *COLUMNS)
+    assert still_open == [{1, 2}, {2, 3}, {3}, set()]
+    assert spark.read.parquet(f"{out}/open/batch=3").count() == 0
+    assert sorted(p.name for p in (tmp_path / "out" / "open").iterdir()) == ["batch=2", "batch=3"]
+    events = progress.parse_events(lines(spark, every))
+    assert values(progress.scan_totals(progress.current_file_states(spark, out)), *TOTALS) == values(progress.scan_progress(events), *TOTALS)
+
+
 def test_progress_bar_and_completion(spark):
     rows = [{"scan_id": 1, "seq": 1, "type": "file_start", "file": "a", "index": 0, "total": 3},
             {"scan_id": 1, "seq": 2, "type": "file_skip", "file": "a"},
