@@ -6,6 +6,8 @@ the oracle statements.  `@SHA256(x)` stands for each engine's hash function.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = {"documents": "doc_id", "events": "event_id", "pages": "page_id", "labels": "doc_id"}
@@ -77,7 +79,7 @@ SELECT e.*, 'Python' AS language, CASE WHEN findings > 0 THEN 'HIGH' END AS seve
        CASE type WHEN 'pr_info' THEN concat('https://example.org/pull/', CAST(seq % 900 AS STRING)) END AS pr_url,
        CASE type WHEN 'pr_info' THEN 9 + seq % 9 WHEN 'complete' THEN seq % 3 END AS total_files,
        CASE type WHEN 'pr_info' THEN seq % 9 END AS scannable_files,
-       CASE type WHEN 'pr_info' THEN substring(@SHA256(CAST(seq AS STRING)), 1, 8) END AS sha,
+       CASE type WHEN 'pr_info' THEN substring(@SHA256(props), 1, 8) END AS sha,
        CASE type WHEN 'complete' THEN seq % 50 END AS total_findings,
        CASE type WHEN 'complete' THEN seq % 50 - seq % 11 % (1 + seq % 50) END AS n_high,
        CASE type WHEN 'complete' THEN seq % 11 % (1 + seq % 50) END AS n_low
@@ -179,7 +181,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     load_tables(spark, sf_dir)
     for needed in NEEDS.get(name, ()):
         spark.sql(VIEWS[needed]).createOrReplaceTempView(needed)
-    return spark.sql(VIEWS[name].replace("@SHA256(file_path)", "sha2(file_path, 256)"))
+    return spark.sql(re.sub(r"@SHA256\((\w+)\)", r"sha2(\1, 256)", VIEWS[name]))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
