@@ -43,6 +43,12 @@ def partitions(df: DataFrame) -> int:
     return max(int(conf.get("spark.sql.shuffle.partitions")), int(wide or 0))
 
 
+def width_for(rows: DataFrame, text_col: str, bytes_each: int) -> int:
+    """As many partitions as keep each to `bytes_each` of text, `partitions` at least; one pass over lengths, no shuffle of texts."""
+    total = rows.agg(F.sum(F.octet_length(column(text_col)))).first()[0] or 0
+    return max(partitions(rows), -(-total // bytes_each))
+
+
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a URI, on whichever machine this runs."""
     parts = urlsplit(uri)

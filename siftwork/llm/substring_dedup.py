@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import carried, keyed, partitions
+from .common import carried, keyed, partitions, width_for
 
 #: Difference covers by period: every residue is a difference of two members.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
@@ -31,6 +31,8 @@ LEAST_ANCHOR = 8
 BLOCK_WORDS = 100_000
 #: Entries that a task gathers before it packs them by bucket: 256 per bucket, within these bounds.
 LEAST_PENDING, MOST_PENDING = 200_000, 4_000_000
+#: Text whose entries one task gathers, in two buckets: the number of buckets follows the size of the input.
+TASK_BYTES = 128 << 20
 MULTIPLIER = 0x9E3779B97F4A7C15
 KEY = ["_null", "_k", "_hash"]
 OUTPUTS = ["n_words", "n_removed"]
@@ -417,7 +419,7 @@ def _resolved(rows: DataFrame, resolve, homes: int) -> DataFrame:
         if held:
             yield rows_of(FOUND, by_document(held))
 
-    tasks = partitions(rows)
+    tasks = max(partitions(rows), homes // 2)
     found = rows.repartition(tasks, "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(find, ROWS_DDL)
     return found.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(bring_home, FOUND_DDL)
 
@@ -434,7 +436,7 @@ def repeated_starts(rows: DataFrame, length: int) -> DataFrame:
     The rows are joined as they are, further columns included: the join that ends
     `remove_repeats` then uses the same shuffle of the texts a second time.
     """
-    buckets = homes = 2 * partitions(rows)
+    buckets = homes = 2 * width_for(rows, "_text", TASK_BYTES)
     ask = rows.mapInArrow(
         lambda batches: _send_all(batches, lambda b: anchors_of(b, length), send_anchors, buckets, homes), ROWS_DDL)
     anchors = _resolved(ask, repeated_anchors, homes)

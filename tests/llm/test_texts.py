@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from siftwork.llm import line_dedup, quality, simhash, substring_dedup, token_counts
+from siftwork.llm import common, line_dedup, quality, simhash, substring_dedup, token_counts
 from siftwork.llm.queries import QUERIES, tokenizer_path
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, n_lines int, _k string, _text int, "
@@ -255,14 +255,18 @@ def brute_starts(pairs, length):
     return drop
 
 
-def test_substring_dedup_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("task_bytes", [substring_dedup.TASK_BYTES, 1_000])
+def test_substring_dedup_equals_brute_force(spark, monkeypatch, task_bytes):
     monkeypatch.setattr(substring_dedup, "BLOCK_WORDS", 50)
+    monkeypatch.setattr(substring_dedup, "TASK_BYTES", task_bytes)
     rng = random.Random(8)
     passages = [" ".join(f"p{rng.randint(0, 50)}" for _ in range(rng.randint(15, 60))) for _ in range(6)]
     pairs = [(i, "  ".join([f"a{rng.randint(0, 9)}" for _ in range(rng.randint(0, 40))] + rng.choices(passages, k=rng.randint(0, 3))))
              for i in range(60)]
     pairs += [(100, None), (101, ""), (102, "same " * 90), (None, passages[0]), (103, passages[1]), (103, passages[1])]
     docs = frame(spark, pairs)
+    rows, total = docs.selectExpr("text"), sum(len((t or "").encode()) for _, t in pairs)
+    assert common.width_for(rows, "text", task_bytes) == max(4, -(-total // task_bytes))
     result = substring_dedup.remove_repeats(docs, join_words=True)
     kept_columns(result, docs, substring_dedup.OUTPUTS)
     expected = brute_starts(pairs, 20)
