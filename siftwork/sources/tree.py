@@ -1,11 +1,11 @@
-"""Source trees on a file system all executors can open.
+"""Source trees on a file system or store all executors can open.
 
 `source_tree` is a Spark data source that lists files; it exists because Spark's
 file index silently hides names starting with `_` or `.`.  The driver only cuts
 the tree into directory units; executors list names; files are then spread
 evenly over tasks that check and read them, so one directory holding most files
 costs one task no more than reading its names.  As a stream, files are taken by
-change time.
+change time.  Roots and paths are local paths or URIs (`stores`).
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ import hashlib
 import io
 import json
 import os
-import stat as stat_module
 import sys
 import time
 from collections import deque
@@ -31,6 +30,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from .. import fixed
 from ..functions.paths import is_scannable
 from ..session import materialise
+from . import stores
 
 # Executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -56,10 +56,7 @@ class _Unit(InputPartition):
 
 
 def _subdirectories(directory, skip):
-    with os.scandir(directory) as entries:
-        for e in entries:
-            if e.name not in skip and e.is_dir(follow_symlinks=False):
-                yield e.path
+    return (path for name, path, is_directory, _ in stores.entries(directory) if is_directory and name not in skip)
 
 
 def _units(root, skip, wanted, since=None, until=None):
@@ -88,14 +85,19 @@ def _suffix(name):
     return name[dot:].lower() if 0 < dot < len(name) - 1 else ""
 
 
-def _changed(entry, unit):
+def _changed(changed_ns, unit):
     """Is a file in the window of a stream?  The reader of the file tests it again."""
     try:
-        return unit.until is None or unit.since < entry.stat().st_ctime_ns <= unit.until
+        at = None if unit.until is None else changed_ns()
+        return at is None or unit.since < at <= unit.until
     except OSError:
         return True
 
 
+def _file_path(path, relative, root):
+    return path if stores.is_uri(path) else str(PurePosixPath(root) / relative)
+
+
 def _walk(unit, suffixes, skip):
     """Names below one unit; scope rules are applied before any file is opened.
 
@@ -103,31 +105,86 @@ def _walk(unit, suffixes, skip):
     the reader turns into an error row.
     """
     todo = [unit.directory]
+    while todo:
+        yield from _list_one(todo.pop(), unit, suffixes, skip, todo, _Seen())
+
+
+class _Seen:
+    """What the listing of one directory leaves to look at again: a file after the window, or a failure."""
+
+    unsettled = False
+
+
+def _list_one(directory, unit, suffixes, skip, found, seen):
+    """Names in one directory; its subdirectories go to `found`."""
+    parts = unit.parts if directory == unit.directory else 1
+    try:
+        for name, path, is_directory, changed_ns in stores.entries(directory):
+            if name in skip or parts > 1 and crc32(os.fsencode(name)) % parts != unit.part:
+                continue
+            if is_directory:
+                if unit.deep:
+                    found.append(path)
+            elif not suffixes or _suffix(name) in suffixes:
+                if _changed(changed_ns, unit):
+                    relative = stores.relative_to(path, unit.root)
+                    yield _file_path(path, relative, unit.root), relative, False, unit.since, unit.until
+                elif unit.until is not None and (changed_ns() or 0) > unit.until:
+                    seen.unsettled = True
+    except OSError:
+        seen.unsettled = True
+        if unit.part == 0 or directory != unit.directory:
+            yield directory, stores.relative_to(directory, unit.root), True, None, None
+
+
+def _known_file(folder, unit, offset):
+    name = json.dumps([unit.root, unit.directory, unit.deep, unit.part, unit.parts])
+    return stores.below(stores.below(folder, str(offset)), hashlib.sha256(name.encode()).hexdigest() + ".json")
+
+
+def _walk_changed(unit, suffixes, skip, folder):
+    """As `_walk`, but a directory known from the last trigger is listed only if it changed since.
+
+    What is known of a unit is written for the end of its window and read at the next trigger:
+    its directories, each with the mark of having been left unsettled.  Where that is missing (first
+    trigger, tree cut otherwise) the unit is walked.
+    """
+    try:
+        with stores.reading(_known_file(folder, unit, unit.since)) as handle:
+            known = json.loads(handle.read())
+    except FileNotFoundError:
+        known = []
+    marks = dict(map(tuple, known))
+    todo, after = [unit.directory, *(d for d in marks if d != unit.directory)], {}
     while todo:
         directory = todo.pop()
-        parts = unit.parts if directory == unit.directory else 1
-        try:
-            with os.scandir(directory) as entries:
-                for entry in entries:
-                    if entry.name in skip or parts > 1 and crc32(os.fsencode(entry.name)) % parts != unit.part:
-                        continue
-                    if entry.is_dir(follow_symlinks=False):
-                        if unit.deep:
-                            todo.append(entry.path)
-                    elif (not suffixes or _suffix(entry.name) in suffixes) and _changed(entry, unit):
-                        relative = os.path.relpath(entry.path, unit.root)
-                        yield str(PurePosixPath(unit.root) / relative), relative, False, unit.since, unit.until
-        except OSError:
-            if unit.part == 0 or directory != unit.directory:
-                yield directory, os.path.relpath(directory, unit.root), True, None, None
+        if directory in after:
+            continue
+        seen, found = _Seen(), []
+        if directory in marks:
+            try:
+                info = stores.facts(directory)
+                gone, changed = info.kind != "directory", info.changed_ns
+            except OSError as failure:  # the listing says what is wrong with others
+                gone, changed = isinstance(failure, FileNotFoundError), None
+            if gone and directory != unit.directory:
+                continue
+            if not gone and not marks[directory] and changed is not None and changed <= unit.since:
+                after[directory] = False
+                continue
+        yield from _list_one(directory, unit, suffixes, skip, found, seen)
+        after[directory] = seen.unsettled
+        todo += [d for d in found if d not in marks]
+    stores.write_whole(_known_file(folder, unit, unit.until), json.dumps(sorted(after.items())).encode())
 
 
 class _TreeOptions:
     def __init__(self, options):
-        self.roots = json.loads(options.get("roots", "[]"))
+        self.roots = [stores.normal(r) if stores.is_uri(r) else r for r in json.loads(options.get("roots", "[]"))]
         self.suffixes = frozenset(json.loads(options.get("suffixes", "[]")))
         self.skip = frozenset(json.loads(options.get("skip_dirs", "[]")))
         self.wanted = int(options.get("units", "256"))
+        self.known = options.get("known_directories", "")
         self.settle_ns = int(float(options.get("settle_seconds", "2")) * 1e9)
 
 
@@ -151,6 +208,10 @@ class _TreeStream(DataSourceStreamReader):
     whatever its modification time says.  The offset trails the clock by
     `settle_seconds` so that slow writers and clock differences of the file
     system fall into a later batch instead of between two.
+
+    Every trigger looks at every file, unless `known_directories` names a folder: then it looks at
+    every directory and lists those that changed, which holds where files are created or renamed into
+    place, as checkouts do.  Stores keep no change time of directories, theirs are always listed.
     """
 
     def __init__(self, opts):
@@ -168,7 +229,15 @@ class _TreeStream(DataSourceStreamReader):
                 for u in _units(root, opts.skip, opts.wanted, start["changed_ns"], end["changed_ns"])]
 
     def read(self, partition):
-        yield from _walk(partition, self.opts.suffixes, self.opts.skip)
+        opts = self.opts
+        if opts.known:
+            yield from _walk_changed(partition, opts.suffixes, opts.skip, opts.known)
+        else:
+            yield from _walk(partition, opts.suffixes, opts.skip)
+
+    def commit(self, end):
+        if self.opts.known:
+            stores.drop_folders(self.opts.known, lambda name: not name.isdigit() or int(name) >= end["changed_ns"])
 
 
 class SourceTree(DataSource):
@@ -186,35 +255,40 @@ class SourceTree(DataSource):
         return _TreeStream(_TreeOptions(self.options))
 
 
-def _options(roots, suffixes, skip_dirs, units, settle_seconds=2.0):
+def _options(roots, suffixes, skip_dirs, units, settle_seconds=2.0, known_directories=None):
     return {
         "roots": json.dumps([str(r) for r in roots]), "suffixes": json.dumps(sorted(suffixes)),
         "skip_dirs": json.dumps(sorted(skip_dirs)), "units": str(units), "settle_seconds": str(settle_seconds),
+        "known_directories": stores.normal(known_directories) if known_directories else "",
     }
 
 
 def _problem(info, path, explicit, since, until):
     """"" for a file of the listing, None for what is no part of it after all, else what is wrong."""
-    if not stat_module.S_ISREG(info.st_mode):
+    if info.kind != "file":
         if explicit:
-            os.listdir(path)  # says why a directory could not be listed
+            next(stores.entries(path), None)  # says why a directory could not be listed
             return "not a regular file"
         return None
-    return None if until is not None and not since < info.st_ctime_ns <= until else ""
+    if until is None:
+        return ""
+    if info.changed_ns is None:
+        return "its store gives no change time"
+    return "" if since < info.changed_ns <= until else None
 
 
 def _read_one(path, explicit, since, until, max_bytes):
     """(content, error) of a file, or None where it is not part of the listing after all."""
     try:
-        info = os.stat(path)
+        info = stores.facts(path)
         problem = _problem(info, path, explicit, since, until)
         if problem is None:
             return None
         if problem:
             return None, problem
-        if info.st_size > max_bytes:
-            return None, f"file has {info.st_size} bytes, more than one row can hold"
-        with open(path, "rb") as handle:
+        if info.size > max_bytes:
+            return None, f"file has {info.size} bytes, more than one row can hold"
+        with stores.reading(path) as handle:
             return handle.read(), None
     except OSError as failure:
         return None, str(failure)
@@ -279,11 +353,11 @@ def _read_pieces(piece_bytes):
 
     def pieces(path, explicit, since, until):
         try:
-            problem = _problem(os.stat(path), path, explicit, since, until)
+            problem = _problem(stores.facts(path), path, explicit, since, until)
             if problem:
                 yield 0, 1, None, True, None, problem
             elif problem is not None:
-                with open(path, "rb") as handle:
+                with stores.reading(path) as handle:
                     for found in _text_pieces(handle, piece_bytes):
                         yield *found, None
         except OSError as failure:
@@ -342,7 +416,7 @@ def list_files(spark: SparkSession, paths) -> DataFrame:
     """Explicit paths, as a list or as a table with `file_path`: no suffix or
     directory rule applies to them."""
     named = paths if isinstance(paths, DataFrame) else spark.createDataFrame(
-        [(str(PurePosixPath(p)),) for p in paths], "file_path string")
+        [(stores.normal(p),) for p in paths], "file_path string")
     no_bound = F.lit(None).cast("bigint")
     return named.select("file_path").distinct().select(
         "file_path", F.col("file_path").alias("relative_path"), F.lit(True).alias("explicit"),
@@ -388,10 +462,11 @@ def read_listing(listing: DataFrame, piece_bytes: int = 64 << 20) -> DataFrame:
 
 
 def stream_listing(spark: SparkSession, roots, suffixes=tuple(fixed.SUFFIX_LANGUAGES),
-                   skip_dirs=fixed.SKIP_DIRS, units: int = 256, settle_seconds: float = 2.0) -> DataFrame:
+                   skip_dirs=fixed.SKIP_DIRS, units: int = 256, settle_seconds: float = 2.0,
+                   known_directories: str | None = None) -> DataFrame:
     spark.dataSource.register(SourceTree)
     return (spark.readStream.format("source_tree")
-            .options(**_options(roots, suffixes, skip_dirs, units, settle_seconds)).load())
+            .options(**_options(roots, suffixes, skip_dirs, units, settle_seconds, known_directories)).load())
 
 
 def scannable_only(files: DataFrame, path: str = "file_path") -> DataFrame:

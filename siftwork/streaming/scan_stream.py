@@ -16,13 +16,16 @@ from ..sources.tree import read_listing, stream_listing
 def start_scan_stream(spark: SparkSession, roots, out: str, checkpoint: str, *,
                       replies: DataFrame | None = None, cache: FindingCache | None = None,
                       use_static: bool = True, min_severity: str = "LOW", gate: str = "python",
-                      patterns=BUILTIN_PATTERNS, settle_seconds: float = 2.0, **trigger) -> StreamingQuery:
+                      patterns=BUILTIN_PATTERNS, settle_seconds: float = 2.0,
+                      known_directories: str | None = None, **trigger) -> StreamingQuery:
     """Scan new and changed files of each micro-batch with the batch plan.
 
     Results go to `out/files/batch=N` and `out/findings/batch=N`; a retried batch
     overwrites its own folders.  With a cache, known contents are not analysed
     again, and the batch's results are stored under a run named after the query
-    and batch id, so a retry changes nothing.
+    and batch id, so a retry changes nothing.  With `known_directories` (a folder all
+    executors can write, of this query alone) a trigger lists changed directories only,
+    which misses files written in place.
     """
     def run(listing: DataFrame, batch_id: int) -> None:
         files = materialise(read_listing(listing), "batch")
@@ -38,7 +41,7 @@ def start_scan_stream(spark: SparkSession, roots, out: str, checkpoint: str, *,
         if cache:
             cache.put(result.fresh_entries, result.fresh_findings, f"{checkpoint}#{batch_id}")
 
-    return (stream_listing(spark, roots, settle_seconds=settle_seconds).writeStream
+    return (stream_listing(spark, roots, settle_seconds=settle_seconds, known_directories=known_directories).writeStream
             .option("checkpointLocation", checkpoint).foreachBatch(run).trigger(**trigger).start())
 
 

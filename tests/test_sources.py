@@ -1,17 +1,22 @@
 """Reading trees, files, listings, payloads and the cache folder."""
 
 import base64
+import gzip
+import hashlib
 import json
 import os
+import shutil
 import time
+from urllib.parse import unquote
 
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from helpers import findings, values
 from siftwork.schema import finding_rows
 from siftwork.session import shared_folder, size_shuffles
-from siftwork.sources import inputs, tree
+from siftwork.sources import inputs, stores, tree
 from siftwork.sources.cache import FindingCache, findings_from_json, findings_to_json, upsert_cache
 
 
@@ -65,6 +70,92 @@ def test_directories_and_files_together_hold_a_path_once(spark, source_tree):
     assert len(paths) == len(set(paths)) == 8
 
 
+@pytest.fixture
+def store(monkeypatch):
+    """`box://` URIs as a store rooted in a folder, on the executors too."""
+    def mount(folder):
+        folder = str(folder)
+
+        def located(path):
+            return fs.SubTreeFileSystem(folder, fs.LocalFileSystem()), unquote(path.split("://", 1)[1])
+        monkeypatch.setattr(stores, "located", located)
+    return mount
+
+
+def test_trees_in_a_store_are_read_by_uri(spark, tmp_path, store):
+    put(tmp_path / "bucket", {"repo/a b/x%y.py": b"x = 1\n", "repo/.hid/_p.py": b"\xff", "repo/venv/no.py": b"", "repo/notes.md": b"#",
+                              "repo/packed.py": gzip.compress(b"x"), "other/z.py.gz": b"not packed"})
+    store(tmp_path / "bucket")
+    files = tree.read_source_tree(spark, ["box://repo"])
+    rows = {r["relative_path"]: r for r in files.collect()}
+    assert sorted(rows) == [".hid/_p.py", "a b/x%y.py", "packed.py"]
+    assert rows["a b/x%y.py"]["file_path"] == "box://repo/a%20b/x%25y.py" and rows["a b/x%y.py"]["content"] == b"x = 1\n"
+    assert gzip.decompress(rows["packed.py"]["content"]) == b"x"
+    named = tree.read_source_files(spark, ["box://other/z.py.gz", "box://other/none.py", "box://repo", rows["a b/x%y.py"]["file_path"]])
+    found = {r["file_path"]: r for r in named.collect()}
+    assert found["box://other/z.py.gz"]["content"] == b"not packed" and found["box://repo/a%20b/x%25y.py"]["content"] == b"x = 1\n"
+    assert "No such file" in found["box://other/none.py"]["error"] and found["box://repo"]["error"] == "not a regular file"
+    pieces = tree.read_pieces(spark, ["box://repo/"], piece_bytes=4).where("relative_path = 'a b/x%y.py' AND last")
+    assert pieces.first()["file_hash"] == hashlib.sha256(b"x = 1\n").hexdigest()
+    missing = tree.read_source_tree(spark, ["box://absent"]).first()
+    assert missing["file_path"] == "box://absent" and missing["error"]
+
+
+def test_file_uris_are_local_paths(spark, source_tree):
+    local, by_uri = tree.read_source_tree(spark, [source_tree]), tree.read_source_tree(spark, [f"file://{source_tree}"])
+    assert sorted(map(tuple, local.collect())) == sorted(map(tuple, by_uri.collect()))
+    assert stores.normal("file:///a%20b//c") == "/a b/c" and stores.normal("/a//b/") == "/a/b" and stores.normal("s3://b/x") == "s3://b/x"
+    with pytest.raises(ValueError):
+        stores.normal("s3://b/x?region=y")
+
+
+def listed(monkeypatch, root, folder, since, until, units=1):
+    """(files found, directories whose names were read) of one trigger."""
+    looked, entries = [], stores.entries
+    monkeypatch.setattr(stores, "entries", lambda d: looked.append(os.path.relpath(d, root)) or entries(d))
+    stream = tree._TreeStream(tree._TreeOptions({**tree._options([root], {".py"}, {"venv"}, units, known_directories=folder)}))
+    names = [row[1] for unit in stream.partitions({"changed_ns": since}, {"changed_ns": until}) for row in stream.read(unit)]
+    stream.commit({"changed_ns": until})
+    monkeypatch.setattr(stores, "entries", entries)
+    return sorted(names), sorted(looked)
+
+
+def test_a_trigger_lists_changed_directories_only(monkeypatch, tmp_path):
+    root, folder = put(tmp_path / "r", {f"d{i}/e{j}/f.py": b"" for i in range(3) for j in range(3)}), str(tmp_path / "known")
+    now = lambda: time.sleep(0.05) or time.time_ns()
+    first = now()
+    found, _ = listed(monkeypatch, root, folder, 0, first)
+    assert len(found) == 9 and os.listdir(folder) == [str(first)]
+    idle = now()
+    # One unit: neither the driver nor the task reads any names.
+    assert listed(monkeypatch, root, folder, first, idle) == ([], [])
+    put(tmp_path / "r", {"d1/e1/new.py": b"", "d2/deep/er/x.py": b"", "d2/venv/y.py": b""})
+    third = now()
+    found, looked = listed(monkeypatch, root, folder, idle, third)
+    assert found == ["d1/e1/new.py", "d2/deep/er/x.py"]
+    assert looked == ["d1/e1", "d2", "d2/deep", "d2/deep/er"] and os.listdir(folder) == [str(third)]
+    # A file after the window is found by the next trigger, though its directory has not changed since.
+    put(tmp_path / "r", {"d0/e0/late.py": b""})
+    assert listed(monkeypatch, root, folder, third, third + 1)[0] == []
+    assert listed(monkeypatch, root, folder, third + 1, now())[0] == ["d0/e0/late.py"]
+    # Directories that went are forgotten, a tree cut otherwise is walked again.
+    shutil.rmtree(f"{root}/d2")
+    fifth = now()
+    assert listed(monkeypatch, root, folder, time.time_ns() - 10 ** 6, fifth, units=4)[0] == []
+    put(tmp_path / "r", {"d0/e2/again.py": b""})
+    assert listed(monkeypatch, root, folder, fifth, now(), units=4)[0] == ["d0/e2/again.py"]
+
+
+def test_directories_of_a_slow_writer_are_looked_at_again(monkeypatch, tmp_path):
+    root, folder = put(tmp_path / "r", {"a/b/f.py": b""}), str(tmp_path / "known")
+    begun = time.time_ns() + 10 ** 6
+    time.sleep(0.05)
+    put(tmp_path / "r", {"a/b/f.py": b"written on"})
+    assert listed(monkeypatch, root, folder, 0, begun)[0] == []
+    # The directory is older than the window that takes the file.
+    assert listed(monkeypatch, root, folder, begun, time.time_ns() + 10 ** 9)[0] == ["a/b/f.py"]
+
+
 def test_too_large_files_become_error_rows(spark, source_tree):
     listing = tree.list_files(spark, [f"{source_tree}/pkg/bad.py"])
     row = tree.load_contents(listing, max_file_bytes=3).first()

@@ -158,6 +158,18 @@ def test_scan_stream_takes_new_and_changed_files(spark, tmp_path):
     assert sorted(r["count"] for r in batches) == [2, 2]  # the unchanged file was not read again
 
 
+def test_scan_stream_by_known_directories(spark, tmp_path):
+    root, known = tmp_path / "src", tmp_path / "known"
+    (root / "sub").mkdir(parents=True)
+    (root / "sub" / "a.py").write_text("eval(x)")
+    files, _ = run_stream(spark, root, tmp_path, known_directories=str(known))
+    assert files == [(f"{root}/sub/a.py", False, 4)] and list(known.rglob("*.json"))
+    (root / "sub" / "new").mkdir()
+    (root / "sub" / "new" / "b.py").write_text("y = 1")
+    files, found = run_stream(spark, root, tmp_path, known_directories=str(known))
+    assert files == [(f"{root}/sub/a.py", False, 4), (f"{root}/sub/new/b.py", False, 0)] and len(found) == 1
+
+
 def test_scan_stream_with_cache(spark, tmp_path):
     root, store = tmp_path / "src", FindingCache(spark, str(tmp_path / "cache"))
     root.mkdir()
