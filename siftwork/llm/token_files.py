@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
 
 from .common import AttemptFile, column, file_system, partitions
 from .segments import segmented
@@ -29,19 +29,23 @@ MANIFEST = "shard int, uri string, documents long, tokens long, bytes long, dict
 
 #: Bounds of what the dictionary is trained on and of its size.
 SAMPLE_DOCUMENTS, SAMPLE_CHARS, DICTIONARY_BYTES = 512, 1 << 13, 1 << 16
+#: Text of a shard, about: the number of shards follows the size of the input.
+SHARD_BYTES = 256 << 20
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> bytes:
-    """A dictionary from id arrays of slices of the 512 documents whose hash of id and length is smallest.
+def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[bytes, int]:
+    """(dictionary, bytes of all texts): a dictionary from id arrays of slices of the 512 documents whose hash of id and length is smallest.
 
     All rows take part in the choice, so no source or size of document is left out;
     a slice has at most 8,192 characters and begins where the hash says.  The dictionary only makes
     frames smaller: what is chosen does not change what is read back.  It is empty for an empty table only.
     """
     text = F.coalesce(column(text_col), F.lit(""))
-    rows = docs.select(text.alias("t"), F.xxhash64(column(id_col), F.octet_length(text)).alias("h"))
+    rows = docs.select(text.alias("t"), F.octet_length(text).alias("n"), F.xxhash64(column(id_col), F.octet_length(text)).alias("h"))
+    sizes = Observation()
     # Hashes alone decide first, so that tasks send 8 bytes a candidate and slices of the chosen only.
-    least = [r.h for r in rows.select("h").orderBy("h").limit(SAMPLE_DOCUMENTS).collect()]
+    least = [r.h for r in rows.select("h", "n").observe(sizes, F.sum("n").alias("total")).orderBy("h").limit(SAMPLE_DOCUMENTS).collect()]
+    total = sizes.get["total"] or 0
     room = F.greatest(F.char_length("t") - SAMPLE_CHARS, F.lit(0)) + 1
     slices = rows.where(F.col("h") <= max(least, default=0)).select(
         "h", F.substring("t", (F.pmod(F.shiftright("h", 20), room) + 1).cast("int"), F.lit(SAMPLE_CHARS)).alias("t"))
@@ -49,9 +53,9 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
     end = np.array([end_id], "<u4").tobytes()
     samples = [ids + end for ids in segmented(tokenizer, False).encode([r.t for r in chosen])]
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes(), total
     except (zstandard.ZstdError, ValueError):  # too little to train on
-        return b"".join(samples)[:DICTIONARY_BYTES]
+        return b"".join(samples)[:DICTIONARY_BYTES], total
 
 
 def _dict_data(dictionary: bytes) -> zstandard.ZstdCompressionDict | None:
@@ -69,7 +73,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
     back, so the files that count are fixed once.
     """
     spark = docs.sparkSession
-    dictionary = train_dictionary(docs, tokenizer, end_id, id_col, text_col)
+    dictionary, total = train_dictionary(docs, tokenizer, end_id, id_col, text_col)
     digest = hashlib.sha256(dictionary).digest() if dictionary else bytes(32)
     if dictionary:
         store, path = file_system(f"{folder}/dictionary-{digest.hex()}")
@@ -102,7 +106,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
                               ("tokens", pa.int64()), ("bytes", pa.int64()), ("dictionary", pa.string())]))
 
     rows = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text"))
-    manifest = rows.repartitionByRange(partitions(docs), "id").sortWithinPartitions("id").mapInArrow(write, MANIFEST)
+    shards = max(partitions(docs), -(-total // SHARD_BYTES))
+    manifest = rows.repartitionByRange(shards, "id").sortWithinPartitions("id").mapInArrow(write, MANIFEST)
     manifest.write.parquet(f"{folder}/manifest")
     return read_manifest(spark, folder)
 

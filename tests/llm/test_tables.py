@@ -266,15 +266,19 @@ def test_pipeline_runs_as_a_whole(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 100
 
 
-def test_dictionary_comes_from_long_texts_too(spark, tmp_path):
+def test_dictionary_comes_from_long_texts_too(spark, tmp_path, monkeypatch):
     rows = [(i, " ".join(f"word{(i * 7 + k) % 90}" for k in range(9000))) for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     path = tokenizer_path("word_bpe_49k.json")
-    dictionary = token_files.train_dictionary(docs, path, 2)
+    dictionary, total = token_files.train_dictionary(docs, path, 2)
+    assert total == sum(len((r.text or "").encode()) for r in docs.collect())
     assert len(dictionary) > 1000
     manifest = token_files.write_tokens(docs, f"file://{tmp_path}/t", path, 2)
     assert {len(r.dictionary) for r in manifest.collect()} == {64}
-    assert token_files.train_dictionary(docs.limit(0), path, 2) == b""
+    assert token_files.train_dictionary(docs.limit(0), path, 2) == (b"", 0)
+    monkeypatch.setattr(token_files, "SHARD_BYTES", total // 10)
+    shards = token_files.write_tokens(docs, f"file://{tmp_path}/u", path, 2).collect()
+    assert len(shards) > 5 and sum(r.documents for r in shards) == 40 and manifest.count() <= 4
 
 
 def test_pipeline_stages_keep_columns_named_like_results(spark):
