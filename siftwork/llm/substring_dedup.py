@@ -420,8 +420,10 @@ def _resolved(rows: DataFrame, resolve, homes: int) -> DataFrame:
             yield rows_of(FOUND, by_document(held))
 
     tasks = max(partitions(rows), homes // 2)
-    found = rows.repartition(tasks, "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(find, ROWS_DDL)
-    return found.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(bring_home, FOUND_DDL)
+    # Numbered buckets are dealt evenly; hashes of so few numbers would put several into one task.
+    task = F.col("bucket") % tasks
+    found = rows.repartitionById(tasks, task).sortWithinPartitions("kind", "bucket").mapInArrow(find, ROWS_DDL)
+    return found.repartitionById(tasks, task).sortWithinPartitions("bucket").mapInArrow(bring_home, FOUND_DDL)
 
 
 def _keys(id_col: str, text_col: str) -> list[Column]:
