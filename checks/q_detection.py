@@ -150,7 +150,7 @@ def r13_many(spark, d):
     patterns = secrets.patterns_from_table(table)
     hits = pattern_index.indexed_hits(corpus(spark, d), "file_path", patterns=patterns)
     kinds = spark.createDataFrame([(i, p.type) for i, p in enumerate(patterns)], "pattern_idx int, type string")
-    return hits.join(kinds, "pattern_idx").select("file_path", "line_number", "type", "pattern_idx")
+    return hits.join(F.broadcast(kinds), "pattern_idx").select("file_path", "line_number", "type", "pattern_idx")
 
 
 # One line per built-in pattern is planted in a share of the documents, next to

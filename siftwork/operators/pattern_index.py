@@ -1,21 +1,21 @@
 """Very many line patterns at once: an index of literals every hit must contain, then the patterns themselves.
 
 From each pattern the longest text that no hit can be without is taken.  One automaton over these
-literals reads a text once, whatever their number, and names the few (line, pattern) pairs that can be
-hits; only these are tried with the pattern, in the JVM.  Patterns without such a literal are
+literals reads a text once, whatever their number, and names the few patterns that can be hits
+in each line; only these are tried with the pattern, in the JVM.  Patterns without such a literal are
 tried on every line, as a scan with few patterns does.
 """
 
 from __future__ import annotations
 
 import sys
-from bisect import bisect_right
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from .. import fixed
 from ..schema import STAGE_SECRET, SUB_BITS, stage_base
@@ -27,6 +27,8 @@ from .static_rows import static_rows
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LEAST_FACTOR = 3
+#: Rows leave the index in batches of about this size; a row counts with its overhead.
+BATCH_BYTES, ROW_BYTES = 4 << 20, 200
 UPPER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 #: Characters that end a line (as `split_lines` has it); no factor spans lines.
 LINE_ENDS = frozenset("\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029")
@@ -119,38 +121,48 @@ def required_factor(pattern: str) -> str | None:
     return lowered(best) if len(best) >= LEAST_FACTOR and not LINE_ENDS & set(best) else None
 
 
-def candidate_lines(files: DataFrame, *keys: str, factors: dict[str, list[int]], text: str = "text") -> DataFrame:
-    """(keys, line_number, line, pattern_idx) of the lines that hold a pattern's factor, each pair once."""
+def candidate_lines(files: DataFrame, *keys: str, factors: list[str], text: str = "text") -> DataFrame:
+    """(keys, line_number, line, held) of the lines that hold a factor; `held` numbers all factors in the line.
+
+    A line leaves once, however many patterns it may hit, and without the text it stands in; rows leave
+    in batches of bounded size, whatever the size of a text and the number of its candidates.
+    """
     schema = StructType([files.schema[k] for k in keys] + [
-        StructField("line_number", LongType()), StructField("line", StringType()), StructField("pattern_idx", IntegerType())])
+        StructField("line_number", LongType()), StructField("line", StringType()), StructField("held", ArrayType(IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
-        for factor, indexes in factors.items():
-            automaton.add_word(factor, (len(factor), indexes))
+        for number, factor in enumerate(factors):
+            automaton.add_word(factor, number)
         automaton.make_automaton()
+
+        def found(batch: pa.RecordBatch) -> Iterator[tuple[int, int, str, set[int]]]:
+            for row, value in enumerate(batch.column(len(keys))):
+                # No factor spans lines, so each is searched by itself.
+                for number, line in enumerate((value.as_py() or "").splitlines(keepends=True), 1):
+                    held = {factor for _, factor in automaton.iter(lowered(line))}
+                    if held:
+                        yield row, number, bare(line), held
+
+        def rows_of(batch: pa.RecordBatch, rows: list[tuple], held: array) -> pa.RecordBatch:
+            at, numbers, lines, ends = zip(*rows)
+            taken = [column.take(pa.array(at, pa.int64())) for column in batch.columns[:len(keys)]]
+            lists = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(held, pa.int32()))
+            return pa.RecordBatch.from_arrays([*taken, pa.array(numbers, pa.int64()), pa.array(lines, pa.string()), lists], names=schema.names)
+
         for batch in batches:
-            rows, found = [], []
-            for row, value in enumerate(batch.column(len(keys)).to_pylist()):
-                lines, starts, seen = None, None, set()
-                for end, (size, indexes) in automaton.iter(lowered(value or "")):
-                    if lines is None:
-                        lines = value.splitlines(keepends=True)
-                        starts, at = [], 0
-                        for line in lines:
-                            starts.append(at)
-                            at += len(line)
-                    number = bisect_right(starts, end - size + 1) - 1
-                    seen.update((number, i) for i in indexes)
-                for number, i in sorted(seen):
-                    rows.append(row)
-                    found.append((number + 1, bare(lines[number]), i))
+            rows, held, size = [], array("i"), 0
+            for row, number, line, numbers in found(batch):
+                held.extend(numbers)
+                rows.append((row, number, line, len(held)))
+                size += ROW_BYTES + len(line) + 4 * len(numbers)
+                if size >= BATCH_BYTES:
+                    yield rows_of(batch, rows, held)
+                    rows, held, size = [], array("i"), 0
             if rows:
-                taken = batch.take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*taken.columns[:len(keys)], *(pa.array(c, t) for c, t in zip(
-                    zip(*found), (pa.int64(), pa.string(), pa.int32())))], names=schema.names)
+                yield rows_of(batch, rows, held)
 
     return files.select(*keys, F.col(text).alias("_text")).mapInArrow(run, schema)
 
@@ -158,8 +170,8 @@ def candidate_lines(files: DataFrame, *keys: str, factors: dict[str, list[int]],
 def indexed_hits(files: DataFrame, *keys: str, patterns: list[SecretPattern], text: str = "text") -> DataFrame:
     """One row (keys, line_number, pattern_idx) per line and pattern found in it; equal to `secret_hits`.
 
-    The patterns are a parameter of bounded number; plan and work grow with the pairs that can be hits,
-    not with lines times patterns.
+    The patterns are a parameter of bounded number, sent to every task; plan and work grow with the pairs
+    that can be hits, not with lines times patterns, and no line is shuffled.
     """
     patterns = _check(patterns)
     spark, factors, rest = files.sparkSession, {}, []
@@ -171,8 +183,11 @@ def indexed_hits(files: DataFrame, *keys: str, patterns: list[SecretPattern], te
             factors.setdefault(factor, []).append(i)
     parts = []
     if factors:
-        table = spark.createDataFrame([(i, p.pattern) for i, p in enumerate(patterns)], "pattern_idx int, pattern string")
-        parts.append(candidate_lines(files, *keys, factors=factors, text=text).join(table, "pattern_idx")
+        rows = [(number, i, patterns[i].pattern) for number, indexes in enumerate(factors.values()) for i in indexes]
+        table = spark.createDataFrame(rows, "_factor int, pattern_idx int, pattern string")
+        pairs = (candidate_lines(files, *keys, factors=list(factors), text=text)
+                 .select(*keys, "line_number", "line", F.explode("held").alias("_factor")))
+        parts.append(pairs.join(F.broadcast(table), "_factor")
                      .where(F.rlike("line", F.col("pattern"))).select(*keys, "line_number", "pattern_idx"))
     if rest:
         numbers = F.array(*[F.lit(i) for i in rest])
@@ -189,7 +204,7 @@ def indexed_findings(files: DataFrame, *keys: str, patterns: list[SecretPattern]
     patterns = _check(patterns)
     labels = files.sparkSession.createDataFrame([(i, p.type, p.severity) for i, p in enumerate(patterns)],
                                                 "pattern_idx int, type string, severity string")
-    hits = indexed_hits(files, *keys, patterns=patterns, text=text).join(labels, "pattern_idx")
+    hits = indexed_hits(files, *keys, patterns=patterns, text=text).join(F.broadcast(labels), "pattern_idx")
     first = first_wins(hits, [*keys, "type", "line_number"], "pattern_idx")
     ordinal = F.lit(stage_base(STAGE_SECRET)) + F.shiftleft("line_number", SUB_BITS) + F.col("pattern_idx")
     message = {**secret_message(patterns[:1]), "type": F.col("type"), "severity": F.col("severity")}

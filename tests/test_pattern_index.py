@@ -4,6 +4,7 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +81,27 @@ def test_thousands_of_patterns_plan_and_run_quickly(spark):
     began = time.time()
     found = pattern_index.indexed_findings(files, "file_id", patterns=patterns).select("file_id", "line_number", "type").collect()
     assert {tuple(r) for r in found} == {(i, 51, f"Token {11 * i}") for i in range(400)} and time.time() - began < 40
+
+
+def test_lines_with_many_candidates_stay_small(spark, monkeypatch):
+    """Long texts whose lines may hit hundreds of patterns each: memory follows the text, not text times candidates."""
+    words = [f"word{i:03d}" for i in range(400)]
+    text = "\n".join(" ".join(words) for _ in range(40))
+    batch = pa.RecordBatch.from_pydict({"file_id": list(range(20)), "_text": [text] * 20})
+    files = spark.createDataFrame([(1, text)], "file_id long, text string")
+    monkeypatch.setattr(type(files), "mapInArrow", lambda self, run, schema: run)
+    run = pattern_index.candidate_lines(files, "file_id", factors=words)
+    before, pool = pa.default_memory_pool(), pa.proxy_memory_pool(pa.default_memory_pool())
+    pa.set_memory_pool(pool)
+    try:
+        rows = sum(b.num_rows for b in run(iter([batch])))
+    finally:
+        pa.set_memory_pool(before)
+    assert rows == 20 * 40 and pool.max_memory() < 40 << 20
+
+
+def test_candidate_lines_are_not_shuffled(spark, capsys):
+    files = spark.range(9).select(F.col("id").alias("file_id"), F.lit("tok1_ab tok2_cd").alias("text"))
+    hits = pattern_index.indexed_hits(files, "file_id", patterns=[SecretPattern(f"tok{i}_[a-z]", "T", "LOW") for i in range(2000)])
+    hits.explain()
+    assert "hashpartitioning" not in capsys.readouterr().out and hits.count() == 18
