@@ -57,8 +57,10 @@ def decode_payload(payloads: DataFrame) -> DataFrame:
     text, where the table has it, is taken as it is.  Nothing at all gives "".
     """
     raw = F.col("text") if "text" in payloads.columns else F.lit(None).cast("string")
+    # White space needs no cleaning, and a pattern on every character costs more than all the rest of a scan.
     packed = F.regexp_replace("content", "[^A-Za-z0-9+/=]", "")
-    content = F.when(F.col("encoding") == "base64", F.try_to_binary(packed, F.lit("base64")))
+    binary = F.coalesce(F.try_to_binary("content", F.lit("base64")), F.try_to_binary(packed, F.lit("base64")))
+    content = F.when(F.col("encoding") == "base64", binary)
     return (payloads.withColumn("text", F.coalesce(decode_utf8(content), raw, F.lit("")))
             .drop("encoding", "content"))
 

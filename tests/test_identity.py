@@ -1,5 +1,7 @@
 """What a content is, what the cache remembers of it, and which finding speaks for a rule."""
 
+import base64
+import random
 import time
 
 import pytest
@@ -77,6 +79,29 @@ def test_raw_payloads_are_scanned(spark):
     assert {(r.file_path, r.text) for r in got.collect()} == {("a.py", "eval(x)"), ("b.py", "print(1)"), ("c.py", "")}
 
 
+def test_payloads_decode_as_their_cleaned_form(spark):
+    """Line ends, blanks and stray characters anywhere, broken padding and cut payloads."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(3000):
+        packed = list(base64.b64encode(rng.randbytes(rng.randrange(12))).decode()[:rng.choice([99, 99, 99, 7, 5])])
+        for _ in range(rng.randrange(4)):
+            packed.insert(rng.randrange(len(packed) + 1), rng.choice(["\r\n", "\n", " ", "\t", "\x1c", "\u2028", "\u00a0", "-", "é", "=", "A"]))
+        rows.append((i, "base64", "".join(packed)))
+    payloads = spark.createDataFrame(rows, "file_id int, encoding string, content string")
+    cleaned = payloads.withColumn("content", F.regexp_replace("content", "[^A-Za-z0-9+/=]", ""))
+    got, want = ({r.file_id: r.text for r in inputs.decode_payload(df).collect()} for df in (payloads, cleaned))
+    assert got == want and sum(t != "" for t in got.values()) > 1000
+
+
+def test_large_payloads_decode_quickly(spark):
+    lines = base64.encodebytes(b"plain text of a file\n" * 57).decode()
+    payloads = spark.range(0, 48, 1, 4).select(F.lit("base64").alias("encoding"), F.repeat(F.lit(lines), 900 + (F.col("id") % 2).cast("int")).alias("content"))
+    began = time.time()
+    texts_read = inputs.decode_payload(payloads).agg(F.sum(F.length("text"))).first()[0]
+    assert texts_read == 24 * (900 + 901) * 21 * 57 and time.time() - began < 4.5
+
+
 def test_broken_cache_json_is_no_clean_result(spark):
     rows = spark.createDataFrame([("h", '[{"severity": ')], "file_hash string, vulnerabilities string")
     with pytest.raises(Exception):
