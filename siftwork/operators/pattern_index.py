@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import sys
 from array import array
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -19,7 +19,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 from .. import fixed
 from ..schema import STAGE_SECRET, SUB_BITS, stage_base
-from .secrets import SecretPattern, _check, secret_hits, secret_message
+from .secrets import SecretPattern, _check, _may_prefilter, secret_hits, secret_message
 from .skew import first_wins
 from .static_rows import static_rows
 
@@ -29,6 +29,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LEAST_FACTOR = 3
 #: Rows leave the index in batches of about this size; a row counts with its overhead.
 BATCH_BYTES, ROW_BYTES = 4 << 20, 200
+#: Bits of a place in a line.
+PLACE_BITS = 32
 UPPER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 #: Characters that end a line (as `split_lines` has it); no factor spans lines.
 LINE_ENDS = frozenset("\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029")
@@ -71,12 +73,8 @@ def _skipped(pattern: str, at: int) -> int | None:
     return None
 
 
-def required_factor(pattern: str) -> str | None:
-    """The longest literal (lower-cased) that every hit of a Java pattern contains, or None if none is certain.
-
-    Only what stands outside groups, classes and alternatives counts, and nothing that a quantifier may leave out.
-    Where the syntax leaves any doubt there is no factor; that costs time, never a hit.
-    """
+def _literal_runs(pattern: str) -> list[str] | None:
+    """The literals outside groups and classes that every hit contains, the first one at the hit's very start; None in doubt."""
     if pattern.startswith("(?i)"):
         pattern = pattern[4:]
     if "\\Q" in pattern or "\\E" in pattern:
@@ -117,50 +115,70 @@ def required_factor(pattern: str) -> str | None:
         else:
             run += c
         at += 1
-    best = max([*runs, run], key=len)
+    return [*runs, run]
+
+
+def required_factor(pattern: str) -> str | None:
+    """The longest literal (lower-cased) that every hit of a Java pattern contains, or None if none is certain.
+
+    Only what stands outside groups, classes and alternatives counts, and nothing that a quantifier may leave out.
+    Where the syntax leaves any doubt there is no factor; that costs time, never a hit.
+    """
+    best = max(_literal_runs(pattern) or [""], key=len)
     return lowered(best) if len(best) >= LEAST_FACTOR and not LINE_ENDS & set(best) else None
 
 
+def starts_with_factor(pattern: str) -> bool:
+    """True when every hit of a pattern with a factor starts with it and depends on nothing in front of it."""
+    runs = _literal_runs(pattern)
+    return bool(runs) and runs[0] == max(runs, key=len) and _may_prefilter(pattern)
+
+
 def candidate_lines(files: DataFrame, *keys: str, factors: list[str], text: str = "text") -> DataFrame:
-    """(keys, line_number, line, held) of the lines that hold a factor; `held` numbers all factors in the line.
+    """(keys, line_number, line, held) of the lines that hold a factor; `held` has `factor << PLACE_BITS | place` of each in the line.
+
+    The place is that of its first character where it stands first, from 0.
 
     A line leaves once, however many patterns it may hit, and without the text it stands in; rows leave
     in batches of bounded size, whatever the size of a text and the number of its candidates.
     """
     schema = StructType([files.schema[k] for k in keys] + [
-        StructField("line_number", LongType()), StructField("line", StringType()), StructField("held", ArrayType(IntegerType()))])
+        StructField("line_number", LongType()), StructField("line", StringType()), StructField("held", ArrayType(LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
         for number, factor in enumerate(factors):
-            automaton.add_word(factor, number)
+            automaton.add_word(factor, (number, (number << PLACE_BITS) - len(factor) + 1))
         automaton.make_automaton()
 
-        def found(batch: pa.RecordBatch) -> Iterator[tuple[int, int, str, set[int]]]:
+        def found(batch: pa.RecordBatch) -> Iterator[tuple[int, int, str, Collection[int]]]:
             for row, value in enumerate(batch.column(len(keys))):
                 # No factor spans lines, so each is searched by itself.
                 for number, line in enumerate((value.as_py() or "").splitlines(keepends=True), 1):
-                    held = {factor for _, factor in automaton.iter(lowered(line))}
+                    held = {}
+                    for end, (factor, base) in automaton.iter(lowered(line)):
+                        if factor not in held:
+                            held[factor] = base + end
                     if held:
-                        yield row, number, bare(line), held
+                        yield row, number, bare(line), held.values()
 
         def rows_of(batch: pa.RecordBatch, rows: list[tuple], held: array) -> pa.RecordBatch:
             at, numbers, lines, ends = zip(*rows)
             taken = [column.take(pa.array(at, pa.int64())) for column in batch.columns[:len(keys)]]
-            lists = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(held, pa.int32()))
+            lists = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(held, pa.int64()))
             return pa.RecordBatch.from_arrays([*taken, pa.array(numbers, pa.int64()), pa.array(lines, pa.string()), lists], names=schema.names)
 
         for batch in batches:
-            rows, held, size = [], array("i"), 0
+            rows, held, size = [], array("q"), 0
             for row, number, line, numbers in found(batch):
                 held.extend(numbers)
                 rows.append((row, number, line, len(held)))
-                size += ROW_BYTES + len(line) + 4 * len(numbers)
+                size += ROW_BYTES + len(line) + 8 * len(numbers)
                 if size >= BATCH_BYTES:
                     yield rows_of(batch, rows, held)
-                    rows, held, size = [], array("i"), 0
+                    rows, held, size = [], array("q"), 0
             if rows:
                 yield rows_of(batch, rows, held)
 
@@ -183,12 +201,17 @@ def indexed_hits(files: DataFrame, *keys: str, patterns: list[SecretPattern], te
             factors.setdefault(factor, []).append(i)
     parts = []
     if factors:
-        rows = [(number, i, patterns[i].pattern) for number, indexes in enumerate(factors.values()) for i in indexes]
-        table = spark.createDataFrame(rows, "_factor int, pattern_idx int, pattern string")
+        rows = [(number, i, patterns[i].pattern, starts_with_factor(patterns[i].pattern))
+                for number, indexes in enumerate(factors.values()) for i in indexes]
+        table = spark.createDataFrame(rows, "_factor int, pattern_idx int, pattern string, _at_start boolean")
         pairs = (candidate_lines(files, *keys, factors=list(factors), text=text)
-                 .select(*keys, "line_number", "line", F.explode("held").alias("_factor")))
+                 .select(*keys, "line_number", "line", F.explode("held").alias("_held"))
+                 .withColumn("_factor", F.shiftright("_held", PLACE_BITS).cast("int")))
+        # What stands in front of the first place where a hit can start need not be searched.
+        place = F.col("_held").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+        searched = F.when(F.col("_at_start"), F.substr("line", place + 1)).otherwise(F.col("line"))
         parts.append(pairs.join(F.broadcast(table), "_factor")
-                     .where(F.rlike("line", F.col("pattern"))).select(*keys, "line_number", "pattern_idx"))
+                     .where(F.rlike(searched, F.col("pattern"))).select(*keys, "line_number", "pattern_idx"))
     if rest:
         numbers = F.array(*[F.lit(i) for i in rest])
         plain = secret_hits(files, *keys, patterns=[patterns[i] for i in rest], text=text)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwork.operators import pattern_index, secrets
-from siftwork.operators.pattern_index import required_factor
+from siftwork.operators.pattern_index import required_factor, starts_with_factor
 from siftwork.operators.secrets import BUILTIN_PATTERNS, SecretPattern
 from siftwork.schema import FINDING_COLUMNS
 
@@ -41,6 +41,13 @@ def test_factors_are_in_every_hit():
     assert checked > 300
 
 
+@pytest.mark.parametrize("pattern, at_start", [
+    ("(?i)word[a-z]+ [^,.]", True), ("abc*d", True), ("abcx?", True), ("[ab]cdef", False), ("ab?cdef", False), ("abcd$", False),
+    ("abcd(?<=xabcd)e", False), ("abc[0-9]defgh", False), ("^abcd", False), ("abcd\\b", False)])
+def test_hits_that_start_with_their_factor(pattern, at_start):
+    assert starts_with_factor(pattern) == at_start
+
+
 def random_case(seed, n_patterns):
     rng = random.Random(seed)
     words = ["".join(rng.choice("abcdeXYZ_é") for _ in range(rng.randrange(3, 8))) for _ in range(n_patterns)]
@@ -105,3 +112,12 @@ def test_candidate_lines_are_not_shuffled(spark, capsys):
     hits = pattern_index.indexed_hits(files, "file_id", patterns=[SecretPattern(f"tok{i}_[a-z]", "T", "LOW") for i in range(2000)])
     hits.explain()
     assert "hashpartitioning" not in capsys.readouterr().out and hits.count() == 18
+
+
+def test_hits_behind_the_first_factor_and_other_scripts(spark):
+    rows = [(1, "é𝄞 word, WORDing ok"), (2, "é𝄞 swordx, word"), (3, "\U0001d11e wordWord b\nword\r\nWORDs c"), (4, "words ,")]
+    files = spark.createDataFrame(rows, "file_id long, text string")
+    patterns = [SecretPattern(p, p, "LOW") for p in ("(?i)word[a-z]+ [^,.]", "(?i)word", "WORD", "(?i)ord[a-z]+ [bc]", "x?word$", "(?<!s)word")]
+    by = lambda df: sorted(tuple(r) for r in df.select("file_id", "line_number", "pattern_idx").collect())
+    found = by(pattern_index.indexed_hits(files, "file_id", patterns=patterns))
+    assert found == by(secrets.secret_hits(files, "file_id", patterns=patterns)) and (1, 1, 0) in found and (3, 3, 0) in found
